@@ -369,9 +369,9 @@ def nearest(targets: DataFrame, cands: DataFrame, keys=("page_id",), cost=line_c
     target with a lower cost is done. The others go on with a grid four times as coarse.
     """
     keys = list(keys)
-    todo, parts = targets.select(*keys, "target_id", "x", "y"), []
-    todo = todo.join(cands.select(*keys).distinct(), keys, "left_semi")
-    pool = cands.select(*keys, "cand_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    pool = materialize(cands.select(*keys, "cand_id", F.col("x").alias("qx"), F.col("y").alias("qy")), "cands")
+    todo = targets.select(*keys, "target_id", "x", "y").join(pool.select(*keys).distinct(), keys, "left_semi")
+    todo, parts = materialize(todo, "todo"), []
     while True:
         around = lambda c: F.explode(F.sequence(F.floor(c / cell) - 1, F.floor(c / cell) + 1))  # noqa: B023, E731
         left = todo.withColumn("cell_x", around(F.col("x"))).withColumn("cell_y", around(F.col("y")))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagelens.session import materialize
+
 SIDE = 48
 
 VIEWS: dict[str, str] = {
@@ -63,8 +65,8 @@ SELECT page_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(page_id % 20 AS I
        CAST((x - 32 + page_id % 3) * (x - 32 + page_id % 3) + (y - 27) * (y - 27) AS INT) AS db,
        CAST((x * 31 + y * 17 + seed * 7) % 40 AS INT) AS noise
 FROM (SELECT page_id, seed, i % 48 AS x, FLOOR(i / 48e0) AS y FROM {pixel_grid}) t""",
-    "pix": """
-SELECT page_id, y, x,
+    "shaded": """
+SELECT page_id, y, x, da, db, noise,
        CASE WHEN x BETWEEN 3 AND 9 AND y BETWEEN 39 AND 44 AND (x + y) % 3 = 0 THEN 20
             WHEN da < 64 AND x % 6 < 2 AND y % 8 < 5 THEN 15 + p
             WHEN db < 49 AND x % 6 < 2 AND y % 8 < 5 THEN 25 + p
@@ -72,6 +74,7 @@ SELECT page_id, y, x,
             WHEN da < 182 OR db < 156 THEN 30
             ELSE 150 + noise END AS grey
 FROM {canvas}""",
+    "pix": "SELECT page_id, y, x, grey FROM {shaded}",
     # The same pages after erasing: some ink survives, everything else is unchanged.
     "after": """
 SELECT page_id, y, x,
@@ -83,13 +86,11 @@ SELECT page_id, y, x,
             ELSE 150 + noise END AS grey
 FROM {canvas}""",
     "rgb": """
-SELECT c.page_id, c.y, c.x,
-       CASE WHEN da > 200 AND db > 200 AND x > 36 AND y < 12 AND noise % 7 <> 0 THEN 210 ELSE g.grey END AS r,
-       CASE WHEN da > 200 AND db > 200 AND x > 36 AND y < 12 AND noise % 7 <> 0 THEN 40
-            ELSE greatest(g.grey - x % 4, 0) END AS g,
-       CASE WHEN da > 200 AND db > 200 AND x > 36 AND y < 12 AND noise % 7 <> 0 THEN 50
-            ELSE greatest(g.grey - y % 5, 0) END AS b
-FROM {canvas} c JOIN {pix} g USING (page_id, y, x)""",
+SELECT page_id, y, x,
+       CASE WHEN marked THEN 210 ELSE grey END AS r,
+       CASE WHEN marked THEN 40 ELSE greatest(grey - x % 4, 0) END AS g,
+       CASE WHEN marked THEN 50 ELSE greatest(grey - y % 5, 0) END AS b
+FROM (SELECT *, da > 200 AND db > 200 AND x > 36 AND y < 12 AND noise % 7 <> 0 AS marked FROM {shaded}) t""",
     # Region boxes on the rasters; region 2 is the protected block.
     "crops": """
 SELECT page_id, 0 AS region_id, CAST(3 + LENGTH(html) % 4 AS INT) AS x1, 7 AS y1,
@@ -161,6 +162,13 @@ class Corpus:
             self._made[name] = self._view(name) if name in VIEWS else self._table(name)
         return self._made[name]
 
+    def once(self, name: str, make) -> DataFrame:
+        """A table several steps of one query read: written the first time it is asked for."""
+        key = "once " + name
+        if key not in self._made:
+            self._made[key] = materialize(make(), name)
+        return self._made[key]
+
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
