@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.kernels import ellipse, spans
 from pagelens.operators.graph import components
 from pagelens.operators.grouping import split_hot
-from pagelens.session import materialize
+from pagelens.session import materialize, prepare
 
 RK = ("page_id", "region_id")
 LABEL_LIMIT = 200_000
@@ -38,6 +38,7 @@ def to_pixels(runs: DataFrame) -> DataFrame:
 
 def merge_runs(runs: DataFrame, keys: Sequence[str] = RK) -> DataFrame:
     """Union of overlapping or touching runs of a row."""
+    prepare(runs.sparkSession)
     w = Window.partitionBy(*keys, "y").orderBy("x0", "x1")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = runs.select(*keys, "y", "x0", "x1", F.when(F.col("x0") <= reach, 0).otherwise(1).alias("cut"))
@@ -51,6 +52,7 @@ def combine(layers: dict[str, DataFrame], keep: Callable[[dict[str, Column]], Co
     ``keep`` gets how many runs of each layer cover a stretch and says whether it stays.
     """
     keys, names = list(keys), list(layers)
+    prepare(next(iter(layers.values())).sparkSession)
     events = []
     for n, runs in layers.items():
         ends = F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.session import materialize
+from pagelens.session import materialize, prepare
 
 SIDE = 48
 
@@ -152,7 +152,7 @@ class Corpus:
     """Driver tables and derived views of one folder, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = prepare(spark), folder
         self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
