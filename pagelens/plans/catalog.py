@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.plans import box_queries, raster_queries  # noqa: F401
+from pagelens.plans import box_queries, raster_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -123,6 +123,31 @@ SELECT page_id, 0 AS region_id, y, x,
 FROM {canvas} WHERE da < 200""",
 }
 
+VIEWS |= {
+    # Every distinct word of the documents, spelled in kana and symbols.
+    "kana": """
+SELECT w AS src, translate(lower(w), 'etaonihrsdlucmpwbfgvykxzqj.,', 'ドキっーんはぁぴくうそれ！？．ッ漢なに♥〜だめゴ　…。、') AS text,
+       LENGTH(w) % 2 = 0 AS in_parent
+FROM {doc_words} t WHERE w <> '' GROUP BY w""",
+    "replies": """
+SELECT CAST(FLOOR(conv_id / 20e0) AS BIGINT) AS page_id, conv_id AS region_id, CAST(FLOOR(turn / 2e0) AS INT) AS round,
+       CASE WHEN LENGTH(text) % 3 = 0 THEN '  ' WHEN LENGTH(text) % 5 = 0 THEN '．．．' ELSE text END AS text
+FROM {conversations} WHERE role = 'assistant'""",
+    "asked": """
+SELECT page_id, region_id, round, CASE WHEN round % 2 = 1 THEN 'budget' ELSE 'missing' END AS kind
+FROM {replies} WHERE round > 0 AND region_id % 4 <> 0""",
+    "items": """
+SELECT CAST(FLOOR(conv_id / 20e0) AS BIGINT) AS page_id, conv_id AS region_id,
+       CASE WHEN conv_id % 3 = 0 THEN CONCAT(text, '♥') ELSE text END AS src_text
+FROM {conversations} WHERE turn = 0""",
+    "boxed": """
+SELECT doc_id, text, CAST(200 + doc_id % 200 AS INT) AS box_w, CAST(400 + (doc_id * 7) % 900 AS INT) AS box_h, CAST(8 + doc_id % 5 AS INT) AS size
+FROM {documents}""",
+}
+WORDS = {
+    "spark": "(SELECT doc_id, w FROM {documents} LATERAL VIEW explode(split(text, ' ')) e AS w)",
+    "duckdb": "(SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM {documents})",
+}
 GRID = {
     # Spread the pages over the tasks before each one turns into SIDE*SIDE rows.
     "spark": "(SELECT page_id, seed, i FROM (SELECT /*+ REPARTITION({tasks}, page_id) */ page_id, LENGTH(html) AS seed "
@@ -174,6 +199,7 @@ class Corpus:
 
     def _view(self, name: str) -> DataFrame:
         text = VIEWS[name].replace("{pixel_grid}", GRID["spark"]).replace("{string}", STRING["spark"])
+        text = text.replace("{doc_words}", WORDS["spark"])
         text = text.replace("{tasks}", str(self.spark.sparkContext.defaultParallelism))
         used = {n: getattr(self, n) for n in set(_NAME.findall(text))}
         return self.spark.sql(text, **used)
@@ -187,6 +213,7 @@ def oracle(body: str, *views: str) -> str:
     parts = []
     for name in order:
         text = VIEWS[name].replace("{pixel_grid}", GRID["duckdb"]).replace("{string}", STRING["duckdb"])
+        text = text.replace("{doc_words}", WORDS["duckdb"])
         parts.append(f"{name} AS ({_NAME.sub(r'\1', text).strip()})")
     body = body.strip()
     if body.upper().startswith("WITH "):
