@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import fixed as X
@@ -17,10 +17,6 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{X.SPACE}+", " "))
 
 
-def has(c: Column, pattern: str) -> Column:
-    return c.rlike(pattern)
-
-
 # ---------------------------------------------------------------- script and shape
 
 
@@ -99,21 +95,27 @@ def gated_text(text: Column, ink_ratio: Column) -> Column:
     return F.when(bad | text.isNull(), "").otherwise(text)
 
 
-def label(text: Column, in_parent: Column, before: Column | None = None) -> Column:
+def with_shape(df: DataFrame, text: Column, prefix: str = "_") -> DataFrame:
+    """Adds the stripped text, kana core, hiragana and stem the rule chain reads.
+
+    They are columns of their own step because the chain uses each several times; as one
+    expression every use would run its regular expressions again.
+    """
+    p = prefix
+    df = df.withColumn(p + "raw", strip(text)).withColumn(p + "core", kana_core(F.col(p + "raw")))
+    core = F.col(p + "core")
+    return df.withColumns({p + "hira": to_hiragana(core), p + "root": to_hiragana(stem(core)), p + "rep": is_repeat(core)})
+
+
+def label(in_parent: Column, before: Column | None = None, prefix: str = "_") -> Column:
     """SFX or DIALOGUE by the ordered rule chain; empty or unreadable text keeps its label."""
-    raw = strip(text)
-    core = kana_core(raw)
+    raw, core, hira, root, rep = (F.col(prefix + n) for n in ("raw", "core", "hira", "root", "rep"))
     n = F.length(core)
-    hira, root = to_hiragana(core), to_hiragana(stem(core))
     known = core.isin(*X.SOUNDS)
-    outside = (
-        F.when(n <= 3, True)
-        .when(core.rlike("[っッー]"), n <= 8)
-        .otherwise(is_repeat(core) | known)
-    )
+    outside = F.when(n <= 3, True).when(core.rlike("[っッー]"), n <= 8).otherwise(rep | known)
     inside = (
         F.when(hira.isin(*X.DIALOGUE) | ((root != "") & root.isin(*X.DIALOGUE)), False)
-        .when(is_repeat(core) | known | hira.isin(*X.SOUNDS), True)
+        .when(rep | known | hira.isin(*X.SOUNDS), True)
         .when((n <= 6) & all_katakana(core) & core.rlike("[っッ]$") & ~(asks(raw) | is_broken(raw)), True)
         .otherwise((root != "") & F.concat(root, root).isin(*X.SOUNDS))
     )

@@ -16,7 +16,7 @@ def evaluate_rules(cases: DataFrame, variants: dict[str, Column], truth: str = "
     ``cases`` has ``case_set, case, want``; a variant is a column predicting the label.
     """
     tries = F.array(*[F.struct(F.lit(n).alias("variant"), rule.alias("got")) for n, rule in variants.items()])
-    t = cases.select("case_set", "case", truth, F.explode(tries).alias("t")).select("case_set", "case", truth, "t.variant", "t.got")
+    t = cases.select("*", F.explode(tries).alias("t")).select("case_set", "case", truth, "t.variant", "t.got")
     wrong = F.col("got") != F.col(truth)
     return t.groupBy("variant", "case_set").agg(
         F.count(F.lit(1)).alias("cases"), F.count_if(wrong).alias("errors"), F.count_if(wrong & (F.col("got") == positive)).alias("false_positive"),

@@ -16,8 +16,8 @@ PROTECTED = ("SFX", "UNREADABLE")
 def label_regions(regions: DataFrame) -> DataFrame:
     """Adds ``label, label_conf``; a sound effect loses its translation."""
     before = F.col("label") if "label" in regions.columns else None
-    new = T.label(F.col("src_text"), F.col("in_parent"), before)
-    out = regions.withColumn("label", new).withColumn("label_conf", F.when(F.col("label") == "SFX", 0.6).otherwise(0.5))
+    shaped = T.with_shape(regions, F.col("src_text"))
+    out = shaped.withColumn("label", T.label(F.col("in_parent"), before)).drop("_raw", "_core", "_hira", "_root", "_rep").withColumn("label_conf", F.when(F.col("label") == "SFX", 0.6).otherwise(0.5))
     if "translation" in regions.columns:
         out = out.withColumn("translation", F.when(F.col("label") != "SFX", F.col("translation")))
     return out
