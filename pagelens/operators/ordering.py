@@ -130,6 +130,7 @@ def split_shared_parents(assigned: DataFrame, limit: int = GROUP_LIMIT) -> DataF
         "mid": F.when(F.col("horizontal"), cx).otherwise(cy),
         "base": F.when(F.col("horizontal"), F.col("parent_x1")).otherwise(F.col("parent_y1")),
     }).withColumn("me", F.struct("lo", "hi", "mid"))
+    df = materialize(df, "shared")
     order = [F.col("mid"), F.col("det_id")]
     df = scan(df, keys, order, [Scan("rank", "row_number"), Scan("next", "lead", "me")], limit)
     nxt = F.col("next")

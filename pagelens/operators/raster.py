@@ -210,11 +210,13 @@ def background_stats(ink: DataFrame, rgb: DataFrame, boxes: DataFrame) -> DataFr
     Uses the 9 px ring, or the whole box off the ink when the ring is under 30 values; white with
     spread 0 when even that is under 10 values. A spread past its limit is reported as 999.
     """
-    rest = R.subtract(R.box_runs(boxes), ink)
-    near = R.to_pixels(R.clip(R.ring(ink, 9), boxes)).withColumn("near", F.lit(1))
-    px = values(rest, rgb).join(near, [*RK, "y", "x"], "left")
-    counts = px.groupBy(*RK).agg(F.count("near").alias("n_ring"), F.count(F.lit(1)).alias("n_all"))
-    use = px.join(counts, list(RK)).filter((F.col("near") == 1) | (F.col("n_ring") * 3 < 30))
+    rest = materialize(R.subtract(R.box_runs(boxes), ink), "paper")
+    near = materialize(R.clip(R.ring(ink, 9), boxes), "ring")
+    counts = size(rest, RK, "n_all").join(size(near, RK, "n_ring"), list(RK), "left").na.fill({"n_ring": 0})
+    thin = counts.filter(F.col("n_ring") * 3 < 30).select(*RK)
+    # Only regions with a thin ring read their whole box.
+    use = near.join(thin, list(RK), "left_anti").unionByName(rest.join(thin, list(RK), "left_semi"))
+    use = values(use, rgb)
     mid = use.groupBy(*RK).agg(*[F.floor(F.median(c)).cast("int").alias("m" + c) for c in "rgb"])
     dev = use.join(mid, list(RK)).groupBy(*RK).agg(*[(F.median(F.abs(F.col(c) - F.col("m" + c))) * 1.4826).alias("s" + c) for c in "rgb"])
     avg = (F.col("sr") + F.col("sg") + F.col("sb")) / 3

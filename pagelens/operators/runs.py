@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.kernels import ellipse, spans
-from pagelens.operators.graph import components
+from pagelens.operators.graph import components, map_groups, min_labels
 from pagelens.operators.grouping import split_hot
 from pagelens.session import materialize, prepare
 
 RK = ("page_id", "region_id")
 LABEL_LIMIT = 200_000
-_SHIFT, _WIDTH = 4096, 1 << 20
+_SHIFT, _WIDTH, _CODE_BITS = 4096, 1 << 20, 40
 
 
 def to_runs(pixels: DataFrame, keys: Sequence[str] = RK) -> DataFrame:
@@ -142,7 +142,7 @@ def ring(runs: DataFrame, k: int, keys: Sequence[str] = RK) -> DataFrame:
 def label_runs(runs: DataFrame, keys: Sequence[str] = RK, conn: int = 8, limit: int = LABEL_LIMIT) -> DataFrame:
     """Adds ``label``: the same number for all runs of one connected component.
 
-    Mask and labels are written once, because callers read both several times. A mask of up to ``limit`` runs is labelled in one Arrow batch of its own group; larger masks
+    Mask and labels are written once, because callers read both several times. A mask of up to ``limit`` runs is labelled inside Arrow batches of whole groups; larger masks
     become an edge table between neighbouring rows and go through the distributed components.
     """
     keys = list(keys)
@@ -151,7 +151,7 @@ def label_runs(runs: DataFrame, keys: Sequence[str] = RK, conn: int = 8, limit:
     cold, hot = split_hot(base, keys, limit)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields) + ", label long"
     slack = 0 if conn == 8 else 1
-    out = cold.groupBy(*keys).applyInPandas(lambda pdf: _label_group(pdf, slack), schema)
+    out = map_groups(cold, keys, lambda pdf, code: _label_groups(pdf, code, slack), schema)
     if hot is not None:
         out = out.unionByName(_label_large(hot, keys, slack))
     return materialize(out, "labels")
@@ -161,27 +161,20 @@ def _run_id() -> Column:
     return (F.col("y") + _SHIFT).cast("bigint") * _WIDTH + F.col("x0") + _SHIFT
 
 
-def _label_group(pdf: pd.DataFrame, slack: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
+def _label_groups(pdf: pd.DataFrame, code: np.ndarray, slack: int) -> pd.DataFrame:
+    at = np.lexsort((pdf["x0"].to_numpy(), pdf["y"].to_numpy(), code))
+    pdf, code = pdf.iloc[at].reset_index(drop=True), code[at]
     y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
-    row = (y + _SHIFT) * _WIDTH + _SHIFT
+    own = (y + _SHIFT) * _WIDTH + _SHIFT
+    row = (code << _CODE_BITS) + own
     below = row + _WIDTH
     lo = np.searchsorted(row + x1, below + x0 + slack, side="left")
     hi = np.searchsorted(row + x0, below + x1 - slack, side="right")
     n = np.maximum(hi - lo, 0)
     a = np.repeat(np.arange(len(y)), n)
     b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    lab = np.arange(len(y))
-    while True:
-        low = np.minimum(lab[a], lab[b])
-        new = lab.copy()
-        np.minimum.at(new, lab[a], low)
-        np.minimum.at(new, lab[b], low)
-        new = new[new]
-        if np.array_equal(new, lab):
-            break
-        lab = new
-    return pdf.assign(label=row[lab] + x0[lab])
+    lab = min_labels(len(y), a, b)
+    return pdf.assign(label=own[lab] + x0[lab])
 
 
 def _label_large(runs: DataFrame, keys: list[str], slack: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import fixed as X
 from pagelens.functions import text as T
+from pagelens.operators.graph import tasks
 from pagelens.operators.grouping import GROUP_LIMIT, Scan, ranked, scan
 from pagelens.settings import SETTINGS
 
@@ -85,13 +86,16 @@ def glossary_hits(texts: DataFrame, glossary: list[tuple[str, str]]) -> DataFram
 
 
 def text_metrics(texts: DataFrame) -> DataFrame:
+    """Counters per text: characters, words, longest word, lines ending on a hyphen, CJK marks left over."""
     words = F.filter(F.split("text", f"{X.SPACE}+"), lambda w: w != "")
-    letters = F.transform(words, lambda w: F.length(F.regexp_replace(w, "[^A-Za-z']", "")))
+    # Letters of all words at once: dropping the other characters first leaves the word borders.
+    letters = F.split(F.regexp_replace("text", f"[^A-Za-z'{X.SPACE[1:-1]}]", ""), f"{X.SPACE}+")
+    longest = F.array_max(F.transform(letters, F.length))
     lines = F.split("text", "\n")
-    left = F.length("text") - F.length(F.regexp_replace("text", "[「」『』。、！？…・〜～]", ""))
+    left = F.length("text") - F.length(F.translate("text", "「」『』。、！？…・〜～", ""))
     return texts.select(
         "doc_id", F.length("text").cast("bigint").alias("chars"), F.size(words).cast("bigint").alias("words"),
-        F.coalesce(F.array_max(letters), F.lit(0)).cast("bigint").alias("longest_word"),
+        F.coalesce(longest, F.lit(0)).cast("bigint").alias("longest_word"),
         F.size(F.filter(lines, lambda ln: ln.endswith("-"))).cast("bigint").alias("hyphen_lines"), left.cast("bigint").alias("cjk_left"),
     )
 
@@ -195,7 +199,7 @@ def budgets(boxes: DataFrame, size: Column) -> DataFrame:
     letters = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(sum_width(X.LONG_WORD[:n])).alias("w")) for n in range(2, 25)])
     longest = F.coalesce(F.array_max(F.transform(F.filter(letters, lambda x: x["w"] <= F.col("limit")), lambda x: x["n"])), F.lit(0))
     b = boxes.withColumn("size", size).withColumn("limit", _limit())
-    wrapped = b.select("limit").distinct().withColumn("s", F.aggregate(words, first, step)).select(
+    wrapped = b.select("limit").distinct().repartition(tasks(b), "limit").withColumn("s", F.aggregate(words, first, step)).select(
         "limit", F.array_append(F.col("s.ends"), F.col("s.chars")).alias("ends"), longest.alias("longest"))
     rows = F.floor(F.col("box_h") / F.col("size"))
     upto = F.element_at("ends", F.least(rows, F.size("ends")).cast("int"))

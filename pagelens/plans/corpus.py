@@ -195,7 +195,13 @@ class Corpus:
         return self._made[key]
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # A text table of one row group is read by one task; spread it before the per-text work.
+        # A large table has more splits than cores and is left alone.
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("documents", "conversations") and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        return df
 
     def _view(self, name: str) -> DataFrame:
         text = VIEWS[name].replace("{pixel_grid}", GRID["spark"]).replace("{string}", STRING["spark"])
