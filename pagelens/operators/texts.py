@@ -136,16 +136,16 @@ def width_of(word: Column) -> Column:
 SPACE_W = 3 * int(SETTINGS.condense * 100)
 
 
-def fold_lines(widths: Column, limit: Column, start: Column | None = None) -> Column:
-    """Greedy first-fit over word widths: ``lines`` and ``used``; a word wider than the limit clears ``ok``."""
+def fold_lines(widths: Column, limit: Column, gap: Column | int = SPACE_W) -> Column:
+    """Greedy first-fit over widths with ``gap`` between them: ``lines`` and ``used``; a width over the limit clears ``ok``."""
     first = F.struct(F.lit(1).alias("lines"), F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("ok"))
 
     def step(s, w):
         fresh = s["used"] == 0
-        tight = s["used"] + SPACE_W + w <= limit
+        tight = s["used"] + gap + w <= limit
         return F.struct(
             F.when(fresh | tight, s["lines"]).otherwise(s["lines"] + 1).alias("lines"),
-            F.when(fresh, w).when(tight, s["used"] + SPACE_W + w).otherwise(w).cast("bigint").alias("used"),
+            F.when(fresh, w).when(tight, s["used"] + gap + w).otherwise(w).cast("bigint").alias("used"),
             (s["ok"] & (w <= limit)).alias("ok"),
         )
 
@@ -153,9 +153,14 @@ def fold_lines(widths: Column, limit: Column, start: Column | None = None) -> Co
 
 
 def wrap(texts: DataFrame) -> DataFrame:
-    """Lines each text takes in its box (``box_w, box_h, size``) and whether it fits."""
-    words = F.filter(F.split("text", f"{X.SPACE}+"), lambda w: w != "")
-    t = texts.withColumn("s", fold_lines(F.transform(words, width_of), _limit()))
+    """Lines each text takes in its box (``box_w, box_h, size``) and whether it fits.
+
+    Text in CJK script breaks between any two characters, other text between words.
+    """
+    cjk = F.col("text").rlike(f"[{X.KANJI}{X.KANA}]")
+    tokens = F.when(cjk, F.split("text", "")).otherwise(F.split("text", f"{X.SPACE}+"))
+    tokens = F.filter(tokens, lambda w: w != "")
+    t = texts.withColumn("s", fold_lines(F.transform(tokens, width_of), _limit(), F.when(cjk, 0).otherwise(SPACE_W)))
     return t.select(*texts.columns, F.col("s.lines").alias("lines"), F.col("s.used").alias("last_used"), (F.col("s.ok") & (F.col("s.lines") * F.col("size") <= F.col("box_h"))).alias("fits"))
 
 

@@ -102,3 +102,9 @@ def test_break_points_and_requests(spark):
 def test_notes_round_trip(spark):
     df = spark.createDataFrame([("  [!!] [translate] lost", ), ("[!] [budget] tight",), ("plain line",)], "value string")
     assert [tuple(r) for r in codecs.parse_notes(df).collect()] == [("error", "translate", "lost"), ("warn", "budget", "tight")]
+
+
+def test_cjk_wraps_by_character(spark):
+    df = spark.createDataFrame([("かなかなかな", 10, 100, 10), ("to be", 10, 100, 10)], "text string, box_w int, box_h int, size int")
+    got = {r.text: r.lines for r in J.wrap(df).collect()}
+    assert got == {"かなかなかな": 6, "to be": 2}
