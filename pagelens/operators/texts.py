@@ -157,10 +157,12 @@ def wrap(texts: DataFrame) -> DataFrame:
 
     Text in CJK script breaks between any two characters, other text between words.
     """
-    cjk = F.col("text").rlike(f"[{X.KANJI}{X.KANA}]")
-    tokens = F.when(cjk, F.split("text", "")).otherwise(F.split("text", f"{X.SPACE}+"))
-    tokens = F.filter(tokens, lambda w: w != "")
-    t = texts.withColumn("s", fold_lines(F.transform(tokens, width_of), _limit(), F.when(cjk, 0).otherwise(SPACE_W)))
+    # Script, gap and limit are columns of their own: inside the fold they would be worked out per word.
+    t = texts.withColumn("_cjk", F.col("text").rlike(f"[{X.KANJI}{X.KANA}]"))
+    tokens = F.when(F.col("_cjk"), F.split("text", "")).otherwise(F.split("text", f"{X.SPACE}+"))
+    widths = F.transform(F.filter(tokens, lambda w: w != ""), width_of)
+    t = t.withColumns({"_w": widths, "_limit": _limit(), "_gap": F.when(F.col("_cjk"), 0).otherwise(SPACE_W)})
+    t = t.withColumn("s", fold_lines(F.col("_w"), F.col("_limit"), F.col("_gap")))
     return t.select(*texts.columns, F.col("s.lines").alias("lines"), F.col("s.used").alias("last_used"), (F.col("s.ok") & (F.col("s.lines") * F.col("size") <= F.col("box_h"))).alias("fits"))
 
 

@@ -25,7 +25,7 @@ def labels(name: str, src: str, keys: str = K, conn: int = 8) -> str:
 {n}_c AS (SELECT {keys}, y * 4096 + x0 AS node, y * 4096 + x0 AS lab FROM {n}_r
   UNION SELECT {kc}, e.b, c.lab FROM {n}_c c JOIN {n}_b e ON {same("c", "e")} AND c.node = e.a),
 {n}_m AS (SELECT {keys}, node, min(lab) AS lab FROM {n}_c GROUP BY {keys}, node),
-{n} AS (SELECT {", ".join("r." + k.strip() for k in keys.split(","))}, r.y AS y, unnest(range(r.x0, r.x1)) AS x, lab
+{n} AS (SELECT {", ".join("r." + k.strip() for k in keys.split(","))}, r.y AS y, CAST(unnest(range(r.x0, r.x1)) AS INT) AS x, lab
   FROM {n}_r r JOIN {n}_m m ON {same("r", "m")} AND m.node = r.y * 4096 + r.x0)"""
 
 
