@@ -113,7 +113,7 @@ def merge_boxes(boxes: DataFrame, pad: int = 0, limit: int = PAIR_LIMIT) -> Data
 def split_shared_parents(assigned: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """Cut a container shared by several regions into one slice per region.
 
-    The axis with the larger spread of centres is cut (ties horizontal). The reference prefix
+    The axis with the larger spread of centres is cut (ties horizontal). The chained rule
     ``cut = max(gap, previous cut + 4)`` unrolls to a running maximum of ``gap - 4*i``, so slices
     come from ordinary running columns. Adds ``shared`` and overwrites ``parent_*``.
     """

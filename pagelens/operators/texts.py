@@ -174,14 +174,14 @@ def _limit() -> Column:
 def fit_sizes(texts: DataFrame, lo: int, hi: int) -> DataFrame:
     """Largest size at which each text fits: the whole size grid is tested per row, in place."""
     words = F.filter(F.split("text", f"{X.SPACE}+"), lambda w: w != "")
-    t = texts.withColumn("w", F.transform(words, width_of))
-
-    def fits(size):
-        s = fold_lines(F.col("w"), F.floor(F.col("box_w") * 1000 / size))
+    def fits(size, widths):
+        s = fold_lines(widths, F.floor(F.col("box_w") * 1000 / size))
         return s["ok"] & (s["lines"] * size <= F.col("box_h"))
 
-    sizes = F.filter(F.sequence(F.lit(lo), F.lit(hi)), fits)
-    return t.select(*texts.columns, F.coalesce(F.array_max(sizes), F.lit(0)).alias("best_size"))
+    # The outer one-element transform binds the widths, so they are measured once for all sizes.
+    grid_ = F.sequence(F.lit(lo), F.lit(hi))
+    sizes = F.transform(F.array(F.transform(words, width_of)), lambda ws: F.filter(grid_, lambda z: fits(z, ws)))[0]
+    return texts.select(*texts.columns, F.coalesce(F.array_max(sizes), F.lit(0)).alias("best_size"))
 
 
 def budgets(boxes: DataFrame, size: Column) -> DataFrame:
