@@ -65,7 +65,7 @@ def mix(units: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS,
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     d = materialize(grouped.withColumn("_key", key).withColumn("_words", F.col("size") * F.col(n)), "units")
     rows = d.count()
-    bits = 4
+    bits = 8
     while bits < 20 and rows >> bits > range_rows:
         bits += 1
     d = d.withColumn("_range", F.shiftright(F.conv(F.substring("_key", 1, 5), 16, 10).cast("int"), 20 - bits))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.llm import mixing, neardup, packing, quality, rules
+from pagelens.llm import ann, chat, html, langid, mixing, neardup, packing, pii, quality, rules
 from pagelens.session import prepare
 
 
@@ -22,10 +22,26 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "documents"))
 
 
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(table(spark, folder, "pages"))
+
+
+def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.conversation_calls(table(spark, folder, "conversations"))
+
+
+def op7_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest_vectors(table(spark, folder, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(table(spark, folder, "documents"))
 
@@ -34,8 +50,12 @@ def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.rule_report(table(spark, folder, "documents"))
 
 
+def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op8_mixing, op9_rules)
+    f.__name__: f for f in (op1_packing, op2_quality, op3_pii, op4_simhash, op5_html, op6_chat, op7_ann, op8_mixing, op9_rules, op10_langid)
 }
 
 ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE}
