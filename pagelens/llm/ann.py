@@ -53,9 +53,9 @@ def perturbations() -> tuple[np.ndarray, np.ndarray]:
 
 def keys(cells: np.ndarray, table: int, dim: int) -> np.ndarray:
     """One number for the cells (last axis) of a table; an accidental clash only adds candidates."""
-    h = np.full(cells.shape[:-1], (table + 1) * 1_000_003 + dim, dtype=np.uint64)
-    for i in range(cells.shape[-1]):
-        h = (h ^ cells[..., i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.full(cells.shape[:-1], table, dtype=np.uint64)
+    for part in (np.int64(dim), *np.moveaxis(cells, -1, 0)):
+        h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     return h.view(np.int64)
 
@@ -122,10 +122,10 @@ def met(index: DataFrame, probes: DataFrame, most: int, part_vectors: int = PART
     def spread(rows: DataFrame, own: Column, other: Column, vector: bool) -> DataFrame:
         mine, all_ = F.pmod(F.xxhash64("unit"), own).cast("int"), F.explode(F.sequence(F.lit(0), other - 1))
         j = rows.join(dealt, F.col("at") == F.col("_at"), "left")
-        return j.select("at", (mine if vector else all_).alias("vp"), (all_ if vector else mine).alias("qp"), F.lit(vector).alias("is_vector"), "unit", "vec")
+        return j.select("at", F.size("vec").alias("dim"), (mine if vector else all_).alias("vp"), (all_ if vector else mine).alias("qp"), F.lit(vector).alias("is_vector"), "unit", "vec")
 
     rows = spread(index, v, q, True).unionByName(spread(probes, q, v, False))
-    where = ["at", "vp", "qp"]
+    where = ["at", "dim", "vp", "qp"]
     rows = rows.repartition(shuffle_width(index), *where).sortWithinPartitions(*where, "is_vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,24 +151,24 @@ class Bucket:
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             return
-        where = np.stack([batch.column(i).to_numpy() for i in range(3)] + [batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
+        where = np.stack([batch.column(i).to_numpy() for i in range(4)] + [batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
         first = np.r_[0, np.nonzero((where[1:] != where[:-1]).any(axis=1))[0] + 1, len(where)]
         unit = batch.column("unit").to_numpy()
         for a, b in zip(first[:-1], first[1:]):
-            if self.where != tuple(where[a, :3]):
+            if self.where != tuple(where[a, :4]):
                 yield from self.close()
-                self.where = tuple(where[a, :3])
-            if where[a, 3] and not len(self.query):
+                self.where = tuple(where[a, :4])
+            if where[a, 4] and not len(self.query):
                 continue
             for rows, v in matrix(batch.column("vec").slice(a, b - a)):
                 u = directions(v)
-                if not where[a, 3]:
+                if not where[a, 4]:
                     self.query = np.r_[self.query, unit[a + rows]]
                     self.q = u if self.q is None else np.concatenate([self.q, u])
                     more = len(self.query) - len(self.score)
                     self.score = np.concatenate([self.score, np.full((more, self.most), -np.inf)])
                     self.unit = np.concatenate([self.unit, np.full((more, self.most), -1)])
-                elif self.q.shape[1] == u.shape[1]:
+                else:
                     for at in range(0, len(u), 2048):
                         self.meet(u[at:at + 2048], unit[a + rows[at:at + 2048]])
 

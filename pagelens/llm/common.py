@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelens.session import materialize
 
@@ -23,7 +24,7 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``fn`` over every Arrow batch; it keeps no state, so a lost task can run again anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +56,14 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def set_aside(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``keep`` in one struct, so that no name of theirs clashes, and the way back."""
+    keep = tuple(c for c in keep if c in docs.columns)
+    rest = [c for c in docs.columns if c not in keep]
+    slim = docs.select(*keep, *([F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in rest]).alias("_rest")] if rest else []))
+    return slim, lambda out: out.select(*[F.col(c) if c in keep else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have in any case."""
     taken = {c.lower() for c in df.columns}

@@ -146,15 +146,19 @@ def squeeze(text: str) -> str:
     return " ".join(unescape(text).split())
 
 
+def run_token(element: Element | None, run: str) -> int:
+    """Runs of text have odd numbers, elements even ones."""
+    return number(str(element.path if element else ROOT), run) | 1
+
+
 def page_tokens(page: str | None) -> dict[tuple[int, int], int]:
     """Counts of ``token, parent token``; elements hang in their parent element, runs of text in their own."""
     counts: dict[tuple[int, int], int] = {}
     for kind, element, text in walk(page or ""):
         if kind == "open":
-            key = element.path, element.parent
+            key = element.path & ~1, element.parent & ~1
         elif kind == "text" and (run := squeeze(text)):
-            path = element.path if element else ROOT
-            key = number(str(path), run), path
+            key = run_token(element, run), (element.path if element else ROOT) & ~1
         else:
             continue
         counts[key] = counts.get(key, 0) + 1
@@ -169,8 +173,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """``host, template``: the tokens of each host's template.
 
     A vector is known by the pages that hold the token, its occurrences and two sums of hashes of (page,
-    count). A class is valid when it holds two tokens or more on more than half of the host's pages, and is
-    nested when its tokens' parents are valid too or are the root. A page has finitely many tokens, so more
+    count). A class is valid when it is on more than half of the host's pages and holds two tokens or more, or is
+    a repeated element, and is nested when its tokens' parents are valid too or are the root. A page has finitely many tokens, so more
     than half of the pages bound a template by two pages' tokens.
     """
 
@@ -213,16 +217,17 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def valid_tokens(tokens: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
-    """Tokens of classes of two or more whose parents, up to the root, are in such classes."""
+    """Tokens of classes of two or more whose parents, up to the root, are valid too; an element that pages repeat
+    as they like is a class of its own, and valid by its parent."""
     sizes: dict[tuple[int, ...], int] = {}
     for _, _, vector in tokens:
         sizes[vector] = sizes.get(vector, 0) + 1
-    left = {token: parent for token, parent, vector in tokens if sizes[vector] > 1}
-    kept = {ROOT}
+    left = {token: parent for token, parent, vector in tokens if sizes[vector] > 1 or not token & 1}
+    kept = {ROOT & ~1}
     while True:
         more = {t for t, p in left.items() if p in kept and t not in kept}
         if not more:
-            return sorted(kept - {ROOT})
+            return sorted(kept - {ROOT & ~1})
         kept |= more
 
 
@@ -241,7 +246,7 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
                 blocks.append((False, []))
         elif kind == "text" and not (element and element.out):
             inside = bool(element and element.main)
-            if not inside and not any_main and (run := squeeze(text)) and number(str(element.path if element else ROOT), run) in template:
+            if not inside and not any_main and (run := squeeze(text)) and run_token(element, run) in template:
                 continue
             if inside != blocks[-1][0]:
                 if any(x.strip() for x in blocks[-1][1]):

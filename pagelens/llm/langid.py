@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.common import remainder
+from pagelens.llm.common import remainder, set_aside
 
 #: Labelled documents the model is fitted on, about, dealt evenly over the languages; prediction covers every row.
 SAMPLE = 3_000
@@ -327,7 +327,5 @@ def language_report(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose language is told with at least ``least`` probability, all columns as they were."""
     model = fit(sampled(docs))
-    clear = {c: c if c == "text" else f"_own{i}" for i, c in enumerate(docs.columns)}  # so that no column is taken for a result
-    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in clear.items()])
-    kept = predicted(renamed, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(n).alias(c) for c, n in clear.items()])
+    slim, back = set_aside(docs, ("text",))
+    return back(predicted(slim, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))

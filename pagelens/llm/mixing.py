@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import WORD, columns, fresh, numbered
+from pagelens.llm.common import WORD, columns, fresh, numbered, set_aside
 from pagelens.session import materialize
 
 #: Weights of the sources in code-point order, repeating.
@@ -99,24 +99,25 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     only (and its ``n_chars`` follows). A document of which nothing is taken is gone, and so are those
     without a word. Equal rows are told apart by a number inside their group.
     """
+    slim, back = set_aside(docs, ("doc_id", "text", "source", "n_chars"))
     text = F.col("text")
-    sized = docs.select(*columns(docs), word_count(text).alias("_size"), F.xxhash64(text).alias("_hash"))
+    sized = slim.select(*columns(slim), word_count(text).alias("_size"), F.xxhash64(text).alias("_hash"))
     group = Window.partitionBy("_hash", "doc_id", "source", "_size").orderBy(F.lit(1))
     sized = sized.withColumn("_nth", F.row_number().over(group))
-    units = docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("_h"))
-    taken = mix(units).filter("taken > 0")
+    taken = mix(docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("_h"))).filter("taken > 0")
     order = Window.partitionBy("_h", "doc_id", "source", "size").orderBy(F.desc("taken"))
     taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_h", "taken", F.row_number().over(order).alias("_i"))
     on = ((F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
           & (F.col("_size") == F.col("_z")) & (F.col("_nth") == F.col("_i")))
-    j = sized.join(taken, on)
     full = F.floor(F.col("taken") / F.col("_size"))
-    words = F.array_repeat(F.col("_size"), full.cast("int"))
     rest = F.col("taken") - full * F.col("_size")
-    j = j.withColumn("_words", F.explode(F.when(rest > 0, F.concat(words, F.array(rest))).otherwise(words)))
-    cut = F.when(F.col("_words") < F.col("_size"), first_words(text, F.col("_words"))).otherwise(text)
-    changed = {"text": cut, "n_chars": F.when(F.col("_words") < F.col("_size"), F.char_length(cut)).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {"text": cut}
-    return j.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    copies = F.array_repeat(F.col("_size"), full.cast("int"))
+    j = sized.join(taken, on).withColumn("_words", F.explode(F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)))
+    short = F.col("_words") < F.col("_size")
+    j = j.withColumn("_cut", F.when(short, first_words(text, F.col("_words"))).otherwise(text))
+    if "n_chars" in slim.columns:
+        j = j.withColumn("n_chars", F.when(short, F.char_length("_cut").cast(slim.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return back(j.withColumn("text", F.col("_cut")))
 
 
 def first_words(text: Column, n: Column) -> Column:

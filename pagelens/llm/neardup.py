@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import columns, fresh, map_rows, shuffle_width
+from pagelens.llm.common import columns, map_rows, set_aside, shuffle_width
 from pagelens.operators.graph import min_labels
 from pagelens.session import materialize
 
@@ -280,26 +280,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     group without any doc_id keeps one row in the same way.
     """
     kept = materialize(groups(docs).select(F.col("doc_id").alias("_d"), F.col("component_id").alias("_c"), "fingerprint"), "kept")
+    slim, back = set_aside(docs, ("doc_id", "text"))
     named = kept.filter("_d = _c").select("_d").distinct()
-    rank = fresh(docs, "rank")
-    mine = docs.join(named, docs["doc_id"] == F.col("_d"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.hash(*[c for c in columns(docs)]))
-    named_rows = mine.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.hash(*columns(slim)))
+    mine = slim.join(named, F.col("doc_id") == F.col("_d"), "left_semi").withColumn("_nth", F.row_number().over(order))
+    out = mine.filter("_nth = 1").select(*columns(slim))
     bare = kept.filter("_c IS NULL").select("fingerprint").distinct()
-    if bare.isEmpty():
-        return named_rows
-    label = fresh(docs, "fp")
-    orphans = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
-    marked = orphans.join(fingerprint_of(orphans, label), F.col("text").eqNullSafe(F.col(f"{label}t"))).join(bare, F.col(label) == F.col("fingerprint"))
-    once = marked.dropDuplicates([label]).select(*columns(docs))
-    return named_rows.unionByName(once)
+    if not bare.isEmpty():
+        orphans = slim.filter("doc_id IS NULL").dropDuplicates(["text"])
+        marked = orphans.join(fingerprint_of(orphans), F.col("text").eqNullSafe(F.col("_text"))).join(bare, F.col("_fp") == F.col("fingerprint"))
+        out = out.unionByName(marked.dropDuplicates(["_fp"]).select(*columns(slim)))
+    return back(out)
 
 
-def fingerprint_of(docs: DataFrame, name: str) -> DataFrame:
+def fingerprint_of(docs: DataFrame) -> DataFrame:
     """Each text with its fingerprint as 16 hexadecimal digits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0)
-        return pa.RecordBatch.from_arrays([texts, pa.array([f"{fingerprint(t):016x}" for t in texts.to_pylist()])], [f"{name}t", name])
+        return pa.RecordBatch.from_arrays([texts, pa.array([f"{fingerprint(t):016x}" for t in texts.to_pylist()])], ["_text", "_fp"])
 
-    return map_rows(docs.select("text"), run, f"`{name}t` string, `{name}` string")
+    return map_rows(docs.select("text"), run, "_text string, _fp string")

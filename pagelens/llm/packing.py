@@ -4,8 +4,9 @@ A document's identifiers are cut into full windows and one rest. The rests are p
 histogram of at most ``window`` counts is all that the driver sees. Combinations of up to three lengths that
 fill a window are the columns of a non-negative least-squares problem whose right side is the histogram;
 its solution says how often to repeat each combination. Repeats are rounded, largest first, within what
-the histogram still holds, and the few pieces left over are packed greedily. The plan then gives every
-piece its place by its rank among the pieces of its length.
+the histogram still holds, and the pieces left over are packed greedily. Where that leaves large gaps, as
+when most documents have one awkward length, the pieces concerned are cut once more and all are planned
+anew. The plan then gives every piece its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ END = 0
 #: The vocabulary of byte_bpe_50k.json in the form of the faster of the two libraries; tests compare their identifiers.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ROUNDS = 150
+#: Share of a window that may stay empty before the pieces in it are cut.
+GAP = 0.01
 
 
 @cache
@@ -97,7 +100,7 @@ def plan(histogram: np.ndarray, window: int = SEQUENCE) -> list[tuple[tuple[int,
         for at in np.argsort(-x, kind="stable"):
             lengths = [int(n) for n in combos[at] if n]
             need = {n: lengths.count(n) for n in lengths}
-            take(lengths, min(int(np.ceil(x[at])), min(int(left[n]) // m for n, m in need.items())))
+            take(lengths, min(int(np.rint(x[at])), min(int(left[n]) // m for n, m in need.items())))
     while left.any():
         lengths = _fill(left, window)
         need = {n: lengths.count(n) for n in set(lengths)}
@@ -128,6 +131,49 @@ def _fill(left: np.ndarray, window: int) -> list[int]:
     return sorted(lengths, reverse=True)
 
 
+def padding(planned: list[tuple[tuple[int, ...], int]], window: int = SEQUENCE) -> int:
+    """Places that stay empty; a sequence that is a power of two long is not padded."""
+    return sum(times * (window - sum(n)) for n, times in planned if sum(n) & (sum(n) - 1))
+
+
+def cut_at(length: int, window: int = SEQUENCE) -> int:
+    """Where a piece is cut if the plan asks for it: after half or a quarter of a window, 0 for nowhere."""
+    return next((h for h in (window // 2, window // 4) if h < length < window), 0)
+
+
+def plan_with_cuts(histogram: np.ndarray, window: int = SEQUENCE) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """A plan, and how many pieces of each length it wants cut: those of sequences with gaps, if that lessens the padding."""
+    best, cuts = plan(histogram, window), np.zeros_like(histogram)
+    wanted = np.zeros_like(histogram)
+    for lengths, times in best:
+        if window - sum(lengths) > GAP * window and padding([(lengths, 1)], window):
+            for n in lengths:
+                wanted[n] += times if cut_at(n, window) else 0
+    if wanted.any():
+        after = histogram - wanted
+        for n in np.nonzero(wanted)[0]:
+            head = cut_at(int(n), window)
+            after[head] += wanted[n]
+            after[n - head] += wanted[n]
+        other = plan(after, window)
+        if padding(other, window) < padding(best, window):
+            best, cuts = other, wanted
+    return best, cuts
+
+
+def fragment_ranks(histogram: np.ndarray, cuts: np.ndarray, window: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each length: the pieces that stay whole, and the first ranks of heads and of tails among pieces of their own lengths."""
+    whole = histogram - cuts
+    seen, head, tail = whole.copy(), np.zeros_like(histogram), np.zeros_like(histogram)
+    for n in np.nonzero(cuts)[0]:
+        at = cut_at(int(n), window)
+        head[n] = seen[at]
+        seen[at] += cuts[n]
+        tail[n] = seen[n - at]
+        seen[n - at] += cuts[n]
+    return whole, head, tail
+
+
 def slots(planned: list[tuple[tuple[int, ...], int]], window: int = SEQUENCE) -> dict[int, np.ndarray]:
     """For each length, rows of first rank, first sequence, uses in one sequence, offset of the first use."""
     table: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -147,7 +193,7 @@ def slots(planned: list[tuple[tuple[int, ...], int]], window: int = SEQUENCE) ->
 # rows
 
 def pieces(docs: DataFrame, window: int = SEQUENCE, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` with the part that made a piece and its rank among the part's pieces of that length."""
+    """``doc_id, start, length, ids_crc32, doc_tokens``, the checksums of a piece's halves should it be cut, and its rank among the pieces of that length in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -158,14 +204,16 @@ def pieces(docs: DataFrame, window: int = SEQUENCE, vocabulary: str = VOCABULARY
                 ids = token_ids(text, vocabulary)
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), int(seen[len(piece)])))
+                    at = cut_at(len(piece), window)
+                    crc = [zlib.crc32(x.tobytes()) for x in (piece, piece[:at], piece[at:])]
+                    rows.append((doc_id, start, len(piece), *crc, len(ids), int(seen[len(piece)])))
                     seen[len(piece)] += 1
             if rows:
                 made = [pa.array(x, type=pa.int64()) for x in zip(*rows)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth", "part"]
+                names = ["doc_id", "start", "length", "ids_crc32", "head_crc32", "tail_crc32", "doc_tokens", "nth", "part"]
                 yield pa.RecordBatch.from_arrays([*made, pa.array(np.full(len(rows), part, dtype=np.int64))], names)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long, part long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, head_crc32 long, tail_crc32 long, doc_tokens long, nth long, part long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -181,14 +229,25 @@ def packed(docs: DataFrame, window: int = SEQUENCE, vocabulary: str = VOCABULARY
     histogram = np.zeros(window + 1, dtype=np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``window`` rows
         histogram[row["length"]] = row["n"]
-    table = slots(plan(histogram, window), window)
+    planned, cuts = plan_with_cuts(histogram, window)
+    table = slots(planned, window)
+    whole, head_rank, tail_rank = fragment_ranks(histogram, cuts, window)
     past = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
     ranked = made.join(before, ["part", "length"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("nth") + F.col("before")).alias("rank"))
+        "doc_id", "doc_tokens", "start", "length", "ids_crc32", "head_crc32", "tail_crc32", (F.col("nth") + F.col("before")).alias("rank"))
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+        doc_id, tokens = batch.column("doc_id"), batch.column("doc_tokens")
+        start, length, crc, head, tail, rank = (batch.column(c).to_numpy() for c in ("start", "length", "ids_crc32", "head_crc32", "tail_crc32", "rank"))
+        uncut, cut = np.nonzero(rank < whole[length])[0], np.nonzero(rank >= whole[length])[0]
+        at = np.array([cut_at(int(n), window) for n in length[cut]], dtype=np.int64)
+        over = rank[cut] - whole[length[cut]]
+        row = np.concatenate([uncut, cut, cut])
+        start = np.concatenate([start[uncut], start[cut], start[cut] + at])
+        rank = np.concatenate([rank[uncut], head_rank[length[cut]] + over, tail_rank[length[cut]] + over])
+        crc = np.concatenate([crc[uncut], head[cut], tail[cut]])
+        length = np.concatenate([length[uncut], at, length[cut] - at])
         sequence, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
         for n in np.unique(length):
             mine = np.nonzero(length == n)[0]
@@ -196,6 +255,8 @@ def packed(docs: DataFrame, window: int = SEQUENCE, vocabulary: str = VOCABULARY
             within = rank[mine] - rows[:, 0]
             sequence[mine] = rows[:, 1] + within // rows[:, 2]
             offset[mine] = rows[:, 3] + within % rows[:, 2] * n
-        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
+        made = [doc_id.take(pa.array(row)), *map(pa.array, (start, length, crc)), tokens.take(pa.array(row)), pa.array(sequence), pa.array(offset)]
+        return pa.RecordBatch.from_arrays(made, names)
 
-    return map_rows(ranked, place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return map_rows(ranked, place, ", ".join(f"{n} long" for n in names))
