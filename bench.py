@@ -8,12 +8,12 @@ import time
 
 from pagelens.plans import catalog
 from pagelens.plans.registry import QUERIES
-from pagelens.session import local_session
+from pagelens.session import local_session, release
 
 HEADLINE = (
     "suppress merge_nested assign_parents reading_order box_pairs overlap_groups split_parents label_regions clean_answer "
     "text_metrics wrap page_report batch_summary diagnose attempt_outcomes sweep otsu components dilate background_stats "
-    "mask_intersect residue leakage disjoin"
+    "mask_intersect residue leakage disjoin nearest glyph_lines incremental_ingest seed_grow clean_audit compose_masks"
 ).split()
 
 
@@ -29,6 +29,7 @@ def main() -> None:
         t0 = time.time()
         fn(spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - t0, 3)
+        release(spark)
     sf = folder.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
 

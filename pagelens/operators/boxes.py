@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import geometry as G
 from pagelens.operators.grouping import down, split_hot, top_k
-from pagelens.session import materialize
+from pagelens.session import materialize, written
 from pagelens.settings import SETTINGS
 
 CELL = 256
@@ -177,9 +177,8 @@ def box_pairs(a: DataFrame, b: DataFrame, min_inter: int = 1) -> DataFrame:
 def suppress(dets: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Greedy suppression in (score desc, det_id) order, containers and text separately.
 
-    Small pages fold their sorted boxes in one expression. A page over ``fold_limit`` is settled
-    in batches: the best boxes fold among themselves, the survivors remove what they overlap
-    through the grid join, and the next batch starts from what is left.
+    Small pages fold their sorted boxes in one expression; a page over ``fold_limit`` settles in
+    rounds through the grid join.
     """
     parent = F.col("cls") == 0
     tagged = dets.withColumns({
@@ -190,7 +189,7 @@ def suppress(dets: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     cold, hot = split_hot(tagged, ["page_id", "grp"], fold_limit)
     kept = _fold_survivors(cold)
     if hot is not None:
-        kept = kept.unionByName(_suppress_in_batches(hot, fold_limit))
+        kept = kept.unionByName(_suppress_large(hot, fold_limit))
     return kept.select(*dets.columns)
 
 
@@ -206,23 +205,40 @@ def _fold_survivors(tagged: DataFrame) -> DataFrame:
     return pages.select("page_id", "grp", F.inline(kept)).select(*tagged.columns)
 
 
-def _suppress_in_batches(hot: DataFrame, batch: int) -> DataFrame:
+def _suppress_large(hot: DataFrame, batch: int) -> DataFrame:
+    """The same survivors without folding a page.
+
+    Boxes without area overlap nothing and all survive; of equal boxes with area only the best can. The
+    best ``batch`` of a page fold among themselves and clear what they overlap. What is left settles in
+    rounds: every box that no open box outranks and suppresses survives at once, and removes its losers.
+    """
     keys = ["page_id", "grp"]
-    # Of boxes with identical corners only the best can survive.
+    flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
+    hot = written(hot, "boxes")
     other = [c for c in hot.columns if c not in (*keys, "x1", "y1", "x2", "y2")]
     best = F.min_by(F.struct(*other), F.struct(-F.col("score"), F.col("det_id"))).alias("o")
-    rest = materialize(hot.groupBy(*keys, "x1", "y1", "x2", "y2").agg(best).select(*keys, "x1", "y1", "x2", "y2", "o.*"), "boxes")
-    parts: list[DataFrame] = []
+    rest = hot.filter(~flat).groupBy(*keys, "x1", "y1", "x2", "y2").agg(best).select(*keys, "x1", "y1", "x2", "y2", "o.*").select(*hot.columns)
+    rest = materialize(rest, "boxes")
+    head = top_k(rest, keys, [down(F.col("score")), F.col("det_id")], batch).drop("rank")
+    survivors = materialize(_fold_survivors(head.select(*hot.columns)), "survivors")
+    parts = [hot.filter(flat), survivors]
+    box = [*keys, "det_id", "x1", "y1", "x2", "y2"]
+    a, b = G.sides("a_"), G.sides("b_")
+    lost = overlap_join(rest.select(*box, "t", "c"), survivors.select(*box), keys).filter(G.suppresses(b, a, F.col("a_t"), F.col("a_c")))
+    settled = lost.select(*keys, F.col("a_det_id").alias("det_id")).union(head.select(*keys, "det_id")).distinct()
+    rest = materialize(rest.join(settled, [*keys, "det_id"], "left_anti"), "boxes")
+    ranks = (F.col("b_score") > F.col("a_score")) | ((F.col("b_score") == F.col("a_score")) & (F.col("b_det_id") < F.col("a_det_id")))
+    edges = overlap_join(rest.select(*box, "score", "t", "c"), rest.select(*box, "score"), keys).filter(ranks & G.suppresses(b, a, F.col("a_t"), F.col("a_c")))
+    edges = materialize(edges.select(*keys, F.col("b_det_id").alias("over"), F.col("a_det_id").alias("under")), "outranked")
     while not rest.isEmpty():
-        head = top_k(rest, keys, [down(F.col("score")), F.col("det_id")], batch).drop("rank")
-        survivors = materialize(_fold_survivors(head.select(*hot.columns)), "survivors")
-        parts.append(survivors)
-        pairs = overlap_join(rest.select(*keys, "det_id", "x1", "y1", "x2", "y2", "t", "c"),
-                             survivors.select(*keys, "det_id", "x1", "y1", "x2", "y2"), keys)
-        a, b = G.sides("a_"), G.sides("b_")
-        lost = pairs.filter(G.suppresses(b, a, F.col("a_t"), F.col("a_c"))).select(*keys, F.col("a_det_id").alias("det_id"))
-        settled = lost.union(survivors.select(*keys, "det_id")).distinct()
-        rest = materialize(rest.join(settled, [*keys, "det_id"], "left_anti"), "boxes")
+        free = materialize(rest.join(edges.withColumnRenamed("under", "det_id"), [*keys, "det_id"], "left_anti"), "survivors")
+        parts.append(free)
+        gone = edges.join(free.select(*keys, F.col("det_id").alias("over")), [*keys, "over"], "left_semi").select(*keys, F.col("under").alias("det_id")).distinct()
+        out = materialize(free.select(*keys, "det_id").union(gone.select(*keys, "det_id")), "settled")
+        rest = materialize(rest.join(out, [*keys, "det_id"], "left_anti"), "boxes")
+        edges = materialize(
+            edges.join(out.withColumnRenamed("det_id", "over"), [*keys, "over"], "left_anti")
+            .join(out.withColumnRenamed("det_id", "under"), [*keys, "under"], "left_anti").select(*keys, "over", "under"), "outranked")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -235,6 +251,7 @@ def merge_nested(regions: DataFrame, contain: float = SETTINGS.nested_contain, f
     Pairs settle in (inner, outer) order and nesting is judged on the original boxes. Adds
     ``absorbed``, the number of boxes merged into the survivor.
     """
+    regions = written(regions, "regions")
     box = regions.select("page_id", F.col("det_id").alias("id"), "x1", "y1", "x2", "y2")
     a, b = G.sides("a_"), G.sides("b_")
     inside = (
@@ -360,18 +377,20 @@ def square_cost(dx: Column, dy: Column) -> Column:
     return dx * dx + dy * dy
 
 
-def nearest(targets: DataFrame, cands: DataFrame, keys=("page_id",), cost=line_cost, bound=lambda cell: cell,
-            cell: int = 64, reach: int = 1 << 16) -> DataFrame:
+def nearest(targets: DataFrame, cands: DataFrame, keys=("page_id",), cost=line_cost, bound=lambda cell: cell, cell: int = 64) -> DataFrame:
     """For each target point the candidate of least ``cost`` inside the same ``keys`` (ties: lowest cand_id).
 
     Searches the 3x3 neighbourhood of a grid; the join feeds a partial minimum, so no pair is
     shuffled. Whatever lies outside the neighbourhood costs at least ``bound(cell)``, so a
-    target with a lower cost is done. The others go on with a grid four times as coarse.
+    target with a lower cost is done. The others go on with a grid four times as coarse, until a
+    cell is as wide as any key's points spread; then every candidate has been compared.
     """
     keys = list(keys)
     pool = materialize(cands.select(*keys, "cand_id", F.col("x").alias("qx"), F.col("y").alias("qy")), "cands")
     todo = targets.select(*keys, "target_id", "x", "y").join(pool.select(*keys).distinct(), keys, "left_semi")
     todo, parts = materialize(todo, "todo"), []
+    points = pool.select(*keys, F.col("qx").alias("x"), F.col("qy").alias("y")).unionByName(todo.select(*keys, "x", "y"))
+    spread = points.groupBy(*keys).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("s")).agg(F.max("s")).first()[0]
     while True:
         around = lambda c: F.explode(F.sequence(F.floor(c / cell) - 1, F.floor(c / cell) + 1))  # noqa: B023, E731
         left = todo.withColumn("cell_x", around(F.col("x"))).withColumn("cell_y", around(F.col("y")))
@@ -380,7 +399,7 @@ def nearest(targets: DataFrame, cands: DataFrame, keys=("page_id",), cost=line_c
         hit = left.join(right, [*keys, "cell_x", "cell_y"]).groupBy(*keys, "target_id").agg(
             F.min(F.struct(price.alias("cost"), F.col("cand_id"))).alias("m")
         ).select(*keys, "target_id", F.col("m.cost").alias("cost"), F.col("m.cand_id").alias("cand_id"))
-        last = cell >= reach
+        last = spread is None or cell >= spread
         found = materialize(hit if last else hit.filter(F.col("cost") < bound(cell)), "nearest")
         parts.append(found)
         if last:

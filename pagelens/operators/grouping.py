@@ -13,14 +13,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.session import materialize
+from pagelens.session import materialize, written
 
 GROUP_LIMIT = 200_000
 BLOCK_ROWS = 500_000
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups with at most ``limit`` rows, and the rest (``None`` when there is none)."""
+    """Rows of groups with at most ``limit`` rows, and the rest (``None`` when there is none).
+
+    The input is written first unless it is a written table: it is read for the counts and for both parts.
+    """
+    df = written(df, "sized")
     big = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
     if big.isEmpty():
         return df, None

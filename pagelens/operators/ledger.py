@@ -9,7 +9,6 @@ from pagelens.operators.grouping import GROUP_LIMIT, Scan, scan, top_k
 from pagelens.operators.texts import with_protection
 from pagelens.settings import SETTINGS
 
-PART_ROWS = 5_000
 # Transient HTTP codes.
 TRANSIENT = (429, 500, 502, 503, 504)
 
@@ -29,33 +28,31 @@ def page_counts(regions: DataFrame, notes: DataFrame) -> DataFrame:
     return n.join(m, "page_id", "left").na.fill(zero)
 
 
-def page_report(regions: DataFrame, notes: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """The page report: counts plus sorted id lists.
+def page_report(regions: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The page report: one row of counts for every page, and the table of its id lists.
 
-    A page over ``part_rows`` regions comes in several parts (each with the full counts and its
-    share of the ids), so that no row ever holds an unbounded list.
+    The second table has ``page_id, kind, region_id`` with kind residue_idx, sfx_idx or untranslated_idx, so
+    that no row grows with its page.
     """
-    counts = page_counts(regions, notes)
-    parts = F.greatest(F.ceil(F.col("region_count") / part_rows), F.lit(1)).cast("int")
-    r = with_protection(regions).join(counts.select("page_id", parts.alias("parts")), "page_id")
-    r = r.withColumn("part", F.pmod(F.xxhash64("region_id"), F.col("parts")).cast("int"))
-    ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("region_id"))))
-    lists = r.groupBy("page_id", "part").agg(
-        ids(F.col("residue")).alias("residue_idx"), ids(F.col("label") == "SFX").alias("sfx_idx"), ids(F.col("to_send")).alias("untranslated_idx"))
-    return counts.join(lists, "page_id")
-
-
-def report_documents(regions: DataFrame, notes: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Sidecar documents ``page_id, part, doc`` (JSON with nested regions and notes)."""
-    base = page_report(regions, notes, part_rows)
-    sized = regions.join(base.groupBy("page_id").agg((F.max("part") + 1).alias("parts")), "page_id")
-    cols = [c for c in regions.columns if c != "page_id"]
-    nested = sized.groupBy("page_id", F.pmod(F.xxhash64("region_id"), F.col("parts")).cast("int").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("region_id", *[c for c in cols if c != "region_id"]))).alias("regions"))
-    said = notes.join(base.select("page_id", "part").groupBy("page_id").agg((F.max("part") + 1).alias("parts")), "page_id").groupBy(
-        "page_id", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "level", "tag", "msg"))).alias("notes"))
-    j = base.join(nested, ["page_id", "part"]).join(said, ["page_id", "part"], "left")
-    return j.select("page_id", "part", F.to_json(F.struct(*j.columns)).alias("doc"))
+    lists = {"residue_idx": F.col("residue"), "sfx_idx": F.col("label") == "SFX", "untranslated_idx": F.col("to_send")}
+    kinds = F.array_compact(F.array(*[F.when(cond, F.lit(kind)) for kind, cond in lists.items()]))
+    ids = with_protection(regions).select("page_id", F.explode(kinds).alias("kind"), "region_id")
+    return page_counts(regions, notes), ids
+
+
+def report_documents(regions: DataFrame, notes: DataFrame) -> DataFrame:
+    """Sidecar documents ``page_id, doc``: one JSON text for every page, with its id lists, regions and notes.
+
+    A document is as large as its page by its format; pages too large for that belong in the tables of
+    :func:`page_report`.
+    """
+    counts, ids = page_report(regions, notes)
+    lists = ids.groupBy("page_id").pivot("kind", ["residue_idx", "sfx_idx", "untranslated_idx"]).agg(F.array_sort(F.collect_list("region_id")))
+    rest = [c for c in regions.columns if c not in ("page_id", "region_id")]
+    nested = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("region_id", *rest))).alias("regions"))
+    said = notes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "tag", "msg"))).alias("notes"))
+    j = counts.join(lists, "page_id", "left").join(nested, "page_id").join(said, "page_id", "left")
+    return j.select("page_id", F.to_json(F.struct(*j.columns)).alias("doc"))
 
 
 def batch_summary(counts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pagelens.functions import geometry as G
 from pagelens.operators.boxes import overlap_join
 from pagelens.operators.graph import components
 from pagelens.operators.grouping import GROUP_LIMIT, Scan, down, ranked, scan, split_hot
-from pagelens.session import materialize
+from pagelens.session import materialize, written
 
 PAIR_LIMIT = 5_000
 
@@ -89,8 +89,8 @@ def overlap_groups(boxes: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
 def merge_boxes(boxes: DataFrame, pad: int = 0, limit: int = PAIR_LIMIT) -> DataFrame:
     """Bounding boxes of padded boxes, merged until none overlap.
 
-    The closure does not depend on the order of merging, so a round only sends every box to the
-    lowest id it overlaps; pages without any overlap left drop out of the following rounds.
+    The closure does not depend on the order of merging. A round labels whole chains of overlapping
+    boxes and takes each chain's bounding box; pages without any overlap left drop out.
     """
     now = boxes.select(
         "page_id", "det_id", (F.col("x1") - pad).alias("x1"), (F.col("y1") - pad).alias("y1"),
@@ -98,14 +98,13 @@ def merge_boxes(boxes: DataFrame, pad: int = 0, limit: int = PAIR_LIMIT) -> Data
     )
     now, done = materialize(now, "boxes"), []
     while True:
-        hop = overlap_links(now, limit).groupBy("page_id", F.greatest("a", "b").alias("det_id")).agg(F.min(F.least("a", "b")).alias("to"))
-        hop = materialize(hop, "hops")
-        busy = hop.select("page_id").distinct()
+        chain = materialize(overlap_groups(now, limit), "chains")
+        busy = chain.select("page_id").distinct()
         done.append(now.join(busy, "page_id", "left_anti"))
-        if hop.isEmpty():
+        if chain.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        merged = now.join(busy, "page_id", "left_semi").join(hop, ["page_id", "det_id"], "left").groupBy(
-            "page_id", F.coalesce("to", "det_id").alias("det_id")
+        merged = now.join(busy, "page_id", "left_semi").join(chain, ["page_id", "det_id"], "left").groupBy(
+            "page_id", F.coalesce("grp", "det_id").alias("det_id")
         ).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
         now = materialize(merged, "boxes")
 
@@ -117,6 +116,7 @@ def split_shared_parents(assigned: DataFrame, limit: int = GROUP_LIMIT) -> DataF
     ``cut = max(gap, previous cut + 4)`` unrolls to a running maximum of ``gap - 4*i``, so slices
     come from ordinary running columns. Adds ``shared`` and overwrites ``parent_*``.
     """
+    assigned = written(assigned, "assigned")
     P = ["parent_x1", "parent_y1", "parent_x2", "parent_y2"]
     keys = ["page_id", *P]
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2

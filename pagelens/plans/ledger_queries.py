@@ -97,10 +97,11 @@ ct AS (SELECT r.page_id, count(*) AS region_count, count(*) FILTER (residue) AS
 
 @query("page_report", "WITH " + COUNTS_SQL + " SELECT * FROM ct", "regions ledger")
 def _(c):
-    r = L.page_report(c.regions, c.ledger).drop("part")
-    text = lambda n: F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n)
+    counts, ids = L.page_report(c.regions, c.ledger)
     lists = ("residue_idx", "sfx_idx", "untranslated_idx")
-    return r.select(*[n for n in r.columns if n not in lists], *[text(n) for n in lists])
+    texts = ids.groupBy("page_id").pivot("kind", list(lists)).agg(F.array_join(F.array_sort(F.collect_list("region_id")).cast("array<string>"), ","))
+    j = counts.join(texts, "page_id", "left")
+    return j.select(*counts.columns, *[F.coalesce(n, F.lit("")).alias(n) for n in lists])
 
 
 @query("page_table", "WITH " + COUNTS_SQL + """

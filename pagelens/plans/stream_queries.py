@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.plans.box_queries import SUPPRESS_SQL, order_sql
+from pagelens.plans.box_queries import MERGE_SQL, SUPPRESS_SQL, order_sql
 from pagelens.plans.corpus import VIEWS
 from pagelens.plans.registry import query
 from pagelens.session import fresh_path
@@ -66,7 +66,16 @@ def _(c):
     return drain(L.dedup_notes(stream_view(c, "ledger"))).select("level", "tag", "msg")
 
 
-@query("page_completion")
+@query("page_completion", """
+WITH e AS (SELECT event_id // 20 AS page_id, event_id % 10 AS region_id, event_id % 20 < 10 AS told, ts,
+    trim(CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN '' ELSE coalesce(props, '') END) <> '' AS said FROM events),
+p AS (SELECT page_id, epoch_ms(max(ts)) + 3600000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events) AS over FROM e GROUP BY page_id),
+a AS (SELECT DISTINCT page_id, region_id, TRUE AS yes FROM e WHERE told), b AS (SELECT DISTINCT page_id, region_id, TRUE AS yes FROM e WHERE NOT told AND said),
+m AS (SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.region_id, b.region_id) AS region_id, a.yes AS told, b.yes AS said FROM a FULL JOIN b ON a.page_id = b.page_id AND a.region_id = b.region_id),
+c AS (SELECT page_id, count(*) FILTER (told) AS n, count(*) FILTER (told AND said IS NULL) AS lacking FROM m GROUP BY page_id)
+SELECT page_id, 'complete' AS kind, CAST(NULL AS BIGINT) AS region_id, n FROM c WHERE n > 0 AND lacking = 0
+UNION ALL SELECT m.page_id, CASE WHEN n > 0 THEN 'repair' ELSE 'late' END, region_id, 1 FROM m JOIN c USING (page_id) JOIN p USING (page_id)
+WHERE over AND ((lacking > 0 AND told AND said IS NULL) OR n = 0)""")
 def _(c):
     e = event_stream(c)
     i = F.col("event_id")
@@ -76,7 +85,7 @@ def _(c):
     return drain(P.page_completion(rows))
 
 
-@query("incremental_ingest", "WITH " + SUPPRESS_SQL + ", tx AS (SELECT * FROM sup WHERE cls <> 0)," + order_sql("tx", "ro") + " SELECT page_id, det_id, row_no, idx FROM ro_o", "det")
+@query("incremental_ingest", "WITH " + SUPPRESS_SQL + "," + MERGE_SQL + "," + order_sql("mrg", "ro") + " SELECT page_id, det_id, row_no, idx FROM ro_o", "det")
 def _(c):
     landing = fresh_path(c.spark, "landing")
     c.det.repartition(2).write.parquet(landing)

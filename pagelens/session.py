@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by this process and not yet deleted.
+_PATHS: list[str] = []
+
 
 def local_session(cores: int | str = "*", app: str = "pagelens", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the submitter configures Spark."""
@@ -50,7 +53,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, stem: str) -> str:
-    return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
 
 
 def materialize(df: DataFrame, stem: str = "table") -> DataFrame:
@@ -59,7 +64,24 @@ def materialize(df: DataFrame, stem: str = "table") -> DataFrame:
     Compared with ``checkpoint()`` the plan runs once instead of twice, lost executors cost
     nothing that was already written, and the re-read carries real size statistics.
     """
-    spark = prepare(df.sparkSession)
+    spark = df.sparkSession
     path = fresh_path(spark, stem)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = True
+    return out
+
+
+def written(df: DataFrame, stem: str = "table") -> DataFrame:
+    """``df`` itself if it is such a table already, else :func:`materialize`; for inputs that are read more than once."""
+    return df if getattr(df, "_written", False) else materialize(df, stem)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process has written for ``spark`` so far; results that still read them must be stored before."""
+    dropped = 0
+    for path in [p for p in _PATHS if p.startswith(shared_folder(spark))]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        dropped += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+        _PATHS.remove(path)
+    return dropped

@@ -10,7 +10,7 @@ from pagelens.session import fresh_path
 REGION = ("region_id bigint, x1 int, y1 int, x2 int, y2 int, det_conf double, label string, src_text string, translation string, "
           "overflowed boolean, route string, residue boolean")
 NOTE = "seq bigint, level string, tag string, msg string"
-DOCUMENT = (f"page_id bigint, part int, region_count bigint, translated_count bigint, untranslated_count bigint, "
+DOCUMENT = (f"page_id bigint, region_count bigint, translated_count bigint, untranslated_count bigint, "
             f"regions array<struct<{REGION.replace(' ', ':').replace(',:', ',')}>>, notes array<struct<{NOTE.replace(' ', ':').replace(',:', ',')}>>")
 
 
@@ -38,13 +38,10 @@ def _documents(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
 
 
 def run_inventory(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Latest report per page: translated share, file time and size.
-
-    A page reported in parts is complete only with all parts of its newest file time.
-    """
+    """Latest report per page: translated share, file time and size."""
     docs = _documents(spark, path, multi_line).filter("_bad is null")
-    newest = docs.groupBy("page_id", "part").agg(F.max(F.struct("modified", "file", "bytes", "translated_count", "region_count")).alias("m"))
-    return newest.groupBy("page_id").agg(F.max("m").alias("m")).select(
+    newest = docs.groupBy("page_id").agg(F.max(F.struct("modified", "file", "bytes", "translated_count", "region_count")).alias("m"))
+    return newest.select(
         "page_id", (F.col("m.translated_count") / F.greatest("m.region_count", F.lit(1))).alias("translated_share"),
         F.date_format("m.modified", "MM-dd HH:mm:ss").alias("modified"), F.col("m.bytes").alias("bytes"))
 

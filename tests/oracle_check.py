@@ -73,7 +73,7 @@ def main(argv):
         folder, argv = argv[0], argv[1:]
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
-    from pagelens.session import local_session
+    from pagelens.session import local_session, release
 
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
@@ -86,6 +86,7 @@ def main(argv):
             ok, detail = compare(spark, con, folder, q[n], o.get(n))
         except Exception as e:  # noqa: BLE001 - keep going, report at the end
             ok, detail = False, f"{type(e).__name__}: {str(e)[:700]}"
+        release(spark)
         failed += not ok
         print(("ok   " if ok else "FAIL ") + f"{n:24s} {detail}", flush=True)
     print(f"{len(names) - failed}/{len(names)} ok")

@@ -85,6 +85,21 @@ def test_suppress_matches_brute_force_on_both_paths(spark):
         assert sorted(r.det_id for r in B.suppress(df, limit).collect()) == want
 
 
+def test_boxes_without_area_survive_on_both_paths(spark):
+    rows = [(1, 1, 50, 10, 50, 40, 9, 1), (1, 2, 50, 10, 50, 40, 8, 1), (1, 3, 0, 0, 30, 30, 7, 1), (1, 4, 0, 0, 30, 30, 7, 1), (1, 5, 1, 1, 31, 31, 9, 1)]
+    df = spark.createDataFrame(rows, BOX + ", score int, cls int")
+    for limit in (10_000, 1):
+        assert sorted(r.det_id for r in B.suppress(df, limit).collect()) == greedy(rows) == [1, 2, 5]
+
+
+def test_chain_merges_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = O.overlap_groups
+    monkeypatch.setattr(O, "overlap_groups", lambda *a: rounds.append(1) or real(*a))
+    df = boxes(spark, [(i * 8, 0, i * 8 + 10, 10) for i in range(1000)])
+    assert coords(O.merge_boxes(df)) == [(0, 0, 999 * 8 + 10, 10)] and len(rounds) <= 3
+
+
 def test_overlap_groups_sweep_agrees_with_pairs(spark):
     df = spark.createDataFrame(random_boxes(150, 11, side=900, pages=2), BOX)
     a = sorted(map(tuple, O.overlap_groups(df).collect()))
@@ -134,3 +149,9 @@ def test_nearest_matches_brute_force(spark):
     got = {r.target_id: (r.cost, r.cand_id) for r in B.nearest(
         spark.createDataFrame(t, "page_id int, target_id int, x int, y int"), spark.createDataFrame(c, "page_id int, cand_id int, x int, y int")).collect()}
     assert got == {i: min((abs(x - u) + 2 * abs(y - v), j) for _, j, u, v in c) for _, i, x, y in t}
+
+
+def test_nearest_finds_far_candidates(spark):
+    target = spark.createDataFrame([(0, 1, 0, 0), (1, 1, 0, 0)], "page_id int, target_id int, x int, y int")
+    cands = spark.createDataFrame([(0, 1, 393_213, 0), (0, 2, 0, 98_304), (1, 7, 400_000, 0)], "page_id int, cand_id int, x int, y int")
+    assert {(r.page_id, r.cost, r.cand_id) for r in B.nearest(target, cands).collect()} == {(0, 196_608, 2), (1, 400_000, 7)}

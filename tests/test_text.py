@@ -82,11 +82,13 @@ def test_diagnosis(spark):
     assert many.severity == "failed" and many.error_lines.endswith("; +10 more")
 
 
-def test_report_parts_keep_every_region(spark):
-    df = report(spark, [("SFX", "x", None, "skip", False, False)] * 50)
-    parts = L.page_report(df, spark.createDataFrame([], NOTES), part_rows=7).collect()
-    assert len(parts) > 1 and sorted(i for p in parts for i in p.sfx_idx) == list(range(50))
-    assert {p.region_count for p in parts} == {50}
+def test_large_page_is_one_report_row(spark):
+    df = report(spark, [("SFX", "x", None, "skip", False, False)] * 5_001)
+    notes = spark.createDataFrame([], NOTES)
+    counts, ids = L.page_report(df, notes)
+    assert [r.region_count for r in counts.collect()] == [5_001]
+    assert sorted(r.region_id for r in ids.filter("kind = 'sfx_idx'").collect()) == list(range(5_001))
+    assert L.report_documents(df, notes).count() == 1
 
 
 def test_break_points_and_requests(spark):
