@@ -15,9 +15,30 @@ from pagelens.settings import SETTINGS
 PX = ["page_id", "y", "x"]
 
 
+def scanlines(raster: DataFrame) -> DataFrame:
+    """A pixel table as ``page_id, y, x0, x1, px``: unbroken stretches of a row with their channels in one array.
+
+    A row of a page is bounded by its width, so no stretch is large, and a raster that is kept in this
+    form is read and shuffled by rows instead of pixels.
+    """
+    rest = [c for c in raster.columns if c not in PX]
+    w = Window.partitionBy("page_id", "y").orderBy("x")
+    isle = raster.withColumn("_isle", F.col("x") - F.row_number().over(w))
+    g = isle.groupBy("page_id", "y", "_isle").agg(
+        F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.array_sort(F.collect_list(F.struct("x", *rest))).alias("px"))
+    return g.select("page_id", "y", "x0", "x1", F.transform("px", lambda p: F.struct(*[p[c].alias(c) for c in rest])).alias("px"))
+
+
 def values(runs: DataFrame, raster: DataFrame) -> DataFrame:
-    """The raster's channels at every mask pixel."""
-    return R.to_pixels(runs).join(raster, PX)
+    """The raster's channels at every mask pixel; from scanlines only runs and rows meet, and pixels come up in place."""
+    if "px" not in raster.columns:
+        return R.to_pixels(runs).join(raster, PX)
+    rest = [c for c in runs.columns if c not in ("x0", "x1")]
+    lines = raster.select("page_id", "y", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("px").alias("_px"))
+    lo, hi = F.greatest("x0", "_x0"), F.least("x1", "_x1")
+    j = runs.join(lines, ["page_id", "y"]).filter(lo < hi)
+    at = F.posexplode(F.slice("_px", (lo - F.col("_x0") + 1).cast("int"), (hi - lo).cast("int"))).alias("_at", "_v")
+    return j.select(*rest, lo.alias("_lo"), at).select(*rest, (F.col("_lo") + F.col("_at")).cast("int").alias("x"), "_v.*")
 
 
 def masked(pixels: DataFrame, cond: Column, keys=RK) -> DataFrame:
@@ -86,10 +107,10 @@ def polarity(pixels: DataFrame, ink: DataFrame, boxes: DataFrame) -> DataFrame:
 
     A ring of 9 px around the ink votes; without a ring the majority class decides by its median.
     """
-    crop = values(R.box_runs(boxes), pixels)
-    crop = crop.join(otsu(crop, RK).select(*RK, "threshold"), list(RK))
-    around = R.clip(R.ring(ink, 9), boxes)
-    tagged = crop.join(R.to_pixels(around).withColumn("in_ring", F.lit(True)), [*RK, "y", "x"], "left")
+    around = materialize(R.clip(R.ring(ink, 9), boxes), "ring")
+    whole = R.subtract(R.box_runs(boxes), around).withColumn("in_ring", F.lit(None).cast("boolean"))
+    crop = values(whole.unionByName(around.select(*whole.columns[:-1]).withColumn("in_ring", F.lit(True))), pixels)
+    tagged = crop.join(otsu(crop, RK).select(*RK, "threshold"), list(RK))
     bright = F.col("grey") > F.col("threshold")
     g = tagged.groupBy(*RK).agg(
         F.first("threshold").alias("threshold"), F.count("in_ring").alias("ring_px"), F.median(F.when(F.col("in_ring"), F.col("grey"))).alias("bg"),
@@ -235,9 +256,10 @@ def background_stats(ink: DataFrame, rgb: DataFrame, boxes: DataFrame) -> DataFr
 
 def fill_colour(fill: DataFrame, ink: DataFrame, rgb: DataFrame) -> DataFrame:
     """Median colour of the fill area off the grown ink; of the whole area if that leaves under 30 values."""
-    grown = R.to_pixels(R.dilate(ink, 5)).withColumn("inky", F.lit(1))
-    px = values(fill, rgb).join(grown, [*RK, "y", "x"], "left")
-    free = F.col("inky").isNull()
+    grown = R.dilate(ink, 5)
+    off = R.subtract(fill, grown).withColumn("free", F.lit(True))
+    px = values(off.unionByName(R.intersect(fill, grown).withColumn("free", F.lit(False))), rgb)
+    free = F.col("free")
     g = px.groupBy(*RK).agg(
         (F.count_if(free) * 3 < 30).alias("short"),
         *[F.median(F.when(free, F.col(c))).alias("f" + c) for c in "rgb"], *[F.median(c).alias("a" + c) for c in "rgb"],
@@ -438,6 +460,26 @@ def clean_audit(clean, ink, interior, boxes, deviation: int = 16) -> tuple[DataF
     return parts, rolled
 
 
+def lasting_ink(before: DataFrame, after: DataFrame, interior: DataFrame, deviation: int = 16, least: int = 2, long: int = 10) -> DataFrame:
+    """Components that stand out from the cleaned background before and after: ink that was not erased.
+
+    The background is the median of the result inside the interior. What stands out only afterwards is a
+    fault of the fill and no part of this. Lines are ``long`` pixels or three times as long as wide.
+    """
+    bg = values(interior, after).groupBy(*RK).agg(F.median("grey").alias("bg"))
+    odd = lambda raster: masked(values(interior, raster).join(bg, list(RK)), F.abs(F.col("grey") - F.col("bg")) > deviation)
+    s = R.component_stats(R.label_runs(R.intersect(odd(before), odd(after)))).filter(F.col("area") >= least)
+    kind = F.when((F.col("long_side") >= long) | (F.col("long_side") / F.col("short_side") >= 3.0), "line").otherwise("dot")
+    return s.select(*RK, kind.alias("kind"), "area", "bx1", "by1", "bx2", "by2")
+
+
+def dark_share(boxes: DataFrame, raster: DataFrame, keys=("page_id", "det_id"), dark: int = 110) -> DataFrame:
+    """Share of dark pixels in each box; boxes off the raster have none."""
+    runs = R.box_runs(boxes, keys)
+    tone = values(runs, raster).groupBy(*keys).agg(F.avg((F.col("grey") < dark).cast("int")).alias("dark"))
+    return boxes.join(tone, list(keys), "left").withColumn("dark", F.coalesce("dark", F.lit(0.0)))
+
+
 def leakage(interior: DataFrame, ink: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Overlap of every two interiors of a page, and ink outside any interior."""
     a = interior.select("page_id", "y", F.col("region_id").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
@@ -535,11 +577,14 @@ def reclaim_candidates(fill, interior, laid_ink, boxes, state: DataFrame) -> Dat
 
 
 def lettering_measures(interior, pixels, boxes, dark: int = 110, least_ink: int = 40, least_glyphs: int = 4) -> DataFrame:
-    """Cap height, margins, width use, line count and pitch of the dark lettering inside an interior."""
+    """Cap height (median and mode of glyph heights), margins, width use, line count and pitch of the dark lettering inside an interior."""
     px = values(interior, pixels).filter(F.col("grey") < dark)
     ink = R.to_runs(px.select(*RK, "y", "x"))
     s = R.component_stats(R.label_runs(ink)).filter("height between 4 and 60 and width between 2 and 60 and area >= 6")
-    glyphs = s.groupBy(*RK).agg(F.median("height").alias("cap"), F.count(F.lit(1)).alias("glyphs"), F.min(F.struct("height")).alias("lo"),
+    often = Window.partitionBy(*RK, "height")
+    s = s.withColumn("same", F.count(F.lit(1)).over(often))
+    mode = F.max_by("height", F.struct("same", -F.col("height"))).alias("mode")  # of equally frequent heights the lowest
+    glyphs = s.groupBy(*RK).agg(mode, F.median("height").alias("cap"), F.count(F.lit(1)).alias("glyphs"), F.min(F.struct("height")).alias("lo"),
                                 F.max("height").alias("hi"))
     box = ink.groupBy(*RK).agg(F.min("x0").alias("ix0"), F.max("x1").alias("ix1"), F.min("y").alias("iy0"), F.max("y").alias("iy1"),
                                F.sum(F.col("x1") - F.col("x0")).alias("ink_px")).filter(F.col("ink_px") >= least_ink)
@@ -555,7 +600,7 @@ def lettering_measures(interior, pixels, boxes, dark: int = 110, least_ink: int
         *RK, F.col("cap").cast("double").alias("cap"), (F.col("cap") / side).alias("cap_ratio"), (margin / side).alias("margin_ratio"),
         ((F.col("ix1") - F.col("ix0")) / (F.col("b1") - F.col("b0"))).alias("width_use"), "lines",
         F.col("pitch").cast("double").alias("pitch"), (F.col("pitch") / F.col("cap")).alias("pitch_per_cap"),
-        (F.col("hi") - F.col("lo.height")).alias("height_spread"),
+        (F.col("hi") - F.col("lo.height")).alias("height_spread"), F.col("mode").cast("double").alias("mode"),
     )
 
 

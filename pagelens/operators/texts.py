@@ -85,6 +85,21 @@ def glossary_hits(texts: DataFrame, glossary: list[tuple[str, str]]) -> DataFram
         "doc_id", "g.term", F.contains(F.lower("answer"), F.lower("g.rendering")).alias("used"))
 
 
+def glossary_join(texts: DataFrame, glossary: DataFrame) -> DataFrame:
+    """The same for a glossary of any size, a table ``term, rendering``.
+
+    Texts and terms meet on the first two letters of a term, which every text holding it has as a pair;
+    only then is the whole term looked for. One-letter terms meet on their letter; empty terms match nothing.
+    """
+    g = glossary.filter("term <> ''").distinct().withColumn("gram", F.left("term", F.lit(2)))
+    n = F.length("src_text")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col("src_text"), i, F.lit(2)))
+    grams = F.array_distinct(F.concat(pairs, F.split("src_text", "")))
+    keyed = texts.select("doc_id", F.explode(grams).alias("gram")).join(g.select("gram").distinct(), "gram", "left_semi")
+    hit = texts.join(keyed, "doc_id").join(g, "gram").filter(F.contains("src_text", "term"))
+    return hit.select("doc_id", "term", F.contains(F.lower("answer"), F.lower("rendering")).alias("used"))
+
+
 def text_metrics(texts: DataFrame) -> DataFrame:
     """Counters per text: characters, words, longest word, lines ending on a hyphen, CJK marks left over."""
     words = F.filter(F.split("text", f"{X.SPACE}+"), lambda w: w != "")
@@ -214,6 +229,14 @@ def budgets(boxes: DataFrame, size: Column) -> DataFrame:
         *boxes.columns, "size", F.when(rows >= 1, upto).otherwise(0).alias("char_budget"), F.when(rows >= 1, F.col("longest")).otherwise(0).alias("word_budget"))
 
 
+def region_budgets(boxes: DataFrame, cap: Column, low: Column) -> DataFrame:
+    """What a request is told about a region: the wanted size ``cap``, characters and letters of one word that fit
+    at it (``soft``, ``word_soft``), and those that fit at the smallest size ``low`` (``hard``, ``word_hard``)."""
+    at_cap = budgets(boxes.withColumn("_low", low), cap).withColumnsRenamed({"size": "cap", "char_budget": "soft", "word_budget": "word_soft"})
+    both = budgets(at_cap, F.least(F.col("_low"), F.col("cap"))).withColumnsRenamed({"char_budget": "hard", "word_budget": "word_hard"})
+    return both.drop("size", "_low")
+
+
 def sum_width(word: str) -> int:
     """Same rule as :func:`width_of`, for literal words."""
     one = lambda ch: 3 if ch in NARROW else 9 if ch in WIDE else 6 if ch.isalpha() else 5

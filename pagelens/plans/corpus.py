@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagelens.operators.raster import scanlines
 from pagelens.session import materialize, prepare
 
 SIDE = 48
@@ -194,6 +195,10 @@ class Corpus:
             self._made[key] = materialize(make(), name)
         return self._made[key]
 
+    def lines(self, name: str) -> DataFrame:
+        """A raster view in rows instead of pixels, made once for a query."""
+        return self.once(f"{name}-lines", lambda: scanlines(getattr(self, name)))
+
     def _table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         # A text table of one row group is read by one task; spread it before the per-text work.

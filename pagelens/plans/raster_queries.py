@@ -103,7 +103,7 @@ BOX0 = "SELECT * FROM crops WHERE region_id = 0"
     f"c0 AS ({BOX0})", CROP.replace("FROM crops", "FROM c0"), S.minority("mi", "crop", S.K), S.dilate("band", "ik", 9), S.meet("near", "mi", "band"),
     S.join("res", "ik", "near")) + ALL4 + "res", "prob pix crops")
 def _(c):
-    return px(P.seed_grow(c.prob, c.pix, c.crops.filter("region_id = 0")))
+    return px(P.seed_grow(c.prob, c.lines("pix"), c.crops.filter("region_id = 0")))
 
 
 NOISY = "SELECT page_id, region_id, y, x FROM {crop} WHERE grey < 110 OR grey BETWEEN 176 AND 182"
@@ -115,7 +115,7 @@ j AS (SELECT s.*, NOT (area < 8 OR area > 55e-2 * bw * bh OR (width * height > 3
 k AS (SELECT *, bool_or(good) OVER (PARTITION BY page_id, region_id) AS anyg FROM j)""") + """
 SELECT page_id, region_id, y, CAST(x AS INT) AS x FROM l JOIN k USING (page_id, region_id, lab) WHERE good OR NOT anyg""", "pix crops")
 def _(c):
-    crop = P.values(R.box_runs(c.crops), c.pix)
+    crop = P.values(R.box_runs(c.crops), c.lines("pix"))
     return px(P.filter_glyphs(R.to_runs(c.spark.sql(NOISY, crop=crop)), c.crops))
 
 
@@ -161,7 +161,7 @@ def _(c):
     "od AS (SELECT page_id, region_id, y, x FROM rg JOIN crop USING (page_id, region_id, y, x) JOIN bg USING (page_id, region_id) WHERE abs(grey - bg) > 12)",
     S.join("res", "ink", "od")) + ALL4 + "res", "ink pix crops")
 def _(c):
-    return px(P.halo(ink(c), c.pix, c.crops))
+    return px(P.halo(ink(c), c.lines("pix"), c.crops))
 
 
 @query("mask_union", with_(S.join("r", "ink", "fill")) + ALL4 + "r", "ink fill")
@@ -195,7 +195,7 @@ GUARD = [
 
 
 def guard(c):
-    return P.outline_guard(inner(c), c.pix, 1, frame(c))
+    return P.outline_guard(inner(c), c.lines("pix"), 1, frame(c))
 
 
 @query("outline_guard", with_(*GUARD) + "SELECT * FROM guard", "interior pix")
@@ -247,7 +247,7 @@ BG = [
 
 @query("background_stats", with_(*BG) + "SELECT * FROM bgs", "ink rgb crops")
 def _(c):
-    return P.background_stats(ink(c), c.rgb, c.crops)
+    return P.background_stats(ink(c), c.lines("rgb"), c.crops)
 
 
 FILL = [
@@ -261,7 +261,7 @@ FILL = [
 
 @query("fill_colour", with_(*FILL) + "SELECT * FROM fc", "ink rgb fill")
 def _(c):
-    return P.fill_colour(fill(c), ink(c), c.rgb)
+    return P.fill_colour(fill(c), ink(c), c.lines("rgb"))
 
 
 # Region 1 is routed without a fill mask here, so that all three routes are decided.
@@ -272,8 +272,8 @@ SELECT c.page_id, c.region_id, CASE WHEN label = 'SFX' THEN 'skip' WHEN fill_r I
 FROM crops c LEFT JOIN (SELECT * FROM fc WHERE region_id = 0) f ON c.page_id = f.page_id AND c.region_id = f.region_id
 LEFT JOIN bgs b ON c.page_id = b.page_id AND c.region_id = b.region_id)""", "ink rgb fill crops")
 def _(c):
-    fills = P.fill_colour(R.to_runs(c.fill.filter("region_id = 0")), ink(c), c.rgb)
-    return P.route(c.crops, ink(c), fills, P.background_stats(ink(c), c.rgb, c.crops))
+    fills = P.fill_colour(R.to_runs(c.fill.filter("region_id = 0")), ink(c), c.lines("rgb"))  # the other region has no fill colour and goes by its background
+    return P.route(c.crops, ink(c), fills, P.background_stats(ink(c), c.lines("rgb"), c.crops))
 
 
 @query("apply_flat_fill", with_(*FILL, *GUARD) + """,
@@ -282,7 +282,7 @@ pt AS (SELECT f.page_id, f.y, f.x, fill_r, fill_g, fill_b FROM fill f JOIN fc US
 SELECT r.page_id, r.y, r.x, coalesce(fill_r, r) AS r, coalesce(fill_g, g) AS g, coalesce(fill_b, b) AS b, fill_r IS NOT NULL AS painted
 FROM rgb r LEFT JOIN pt ON pt.page_id = r.page_id AND pt.y = r.y AND pt.x = r.x""", "ink rgb fill interior pix")
 def _(c):
-    return P.apply_flat_fill(c.rgb, fill(c), P.fill_colour(fill(c), ink(c), c.rgb), guard(c))
+    return P.apply_flat_fill(c.rgb, fill(c), P.fill_colour(fill(c), ink(c), c.lines("rgb")), guard(c))
 
 
 POLARITY = [
@@ -297,15 +297,15 @@ POLARITY = [
 
 @query("polarity", with_(*POLARITY) + "SELECT * FROM pol", "ink pix crops")
 def _(c):
-    return P.polarity(c.pix, ink(c), c.crops)
+    return P.polarity(c.lines("pix"), ink(c), c.crops)
 
 
 BINV = "bv AS (SELECT page_id, region_id, y, x FROM tg JOIN pol USING (page_id, region_id) WHERE CASE WHEN inverted THEN NOT br AND (wall IS NULL OR grey > wall) ELSE br END)"
 
 
 def binarised(c):
-    pol = P.polarity(c.pix, ink(c), c.crops).drop("bg", "mad")
-    px_ = P.values(R.box_runs(c.crops), c.pix).join(pol, RK)
+    pol = P.polarity(c.lines("pix"), ink(c), c.crops).drop("bg", "mad")
+    px_ = P.values(R.box_runs(c.crops), c.lines("pix")).join(pol, RK)
     bright = F.col("grey") > F.col("threshold")
     return P.masked(px_, F.when(F.col("inverted"), ~bright & (F.col("wall").isNull() | (F.col("grey") > F.col("wall")))).otherwise(bright))
 
@@ -334,7 +334,7 @@ def _(c):
 
 @query("interior_masks")
 def _(c):
-    return px(P.interior_masks(c.pix, ink(c), c.crops))
+    return px(P.interior_masks(c.lines("pix"), ink(c), c.crops))
 
 
 @query("fill_masks", with_(S.labels("l", "fill"), """
@@ -385,7 +385,7 @@ def residue_sql(dev: int) -> list[str]:
 
 def verdict(c):
     again = c.crops.filter("page_id % 10 = 0 and region_id = 1")
-    return P.residue(c.after, ink(c), inner(c), c.crops, again)
+    return P.residue(c.lines("after"), ink(c), inner(c), c.crops, again)
 
 
 @query("residue", with_(*residue_sql(20)) + "SELECT * FROM rv", "ink interior after crops")
@@ -421,7 +421,7 @@ AUDIT = [
 SELECT page_id, region_id, CAST(sum(area) AS BIGINT) AS bad_px, count(*) AS components, max(area) AS max_area, count(*) FILTER (kind = 'line') AS lines,
   grouping_id(page_id, region_id) AS level FROM ap GROUP BY ROLLUP (page_id, region_id)""", "ink interior after crops")
 def _(c):
-    return P.clean_audit(c.after, ink(c), inner(c), c.crops)[1]
+    return P.clean_audit(c.lines("after"), ink(c), inner(c), c.crops)[1]
 
 
 @query("dirty_components", with_(*AUDIT) + """
@@ -429,11 +429,25 @@ SELECT page_id, region_id, kind, area, bx1, by1, bx2, by2, row_number() OVER (PA
 def _(c):
     from pagelens.operators.grouping import top_k
 
-    parts = P.clean_audit(c.after, ink(c), inner(c), c.crops)[0]
+    parts = P.clean_audit(c.lines("after"), ink(c), inner(c), c.crops)[0]
     order = [-F.col("area"), *[F.col(n) for n in ("region_id", "by1", "bx1", "bx2", "by2")]]
     return top_k(parts, ["page_id", "kind"], order, 20).drop("width", "height")
 
 
+@query("lasting_ink", with_("""bg AS (SELECT page_id, region_id, median(grey) AS bg FROM interior JOIN after USING (page_id, y, x) GROUP BY ALL),
+odd AS (SELECT page_id, region_id, y, x FROM interior JOIN bg USING (page_id, region_id) JOIN after USING (page_id, y, x) JOIN pix p USING (page_id, y, x) WHERE abs(after.grey - bg) > 16 AND abs(p.grey - bg) > 16)""",
+    S.labels("l", "odd"), S.stats("s", "l")) + """
+SELECT page_id, region_id, CASE WHEN greatest(width, height) >= 10 OR greatest(width, height) / CAST(least(width, height) AS DOUBLE) >= 3 THEN 'line' ELSE 'dot' END AS kind, area, bx1, by1, bx2, by2 FROM s WHERE area >= 2""", "interior after pix")
+def _(c):
+    return P.lasting_ink(c.lines("pix"), c.lines("after"), inner(c))
+
+
+@query("dark_share", """
+SELECT page_id, region_id, avg(CAST(grey < 110 AS INT)) AS dark FROM crops JOIN pix USING (page_id) WHERE y >= y1 AND y < y2 AND x >= x1 AND x < x2 GROUP BY ALL""", "crops pix")
+def _(c):
+    return P.dark_share(c.crops, c.lines("pix"), RK).select("page_id", "region_id", "dark")
+
+
 @query("leakage", """
 SELECT page_id, a, b, overlap_px, coalesce(outside_px, 0) AS outside_px FROM (
   SELECT a.page_id, a.region_id AS a, b.region_id AS b, count(*) AS overlap_px FROM interior a JOIN interior b USING (page_id, y, x) WHERE a.region_id < b.region_id GROUP BY ALL)
@@ -491,7 +505,7 @@ def _(c):
 SELECT c.page_id, c.region_id, coalesce(lum, 255e0) AS luminance, CASE WHEN coalesce(lum, 255) < 128 THEN 'white' ELSE 'black' END AS ink_colour FROM crops c LEFT JOIN
  (SELECT page_id, region_id, CAST(median(grey) AS DOUBLE) AS lum FROM interior JOIN pix USING (page_id, y, x) GROUP BY ALL) m ON m.page_id = c.page_id AND m.region_id = c.region_id""", "interior pix crops")
 def _(c):
-    return P.ink_colour(inner(c), c.pix, c.crops)
+    return P.ink_colour(inner(c), c.lines("pix"), c.crops)
 
 
 STATE = "SELECT page_id, region_id, CAST((page_id + region_id) % 3 AS INT) AS hyphens, CAST(page_id % 2 AS INT) AS overflow, CAST(20 - page_id % 4 AS INT) AS size FROM {crops}"
@@ -509,16 +523,18 @@ def _(c):
 
 @query("lettering_measures", with_("ik AS (SELECT page_id, region_id, y, x FROM interior JOIN pix USING (page_id, y, x) WHERE grey < 110)", S.labels("l", "ik"), S.stats("s", "l"), """
 gl AS (SELECT page_id, region_id, median(height) AS cap, count(*) AS n, max(height) - min(height) AS hs FROM s WHERE height BETWEEN 4 AND 60 AND width BETWEEN 2 AND 60 AND area >= 6 GROUP BY ALL HAVING count(*) >= 4),
+mo AS (SELECT page_id, region_id, CAST(height AS DOUBLE) AS mode FROM (SELECT page_id, region_id, height, count(*) AS n FROM s WHERE height BETWEEN 4 AND 60 AND width BETWEEN 2 AND 60 AND area >= 6 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY page_id, region_id ORDER BY n DESC, height) = 1),
 bb AS (SELECT page_id, region_id, min(x) AS ix0, max(x) + 1 AS ix1, min(y) AS iy0, max(y) AS iy1 FROM ik GROUP BY ALL HAVING count(*) >= 40),
 nn AS (SELECT page_id, region_id, min(x) AS b0, max(x) + 1 AS b1 FROM interior i JOIN bb USING (page_id, region_id) WHERE y BETWEEN iy0 AND iy1 GROUP BY ALL),
 rw AS (SELECT page_id, region_id, y, lag(y) OVER (PARTITION BY page_id, region_id ORDER BY y) AS py FROM (SELECT DISTINCT page_id, region_id, y FROM ik)),
 st AS (SELECT page_id, region_id, y - lag(y) OVER (PARTITION BY page_id, region_id ORDER BY y) AS gap FROM rw WHERE py IS NULL OR y - py > 1),
 ln AS (SELECT page_id, region_id, count(*) AS lines, CAST(median(gap) AS DOUBLE) AS pitch FROM st GROUP BY ALL)""") + """
 SELECT page_id, region_id, CAST(cap AS DOUBLE) AS cap, cap / least(x2 - x1, y2 - y1) AS cap_ratio, ((ix0 - b0) + (b1 - ix1)) / 2e0 / least(x2 - x1, y2 - y1) AS margin_ratio,
-  (ix1 - ix0) / CAST(b1 - b0 AS DOUBLE) AS width_use, lines, pitch, pitch / cap AS pitch_per_cap, hs AS height_spread
-FROM bb JOIN gl USING (page_id, region_id) JOIN nn USING (page_id, region_id) JOIN ln USING (page_id, region_id) JOIN crops USING (page_id, region_id)""", "interior pix crops")
+  (ix1 - ix0) / CAST(b1 - b0 AS DOUBLE) AS width_use, lines, pitch, pitch / cap AS pitch_per_cap, hs AS height_spread, mode
+FROM bb JOIN gl USING (page_id, region_id) JOIN mo USING (page_id, region_id) JOIN nn USING (page_id, region_id) JOIN ln USING (page_id, region_id) JOIN crops USING (page_id, region_id)""", "interior pix crops")
 def _(c):
-    return P.lettering_measures(inner(c), c.pix, c.crops)
+    return P.lettering_measures(inner(c), c.lines("pix"), c.crops)
 
 
 @query("compare_masks", """
@@ -532,7 +548,7 @@ SELECT page_id, region_id, coalesce(o.px, 0) / crop AS old_cover, coalesce(oh.n,
   coalesce(w.px, 0) / crop AS new_cover, coalesce(wh.n, 0) / k.n AS new_ink, coalesce(w.dk, 0) AS new_dark, coalesce(w.dk, 0) - coalesce(o.dk, 0) AS dark_increase
 FROM ar LEFT JOIN k USING (page_id, region_id) LEFT JOIN o USING (page_id, region_id) LEFT JOIN w USING (page_id, region_id) LEFT JOIN oh USING (page_id, region_id) LEFT JOIN wh USING (page_id, region_id)""", "interior fill ink pix crops")
 def _(c):
-    return P.compare_masks(inner(c), fill(c), ink(c), c.pix, c.crops)
+    return P.compare_masks(inner(c), fill(c), ink(c), c.lines("pix"), c.crops)
 
 
 @query("fill_leak", with_(S.dilate("wd", "ink", 13), S.dilate("tt", "ink", 5), S.meet("n0", "fill", "wd"), S.minus("nr", "n0", "tt"), S.minus("fr", "fill", "wd"), """
@@ -546,7 +562,7 @@ SELECT page_id, region_id, tn.px / ((x2 - x1) * (y2 - y1) * 1e0) AS box_share, c
   abs(nm - fm) AS median_gap, coalesce(np >= 30 AND fp >= 30, false) AS tested
 FROM crops JOIN tn USING (page_id, region_id) LEFT JOIN ik USING (page_id, region_id) LEFT JOIN hd USING (page_id, region_id) LEFT JOIN nm USING (page_id, region_id) LEFT JOIN fm USING (page_id, region_id)""", "fill ink pix crops")
 def _(c):
-    return P.fill_leak(fill(c), ink(c), c.pix, c.crops)
+    return P.fill_leak(fill(c), ink(c), c.lines("pix"), c.crops)
 
 
 @query("colour_marks", with_("rd AS (SELECT page_id, y, x FROM rgb WHERE r > 110 AND r - g > 50 AND r - b > 50)", S.labels("l", "rd", "page_id"), S.stats("s", "l", "page_id"), """

@@ -148,6 +148,16 @@ def _(c):
     return J.glossary_hits(c.documents.select("doc_id", F.col("text").alias("src_text"), F.reverse("text").alias("answer")), GLOSSARY)
 
 
+TERMS = "SELECT DISTINCT split_part(text, ' ', 2) AS term, upper(split_part(text, ' ', 2)) AS rendering FROM {benchmark} UNION SELECT 'ç', 'c'"
+
+
+@query("glossary_join", "WITH g AS (" + TERMS.replace("{benchmark}", "benchmark") + """)
+SELECT doc_id, term, contains(lower(reverse(text)), lower(rendering)) AS used FROM documents JOIN g ON term <> '' AND contains(text, term)""")
+def _(c):
+    texts = c.documents.select("doc_id", F.col("text").alias("src_text"), F.reverse("text").alias("answer"))
+    return J.glossary_join(texts, c.spark.sql(TERMS, benchmark=c.benchmark))
+
+
 @query("text_metrics", f"""
 WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{SP}+'), lambda x: x <> '') AS ws FROM documents)
 SELECT doc_id, length(text) AS chars, len(ws) AS words, coalesce(list_max(list_transform(ws, lambda x: length(regexp_replace(x, '[^A-Za-z'']', '', 'g')))), 0) AS longest_word,
@@ -218,19 +228,34 @@ def _budget_rows():
     return ", ".join(f"{{'w': {J.sum_width(w)}, 'n': {len(w)}}}" for w in X.FILLER.split())
 
 
-@query("budgets", f"""
-WITH b AS (SELECT page_id, det_id, x2 - x1 AS bw, y2 - y1 AS bh, 7 + score % 9 AS z FROM det),
-l AS (SELECT *, bw * 1000 // z AS lim, bh // z AS nr FROM b),
-k AS (SELECT lim, nr, list_reduce([{_budget_rows()}], lambda s, w: {{'lines': CASE WHEN s.used = 0 OR s.used + 255 + w.w <= lim THEN s.lines ELSE s.lines + 1 END,
+def budget_sql(name: str, size: str) -> str:
+    """Characters and word letters that fit ``det`` boxes at ``size``: page_id, det_id, z, cb, wb."""
+    letters = ", ".join(str(J.sum_width(X.LONG_WORD[:n])) for n in range(2, 25))
+    line = "CASE WHEN s.used = 0 OR s.used + 255 + w.w <= lim THEN s.lines ELSE s.lines + 1 END"
+    go = f"s.go AND w.w <= lim AND {line} <= nr"
+    return f"""{name}_l AS (SELECT page_id, det_id, z, (x2 - x1) * 1000 // z AS lim, (y2 - y1) // z AS nr FROM (SELECT *, {size} AS z FROM det)),
+{name}_k AS (SELECT lim, nr, list_reduce([{_budget_rows()}], lambda s, w: {{'lines': {line},
   'used': CAST(CASE WHEN s.used = 0 THEN w.w WHEN s.used + 255 + w.w <= lim THEN s.used + 255 + w.w ELSE w.w END AS BIGINT),
-  'chars': CASE WHEN s.go AND w.w <= lim AND CASE WHEN s.used = 0 OR s.used + 255 + w.w <= lim THEN s.lines ELSE s.lines + 1 END <= nr THEN s.chars + w.n + CASE WHEN s.chars > 0 THEN 1 ELSE 0 END ELSE s.chars END,
-  'go': s.go AND w.w <= lim AND CASE WHEN s.used = 0 OR s.used + 255 + w.w <= lim THEN s.lines ELSE s.lines + 1 END <= nr}},
-  {{'lines': 1, 'used': CAST(0 AS BIGINT), 'chars': 0, 'go': true}}).chars AS cb FROM (SELECT DISTINCT lim, nr FROM l))
-SELECT page_id, det_id, z AS size, cb AS char_budget, CAST(coalesce(list_max(list_filter(range(2, 25), lambda n: [{", ".join(str(J.sum_width(X.LONG_WORD[:n])) for n in range(2, 25))}][n - 1] <= lim AND nr >= 1)), 0) AS INT) AS word_budget
-FROM l JOIN k USING (lim, nr)""", "det")
+  'chars': CASE WHEN {go} THEN s.chars + w.n + CASE WHEN s.chars > 0 THEN 1 ELSE 0 END ELSE s.chars END, 'go': {go}}},
+  {{'lines': 1, 'used': CAST(0 AS BIGINT), 'chars': 0, 'go': true}}).chars AS cb FROM (SELECT DISTINCT lim, nr FROM {name}_l)),
+{name} AS (SELECT page_id, det_id, z, cb, CAST(coalesce(list_max(list_filter(range(2, 25), lambda n: [{letters}][n - 1] <= lim AND nr >= 1)), 0) AS INT) AS wb
+  FROM {name}_l JOIN {name}_k USING (lim, nr))"""
+
+
+def _budget_boxes(c):
+    return c.det.select("page_id", "det_id", "score", (F.col("x2") - F.col("x1")).alias("box_w"), (F.col("y2") - F.col("y1")).alias("box_h"))
+
+
+@query("budgets", "WITH " + budget_sql("b", "7 + score % 9") + " SELECT page_id, det_id, z AS size, cb AS char_budget, wb AS word_budget FROM b", "det")
+def _(c):
+    return J.budgets(_budget_boxes(c), 7 + F.col("score") % 9).select("page_id", "det_id", "size", "char_budget", "word_budget")
+
+
+@query("region_budgets", "WITH " + budget_sql("s", "12 + score % 17") + "," + budget_sql("h", "7 + score % 3") + """
+SELECT page_id, det_id, s.z AS cap, s.cb AS soft, h.cb AS hard, s.wb AS word_soft, h.wb AS word_hard FROM s JOIN h USING (page_id, det_id)""", "det")
 def _(c):
-    boxes = c.det.select("page_id", "det_id", "score", (F.col("x2") - F.col("x1")).alias("box_w"), (F.col("y2") - F.col("y1")).alias("box_h"))
-    return J.budgets(boxes, 7 + F.col("score") % 9).select("page_id", "det_id", "size", "char_budget", "word_budget")
+    b = J.region_budgets(_budget_boxes(c), 12 + F.col("score") % 17, 7 + F.col("score") % 3)
+    return b.select("page_id", "det_id", "cap", "soft", "hard", "word_soft", "word_hard")
 
 
 LIMITS = """SELECT CAST(FLOOR(conv_id / 20e0) AS BIGINT) AS page_id, conv_id * 100 + turn AS region_id, text AS answer, CAST(120 + (conv_id * 13 + turn * 31) % 260 AS INT) AS box_w,
@@ -269,15 +294,13 @@ def _(c):
 
 
 @query("text_duplicates", """
-WITH t AS (SELECT doc_id // 100 AS page_id, doc_id AS region_id, CASE WHEN doc_id % 7 = 0 THEN left(text, 12) ELSE text END AS text FROM documents),
+WITH t AS (SELECT doc_id // 100 AS page_id, doc_id AS region_id, text FROM documents),
 u AS (SELECT page_id, text, min(region_id) AS first_id, count(*) AS copies FROM t GROUP BY ALL),
 n AS (SELECT *, lead(text) OVER w AS nt, lead(first_id) OVER w AS nf FROM u WINDOW w AS (PARTITION BY page_id ORDER BY text)),
 b AS (SELECT *, (SELECT count(*) FROM u v WHERE v.page_id = n.page_id AND v.text <> n.text AND starts_with(v.text, n.text)) AS longer FROM n)
 SELECT page_id, region_id, first_id, copies, CASE WHEN longer > 0 THEN nf END AS begins FROM t JOIN b USING (page_id, text) WHERE copies > 1 OR longer > 0""")
 def _(c):
-    t = c.documents.select(F.floor(F.col("doc_id") / 100).alias("page_id"), F.col("doc_id").alias("region_id"),
-                           F.when(F.col("doc_id") % 7 == 0, F.left("text", F.lit(12))).otherwise(F.col("text")).alias("text"))
-    return J.text_duplicates(t)
+    return J.text_duplicates(c.documents.select(F.floor(F.col("doc_id") / 100).alias("page_id"), F.col("doc_id").alias("region_id"), "text"))
 
 
 DIM_SQL = "(VALUES {rows}) {name}(k, v)"
