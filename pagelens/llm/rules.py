@@ -29,8 +29,9 @@ FENCE = 3.0
 #: Measure, expression, and the least spread that its fence assumes (it keeps a constant measure from rejecting at the first difference).
 MEASURES = (
     ("symbol_share", "n_symbols / greatest(word_chars, 1)", 0.015),
-    ("dup_line_share", "n_dup_lines / greatest(n_lines, 1)", 0.08),
-    ("repeat_share", "n_repeat_words / greatest(n_words, 1)", 0.08),
+    ("dup_line_share", "n_dup_lines / greatest(n_lines, 1)", 0.15),
+    ("repeat_share", "n_repeat_words / greatest(n_words, 1)", 0.1),
+    ("word_echo", "1 - ln(greatest(n_distinct, 1)) / ln(greatest(n_words, 2))", 0.05),
     ("upper_share", "n_upper / greatest(n_letters, 1)", 0.08),
     ("bang_share", "n_bangs / greatest(n_words, 1)", 0.05),
     ("word_length", "word_chars / greatest(n_words, 1)", 1.0),
