@@ -13,6 +13,8 @@ from pagelens.session import materialize
 from pagelens.settings import SETTINGS
 
 PX = ["page_id", "y", "x"]
+#: Pixels of a row in which runs of different regions meet.
+CELL = 32
 
 
 def scanlines(raster: DataFrame) -> DataFrame:
@@ -482,10 +484,11 @@ def dark_share(boxes: DataFrame, raster: DataFrame, keys=("page_id", "det_id"),
 
 def leakage(interior: DataFrame, ink: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Overlap of every two interiors of a page, and ink outside any interior."""
-    a = interior.select("page_id", "y", F.col("region_id").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = interior.select("page_id", "y", F.col("region_id").alias("b"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    cut = F.least("a1", "b1") - F.greatest("a0", "b0")
-    over = a.join(b, ["page_id", "y"]).filter("a < b and a0 < b1 and b0 < a1").groupBy("page_id", "a", "b").agg(F.sum(cut).alias("overlap_px"))
+    cells = F.explode(F.sequence(F.floor(F.col("x0") / CELL), F.floor((F.col("x1") - 1) / CELL))).alias("cell")
+    part = lambda n: interior.select("page_id", "y", F.col("region_id").alias(n), F.col("x0").alias(n + "0"), F.col("x1").alias(n + "1"), cells)
+    lo, hi = F.greatest("a0", "b0"), F.least("a1", "b1")
+    met = part("a").join(part("b"), ["page_id", "y", "cell"]).filter((F.col("a") < F.col("b")) & (lo < hi) & (F.floor(lo / CELL) == F.col("cell")))
+    over = met.groupBy("page_id", "a", "b").agg(F.sum(hi - lo).alias("overlap_px"))
     out = size(R.subtract(on_page(ink), on_page(interior), ["page_id"]), ["page_id"], "outside_px")
     return over, out
 
