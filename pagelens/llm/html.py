@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import map_rows
+from pagelens.session import materialize
 
 START = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*+))")
 REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""")
@@ -200,7 +201,8 @@ def templates(pages: DataFrame) -> DataFrame:
     read = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
     schema = "host string, token long, parent long, pages long, times long, low long, high long"
     sums = read.mapInArrow(run, schema).groupBy("host", "token", "parent").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "low", "high")])
-    # the token 0 is on every page: what its pages are to others, and a class that elements on every page once share
+    # what a single page has is in no template; the token 0 is on every page and counts them
+    sums = materialize(sums.filter("pages > 1 OR token = 0"), "tokens")
     of_host = sums.filter("token = 0").select(F.col("host").alias("_host"), F.col("pages").alias("all_pages"))
     common = sums.join(of_host, F.col("host") == F.col("_host")).filter("token <> 0 AND pages > 1 AND 2 * pages > all_pages")
     vector = F.struct("pages", "times", "low", "high")
