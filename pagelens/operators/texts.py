@@ -152,21 +152,58 @@ SPACE_W = 3 * int(SETTINGS.condense * 100)
 
 
 def fold_lines(widths: Column, limit: Column, gap: Column | int = SPACE_W) -> Column:
-    """Greedy first-fit over widths with ``gap`` between them: ``lines`` and ``used``; a width over the limit clears ``ok``."""
+    """Greedy first-fit over widths with ``gap`` between them: ``lines`` and ``used``; a width over the limit clears ``ok``.
+
+    A negative width stands for its amount at the start of a line.
+    """
     first = F.struct(F.lit(1).alias("lines"), F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("ok"))
 
     def step(s, w):
         fresh = s["used"] == 0
-        tight = s["used"] + gap + w <= limit
+        tight = (w >= 0) & (s["used"] + gap + w <= limit)
         return F.struct(
             F.when(fresh | tight, s["lines"]).otherwise(s["lines"] + 1).alias("lines"),
-            F.when(fresh, w).when(tight, s["used"] + gap + w).otherwise(w).cast("bigint").alias("used"),
-            (s["ok"] & (w <= limit)).alias("ok"),
+            F.when(~fresh & tight, s["used"] + gap + w).otherwise(F.abs(w)).cast("bigint").alias("used"),
+            (s["ok"] & (F.abs(w) <= limit)).alias("ok"),
         )
 
     return F.aggregate(widths, first, step)
 
 
+def breaks(word: Column) -> Column:
+    """Places where a word may be hyphenated: vowel to consonant, two letters ahead and three behind."""
+    vowel, letter = "[AEIOUYaeiouy]", r"\p{L}"
+    letters = lambda c: F.length(F.regexp_replace(c, r"\P{L}", ""))
+
+    def cut(i):
+        a, b = F.substring(word, i, F.lit(1)), F.substring(word, i + 1, F.lit(1))
+        return a.rlike(vowel) & b.rlike(letter) & ~b.rlike(vowel) & (letters(F.substring(word, F.lit(1), i)) >= 2) & (
+            letters(F.substring(word, i + 1, F.length(word))) >= 3)
+
+    n = F.length(word) - 1
+    return F.when(n >= 1, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), cut)).otherwise(F.array().cast("array<int>"))
+
+
+def hyphen_parts(word: Column, limit: Column) -> Column:
+    """Widths that a word takes: its own, or where that is over the limit those of its longest fitting parts.
+
+    The first part is negative, as it starts a line; a word that no break helps keeps its own width.
+    """
+    n, whole = F.length(word), width_of(word)
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("upto"), F.array().cast("array<bigint>").alias("parts"), F.lit(True).alias("ok"))
+    part = lambda a, b: (width_of(F.substring(word, a + 1, b - a)) + F.when(b < n, sum_width("-")).otherwise(0)).cast("bigint")
+
+    def step(s, p):
+        more = (s["upto"] > s["at"]) & (part(s["upto"], p) <= limit)
+        return F.when(part(s["at"], p) <= limit, F.struct(s["at"].alias("at"), p.alias("upto"), s["parts"].alias("parts"), s["ok"].alias("ok"))).when(
+            more, F.struct(s["upto"].alias("at"), p.alias("upto"), F.array_append(s["parts"], part(s["at"], s["upto"])).alias("parts"), s["ok"].alias("ok"))
+        ).otherwise(F.struct(s["at"].alias("at"), s["upto"].alias("upto"), s["parts"].alias("parts"), F.lit(False).alias("ok")))
+
+    done = F.aggregate(F.array_append(breaks(word), n), first, step, lambda s: F.when(s["ok"], F.array_append(s["parts"], part(s["at"], n))))
+    signed = F.transform(done, lambda w, i: F.when(i == 0, -w).otherwise(w))
+    return F.when(whole <= limit, F.array(whole.cast("bigint"))).otherwise(F.coalesce(signed, F.array(whole.cast("bigint"))))
+
+
 def wrap(texts: DataFrame) -> DataFrame:
     """Lines each text takes in its box (``box_w, box_h, size``) and whether it fits.
 
@@ -181,6 +218,28 @@ def wrap(texts: DataFrame) -> DataFrame:
     return t.select(*texts.columns, F.col("s.lines").alias("lines"), F.col("s.used").alias("last_used"), (F.col("s.ok") & (F.col("s.lines") * F.col("size") <= F.col("box_h"))).alias("fits"))
 
 
+def wrap_rows(texts: DataFrame) -> DataFrame:
+    """The same where every line has its own width: ``rows``, an array of widths from the top line down.
+
+    Text fits when every word fits the line it comes to and there are lines enough.
+    """
+    t = texts.withColumn("_cjk", F.col("text").rlike(f"[{X.KANJI}{X.KANA}]"))
+    tokens = F.when(F.col("_cjk"), F.split("text", "")).otherwise(F.split("text", f"{X.SPACE}+"))
+    limits = F.transform("rows", lambda w: F.floor(w * 1000 / F.col("size")))
+    t = t.withColumns({"_w": F.transform(F.filter(tokens, lambda w: w != ""), width_of), "_limits": limits, "_gap": F.when(F.col("_cjk"), 0).otherwise(SPACE_W)})
+    first = F.struct(F.lit(1).alias("lines"), F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("ok"))
+    room = lambda line: F.coalesce(F.get("_limits", line - 1), F.lit(0))
+
+    def step(s, w):
+        fresh = s["used"] == 0
+        tight = ~fresh & (s["used"] + F.col("_gap") + w <= room(s["lines"]))
+        line = F.when(fresh | tight, s["lines"]).otherwise(s["lines"] + 1)
+        return F.struct(line.alias("lines"), F.when(tight, s["used"] + F.col("_gap") + w).otherwise(w).cast("bigint").alias("used"), (s["ok"] & (tight | (w <= room(line)))).alias("ok"))
+
+    t = t.withColumn("s", F.aggregate("_w", first, step))
+    return t.select(*texts.columns, F.col("s.lines").alias("lines"), (F.col("s.ok") & (F.col("s.lines") <= F.size("rows"))).alias("fits"))
+
+
 def _limit() -> Column:
     """Box width in the hundredths-at-size-10 unit of :func:`width_of`."""
     return F.floor(F.col("box_w") * 1000 / F.col("size"))
@@ -244,14 +303,16 @@ def sum_width(word: str) -> int:
 
 
 def violations(answers: DataFrame, limits: DataFrame, floor: Column) -> DataFrame:
-    """Answers that do not fit even at the floor size, and which figures they pass.
+    """Answers that do not fit even at the floor size with hyphens, and which figures they pass.
 
-    Empty answers and regions without a budget are not judged; the figures only explain.
+    ``floor`` is the emergency size, under which nothing is set. A word wider than a line is broken at its
+    longest fitting parts, the first at the start of a line. Empty answers and regions without a budget are not judged; the figures only explain.
     """
     j = answers.join(limits, ["page_id", "region_id"]).withColumn("text", F.upper(T.clean_answer(F.col("answer")))).filter("text <> ''")
     words = F.filter(F.split("text", f"{X.SPACE}+"), lambda w: w != "")
     longest = F.array_max(F.transform(words, lambda w: F.length(F.regexp_replace(w, "[^A-Z']", ""))))
-    fits = fold_lines(F.transform(words, width_of), F.floor(F.col("box_w") * 1000 / floor))
+    limit = F.floor(F.col("box_w") * 1000 / floor)
+    fits = fold_lines(F.flatten(F.transform(words, lambda w: hyphen_parts(w, limit))), limit)
     ok = fits["ok"] & (fits["lines"] * floor <= F.col("box_h"))
     n = F.length("text")
     return j.select(
@@ -275,18 +336,7 @@ def choose_size(candidates: DataFrame, gain: float = 0.75) -> DataFrame:
 
 def break_points(words: DataFrame) -> DataFrame:
     """Vowel-to-consonant boundaries leaving two letters ahead and three behind, per distinct word."""
-    vowel, letter = "[AEIOUYaeiouy]", r"\p{L}"
-    w = words.select("word").distinct()
-    letters = lambda c: F.length(F.regexp_replace(c, r"\P{L}", ""))
-
-    def cut(i):
-        a, b = F.substring(F.col("word"), i, F.lit(1)), F.substring(F.col("word"), i + 1, F.lit(1))
-        return a.rlike(vowel) & b.rlike(letter) & ~b.rlike(vowel) & (letters(F.substring(F.col("word"), F.lit(1), i)) >= 2) & (
-            letters(F.substring(F.col("word"), i + 1, F.length("word"))) >= 3)
-
-    n = F.length("word") - 1
-    spots = F.when(n >= 1, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), cut)).otherwise(F.array().cast("array<int>"))
-    return w.select("word", spots.alias("points"))
+    return words.select("word").distinct().select("word", breaks(F.col("word")).alias("points"))
 
 
 def text_duplicates(texts: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:

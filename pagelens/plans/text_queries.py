@@ -189,12 +189,21 @@ WIDTH = """list_sum(list_transform(list_filter(string_split({w}, ''), lambda c:
 
 
 def fold_sql(ws: str, limit: str) -> str:
-    """Fold over ``ws`` (list of widths) prefixed with the initial state."""
-    return f"""list_reduce({ws}, lambda s, w: {{'lines': CASE WHEN s.used = 0 OR s.used + 255 + w <= {limit} THEN s.lines ELSE s.lines + 1 END,
-  'used': CAST(CASE WHEN s.used = 0 THEN w WHEN s.used + 255 + w <= {limit} THEN s.used + 255 + w ELSE w END AS BIGINT), 'ok': s.ok AND w <= {limit}}},
+    """Fold over ``ws`` (list of widths, negative at the start of a line) prefixed with the initial state."""
+    tight = f"w >= 0 AND s.used + 255 + w <= {limit}"
+    return f"""list_reduce({ws}, lambda s, w: {{'lines': CASE WHEN s.used = 0 OR ({tight}) THEN s.lines ELSE s.lines + 1 END,
+  'used': CAST(CASE WHEN s.used <> 0 AND {tight} THEN s.used + 255 + w ELSE abs(w) END AS BIGINT), 'ok': s.ok AND abs(w) <= {limit}}},
   {{'lines': 1, 'used': CAST(0 AS BIGINT), 'ok': true}})"""
 
 
+def part_sql(a: str, b: str) -> str:
+    return f"(CAST({WIDTH.format(w=f'w[{a} + 1:{b}]')} AS BIGINT) + CASE WHEN {b} < length(w) THEN 425 ELSE 0 END)"
+
+
+BREAKS = """list_filter(range(1, length({w})), lambda i: regexp_matches({w}[i], '[AEIOUYaeiouy]') AND regexp_matches({w}[i + 1], '\\p{{L}}') AND NOT regexp_matches({w}[i + 1], '[AEIOUYaeiouy]')
+  AND length(regexp_replace(left({w}, CAST(i AS INT)), '\\P{{L}}', '', 'g')) >= 2 AND length(regexp_replace({w}[i + 1:], '\\P{{L}}', '', 'g')) >= 3)"""
+
+
 WORDS_OF = f"list_filter(regexp_split_to_array(@text@, '{SP}+'), lambda x: x <> '')"
 DISTINCT_W = f"""dw AS (SELECT w, CAST({WIDTH.format(w='w')} AS BIGINT) AS width FROM (SELECT DISTINCT w FROM ws)),"""
 
@@ -213,6 +222,22 @@ def _(c):
     return J.wrap(c.boxed).select("doc_id", "lines", "last_used", "fits")
 
 
+# An oval box: its middle rows are the widest.
+ROOM = "coalesce(lm[{i}], 0)"
+
+
+@query("wrap_rows", "WITH " + widths_sql("boxed", "doc_id", "text") + f""",
+b AS (SELECT doc_id, coalesce(wl, CAST([] AS BIGINT[])) AS wl, list_transform(range(0, box_h // size), lambda k: (box_w - 4 * abs(2 * k - box_h // size)) * 1000 // size) AS lm FROM boxed LEFT JOIN wd USING (doc_id)),
+f AS (SELECT doc_id, len(lm) AS n, list_reduce(wl, lambda s, w: CASE WHEN s.used <> 0 AND s.used + 255 + w <= {ROOM.format(i="s.lines")} THEN {{'lines': s.lines, 'used': CAST(s.used + 255 + w AS BIGINT), 'ok': s.ok}}
+  WHEN s.used = 0 THEN {{'lines': s.lines, 'used': CAST(w AS BIGINT), 'ok': s.ok AND w <= {ROOM.format(i="s.lines")}}} ELSE {{'lines': s.lines + 1, 'used': CAST(w AS BIGINT), 'ok': s.ok AND w <= {ROOM.format(i="s.lines + 1")}}} END,
+  {{'lines': 1, 'used': CAST(0 AS BIGINT), 'ok': true}}) AS s FROM b)
+SELECT doc_id, s.lines AS lines, s.ok AND s.lines <= n AS fits FROM f""", "boxed")
+def _(c):
+    n = F.floor(F.col("box_h") / F.col("size")).cast("int")
+    rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.col("box_w") - 4 * F.abs(2 * k - n))).otherwise(F.array().cast("array<int>"))
+    return J.wrap_rows(c.boxed.withColumn("rows", rows)).select("doc_id", "lines", "fits")
+
+
 LINES = "SELECT conv_id, turn, text, CAST(120 + (conv_id * 13 + turn * 31) % 260 AS INT) AS box_w, CAST(80 + (conv_id * 7 + turn * 17) % 300 AS INT) AS box_h FROM {conversations}"
 
 
@@ -263,7 +288,14 @@ LIMITS = """SELECT CAST(FLOOR(conv_id / 20e0) AS BIGINT) AS page_id, conv_id * 1
 
 
 @query("violations", "WITH li AS (" + LIMITS.replace("{conversations}", "conversations") + f"), cl AS (SELECT *, replace(replace(upper({clean_sql('answer')}), 'ß', 'SS'), 'ẞ', 'SS') AS tx FROM li)," + widths_sql("cl", "page_id, region_id", "tx") + f""",
-f AS (SELECT cl.*, {fold_sql("wl", "box_w * 1000 // 11")} AS s, list_max(list_transform({WORDS_OF.replace("@text@", "tx")}, lambda x: length(regexp_replace(x, '[^A-Z'']', '', 'g')))) AS lw FROM cl JOIN wd USING (page_id, region_id) WHERE tx <> '')
+wx AS (SELECT page_id, region_id, pos, w, width, box_w * 1000 // 11 AS lim FROM ws JOIN dw USING (w) JOIN cl USING (page_id, region_id)),
+st AS (SELECT w, lim, list_reduce([{{'st': 0::BIGINT, 'ok': 0::BIGINT, 'pt': CAST([] AS BIGINT[]), 'good': true}}] || list_transform(list_append({BREAKS.format(w="w")}, length(w)), lambda p: {{'st': 0::BIGINT, 'ok': p::BIGINT, 'pt': CAST([] AS BIGINT[]), 'good': true}}),
+  lambda s, q: CASE WHEN {part_sql("s.st", "q.ok")} <= lim THEN {{'st': s.st, 'ok': q.ok, 'pt': s.pt, 'good': s.good}}
+  WHEN s.ok > s.st AND {part_sql("s.ok", "q.ok")} <= lim THEN {{'st': s.ok, 'ok': q.ok, 'pt': list_append(s.pt, {part_sql("s.st", "s.ok")}), 'good': s.good}}
+  ELSE {{'st': s.st, 'ok': s.ok, 'pt': s.pt, 'good': false}} END) AS s FROM (SELECT DISTINCT w, lim FROM wx WHERE width > lim)),
+pt AS (SELECT w, lim, CASE WHEN s.good THEN list_append(s.pt, {part_sql("s.st", "length(w)")}) END AS l FROM st),
+wd2 AS (SELECT page_id, region_id, flatten(list(CASE WHEN pt.l IS NULL THEN [width] ELSE [-pt.l[1]] || pt.l[2:] END ORDER BY pos)) AS wl FROM wx LEFT JOIN pt ON pt.w = wx.w AND pt.lim = wx.lim GROUP BY ALL),
+f AS (SELECT cl.*, {fold_sql("wl", "box_w * 1000 // 11")} AS s, list_max(list_transform({WORDS_OF.replace("@text@", "tx")}, lambda x: length(regexp_replace(x, '[^A-Z'']', '', 'g')))) AS lw FROM cl JOIN wd2 USING (page_id, region_id) WHERE tx <> '')
 SELECT page_id, region_id, length(tx) AS chars, NOT (s.ok AND s.lines * 11 <= box_h) AS violates, length(tx) > soft AS over_soft, length(tx) > hard AS over_hard, lw > word_hard AS over_word,
   CASE WHEN NOT (s.ok AND s.lines * 11 <= box_h) THEN length(tx) || ' chars get cut off; holds about ' || soft || ' characters and words up to ' || word_hard || ' letters' END AS message FROM f""")
 def _(c):
@@ -284,10 +316,9 @@ def _(c):
     return J.choose_size(c.spark.sql(SIZES.replace("{grid}", "LATERAL VIEW explode(sequence(6, 40)) s AS size"), det=c.det))
 
 
-@query("break_points", """
+@query("break_points", f"""
 WITH w AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '')
-SELECT word, array_to_string(list_filter(range(1, length(word)), lambda i: regexp_matches(word[i], '[AEIOUYaeiouy]') AND regexp_matches(word[i + 1], '\\p{L}') AND NOT regexp_matches(word[i + 1], '[AEIOUYaeiouy]')
-  AND length(regexp_replace(left(word, CAST(i AS INT)), '\\P{L}', '', 'g')) >= 2 AND length(regexp_replace(word[i + 1:], '\\P{L}', '', 'g')) >= 3), ',') AS points FROM w""")
+SELECT word, array_to_string({BREAKS.format(w="word")}, ',') AS points FROM w""")
 def _(c):
     words = c.documents.select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''")
     return J.break_points(words).select("word", F.array_join(F.transform("points", lambda i: i.cast("string")), ",").alias("points"))

@@ -110,3 +110,15 @@ def test_cjk_wraps_by_character(spark):
     df = spark.createDataFrame([("かなかなかな", 10, 100, 10), ("to be", 10, 100, 10)], "text string, box_w int, box_h int, size int")
     got = {r.text: r.lines for r in J.wrap(df).collect()}
     assert got == {"かなかなかな": 6, "to be": 2}
+
+
+def test_answers_are_judged_with_hyphens(spark):
+    rows = [(1, 1, "contractors", 30, 40), (1, 2, "contractors", 30, 10), (1, 3, "strengths", 20, 90), (1, 4, " ", 1, 1), (1, 5, "go on", 40, 20)]
+    df = spark.createDataFrame(rows, "page_id bigint, region_id bigint, answer string, box_w int, box_h int").selectExpr("*", "5 AS soft", "9 AS hard", "4 AS word_hard")
+    got = {r.region_id: (r.violates, r.over_hard, r.over_word) for r in J.violations(df.select("page_id", "region_id", "answer"), df.drop("answer"), F.lit(8)).collect()}
+    assert got == {1: (False, True, True), 2: (True, True, True), 3: (True, False, True), 5: (False, False, False)}
+
+
+def test_rows_of_their_own_width(spark):
+    df = spark.createDataFrame([("aa aa aa", [12, 40, 12], 10), ("aa aa aa", [12, 20], 10), ("aaaa", [10, 90], 10)], "text string, rows array<int>, size int")
+    assert [(r.lines, r.fits) for r in J.wrap_rows(df).collect()] == [(2, True), (3, False), (1, False)]
