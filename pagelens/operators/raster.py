@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.operators import runs as R
 from pagelens.operators.boxes import nearest, square_cost
-from pagelens.operators.grouping import down, ranked
+from pagelens.operators.grouping import down, ranked, top_k
 from pagelens.operators.runs import RK
 from pagelens.session import materialize
 from pagelens.settings import SETTINGS
@@ -648,6 +648,16 @@ def fill_leak(fill, ink, pixels, boxes, reach: int = 13, dark: int = 110) -> Dat
     )
 
 
+def edge_background(mask: DataFrame, boxes: DataFrame, keep: int = 2) -> DataFrame:
+    """The largest components of a box off its mask that touch the border of the box (ties: the later one).
+
+    Added to a fill they make a control: a fill that is known to leak.
+    """
+    back = R.label_runs(R.subtract(R.box_runs(boxes), mask))
+    s = R.component_stats(back).join(boxes.select(*RK, "x1", "y1", "x2", "y2"), list(RK)).filter("bx1 = x1 or by1 = y1 or bx2 = x2 or by2 = y2")
+    return R.keep_components(back, top_k(s, list(RK), [F.desc("area"), F.desc("label")], keep))
+
+
 def colour_marks(rgb: DataFrame, pad: int = 6, least: int = 30, most: int = 4) -> DataFrame:
     """Boxes of red marks: components of strongly red pixels, the largest few per page, padded."""
     red = (F.col("r") > 110) & (F.col("r") - F.col("g") > 50) & (F.col("r") - F.col("b") > 50)

@@ -146,7 +146,10 @@ def label_runs(runs: DataFrame, keys: Sequence[str] = RK, conn: int = 8, limit:
     become an edge table between neighbouring rows and go through the distributed components.
     """
     keys = list(keys)
-    base = runs.select(*keys, F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    inside = lambda c: (F.col(c) >= -_SHIFT) & (F.col(c) < _WIDTH - _SHIFT)
+    far = F.raise_error(F.lit("a mask lies outside of the coordinates that labels can hold"))
+    y = F.when(inside("y") & inside("x0"), F.col("y")).otherwise(far)
+    base = runs.select(*keys, y.cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
     base = materialize(base, "mask")
     cold, hot = split_hot(base, keys, limit)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields) + ", label long"

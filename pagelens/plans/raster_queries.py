@@ -551,20 +551,33 @@ def _(c):
     return P.compare_masks(inner(c), fill(c), ink(c), c.lines("pix"), c.crops)
 
 
-@query("fill_leak", with_(S.dilate("wd", "ink", 13), S.dilate("tt", "ink", 5), S.meet("n0", "fill", "wd"), S.minus("nr", "n0", "tt"), S.minus("fr", "fill", "wd"), """
-tn AS (SELECT page_id, region_id, count(*) AS px, avg(CAST(grey < 110 AS INT)) AS dk FROM fill JOIN pix USING (page_id, y, x) GROUP BY ALL),
-hd AS (SELECT page_id, region_id, count(*) AS h FROM fill JOIN ink USING (page_id, region_id, y, x) GROUP BY ALL), ik AS (SELECT page_id, region_id, count(*) AS n FROM ink GROUP BY ALL),
+def leak_sql(fill: str, *first: str) -> str:
+    return with_(*first, S.dilate("wd", "ink", 13), S.dilate("tt", "ink", 5), S.meet("n0", fill, "wd"), S.minus("nr", "n0", "tt"), S.minus("fr", fill, "wd"), f"""
+tn AS (SELECT page_id, region_id, count(*) AS px, avg(CAST(grey < 110 AS INT)) AS dk FROM {fill} JOIN pix USING (page_id, y, x) GROUP BY ALL),
+hd AS (SELECT page_id, region_id, count(*) AS h FROM {fill} JOIN ink USING (page_id, region_id, y, x) GROUP BY ALL), ik AS (SELECT page_id, region_id, count(*) AS n FROM ink GROUP BY ALL),
 nv AS (SELECT page_id, region_id, grey, CAST(median(grey) OVER (PARTITION BY page_id, region_id) AS DOUBLE) AS m FROM nr JOIN pix USING (page_id, y, x)),
 fv AS (SELECT page_id, region_id, grey, CAST(median(grey) OVER (PARTITION BY page_id, region_id) AS DOUBLE) AS m FROM fr JOIN pix USING (page_id, y, x)),
 nm AS (SELECT page_id, region_id, any_value(m) AS nm, median(abs(grey - m)) * 14826e-4 AS ns, count(*) AS np FROM nv GROUP BY ALL),
 fm AS (SELECT page_id, region_id, any_value(m) AS fm, median(abs(grey - m)) * 14826e-4 AS fs, count(*) AS fp FROM fv GROUP BY ALL)""") + """
 SELECT page_id, region_id, tn.px / ((x2 - x1) * (y2 - y1) * 1e0) AS box_share, coalesce(h, 0) / (n * 1e0) AS ink_held, dk AS dark_share, nm AS near_median, ns AS near_spread, fm AS far_median, fs AS far_spread,
   abs(nm - fm) AS median_gap, coalesce(np >= 30 AND fp >= 30, false) AS tested
-FROM crops JOIN tn USING (page_id, region_id) LEFT JOIN ik USING (page_id, region_id) LEFT JOIN hd USING (page_id, region_id) LEFT JOIN nm USING (page_id, region_id) LEFT JOIN fm USING (page_id, region_id)""", "fill ink pix crops")
+FROM crops JOIN tn USING (page_id, region_id) LEFT JOIN ik USING (page_id, region_id) LEFT JOIN hd USING (page_id, region_id) LEFT JOIN nm USING (page_id, region_id) LEFT JOIN fm USING (page_id, region_id)"""
+
+
+@query("fill_leak", leak_sql("fill"), "fill ink pix crops")
 def _(c):
     return P.fill_leak(fill(c), ink(c), c.lines("pix"), c.crops)
 
 
+@query("fill_controls", leak_sql("ct", S.box("fb", "crops"), S.minus("fo", "fb", "fill"), S.labels("el", "fo"), S.stats("es", "el"), """
+et AS (SELECT es.* FROM es JOIN crops USING (page_id, region_id) WHERE (bx1 = x1 OR by1 = y1 OR bx2 = x2 OR by2 = y2)
+  QUALIFY row_number() OVER (PARTITION BY page_id, region_id ORDER BY area DESC, lab DESC) <= 2),
+ct AS (SELECT page_id, region_id, y, x FROM fill UNION SELECT el.page_id, el.region_id, el.y, el.x FROM el JOIN et USING (page_id, region_id, lab))"""), "fill ink pix crops")
+def _(c):
+    control = R.union(fill(c), P.edge_background(fill(c), c.crops))
+    return P.fill_leak(control, ink(c), c.lines("pix"), c.crops)
+
+
 @query("colour_marks", with_("rd AS (SELECT page_id, y, x FROM rgb WHERE r > 110 AND r - g > 50 AND r - b > 50)", S.labels("l", "rd", "page_id"), S.stats("s", "l", "page_id"), """
 k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, by1, bx1, lab) AS rank FROM s)""") + """
 SELECT page_id, rank, area, CAST(bx1 - 6 AS INT) AS x1, by1 - 6 AS y1, CAST(bx2 + 6 AS INT) AS x2, by2 + 6 AS y2 FROM k WHERE rank <= 4 AND area >= 30""", "rgb")
