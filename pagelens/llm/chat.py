@@ -138,3 +138,18 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def conversation_calls(conversations: DataFrame) -> DataFrame:
     return tool_calls(*turns_as_calls(conversations))
+
+
+ORACLE = r"""
+WITH c AS (SELECT conv_id, concat_ws('-', 'call', conv_id, turn) AS call_id, turn, CASE turn WHEN 1 THEN 'advise' ELSE 'reply' END AS name, coalesce(text, '') AS q,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, count(*) OVER (PARTITION BY conv_id, turn) AS n
+  FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY q) = 1),
+r AS (SELECT conv_id, concat_ws('-', 'call', conv_id, turn - 1) AS call_id, turn AS back, coalesce(text, '') AS a, count(*) OVER (PARTITION BY conv_id, turn) AS m
+  FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY a) = 1),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(turn, back) AS spot, coalesce(n, 0) AS n_calls, coalesce(m, 0) AS n_results,
+    CASE WHEN name IS NULL THEN 'orphan' WHEN back IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    concat('{"arguments":', CASE WHEN name IS NULL THEN '{}' ELSE json_object('question', q, 'turn', turn, 'words', words)::VARCHAR END, ',"id":', to_json(coalesce(c.call_id, r.call_id))::VARCHAR,
+      CASE WHEN name IS NULL THEN '' ELSE ',"name":' || to_json(name)::VARCHAR END, CASE WHEN back IS NULL THEN '' ELSE ',"result":' || to_json(a)::VARCHAR END, '}') AS json
+  FROM c FULL JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.call_id = r.call_id)
+SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY spot, call_id, json) AS position, 0 AS layer, status, n_calls, n_results, n_calls > 0 AS valid, '' AS problems, json FROM j
+"""

@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_quality, op3_pii, op4_simhash, op5_html, op6_chat, op7_ann, op8_mixing, op9_rules, op10_langid)
 }
 
-ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op9_rules": rules.oracle()}

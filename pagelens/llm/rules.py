@@ -116,3 +116,41 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def rule_report(docs: DataFrame) -> DataFrame:
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """DuckDB text of :func:`rule_report`."""
+    growth = repr(math.log((1 + ERROR) / (1 - ERROR)))
+    measures = {m: e.replace("/", "/ 1e0 /", 1).replace("/ 1e0 /", "* 1e0 /") for m, e, _ in MEASURES}
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, CASE WHEN {m} < 1e-6 THEN -1 ELSE CAST(floor(ln({m} / 1e-6) / {growth}) AS INT) END AS bucket FROM v" for m in measures)
+    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, _, s in MEASURES) + " END"
+    value = lambda q: f"min(CASE WHEN upto >= total * {q} THEN CASE WHEN bucket < 0 THEN 0e0 ELSE 1e-6 * exp((bucket + 5e-1) * {growth}) END END)"
+
+    def level(name: str, keys: str) -> str:
+        part = f"{keys}, measure" if keys else "measure"
+        return f"""{name}_u AS (SELECT {part}, bucket, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {part}) AS total
+  FROM (SELECT {part}, bucket, count(*) AS n FROM cells GROUP BY ALL)),
+{name} AS (SELECT {part}, max(total) AS total, {value(0.75)} AS hi, {value(0.25)} AS lo FROM {name}_u GROUP BY {part})"""
+
+    over = " OR ".join(f"coalesce({m} > (SELECT fence FROM fences f WHERE f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND measure = '{m}'), false)" for m in measures)
+    blank = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{blank.replace("[", "[^", 1)}+') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{blank.replace("[", "[^", 1)}')) AS lines FROM d),
+win AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS win FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS j FROM again) GROUP BY rid),
+m AS (SELECT rid, doc_id, lang, source, len(words) AS n_words, length(regexp_replace(text, '{blank}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(list_distinct(words)) AS n_distinct,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs
+  FROM w LEFT JOIN rep USING (rid)),
+v AS (SELECT *, {", ".join(f"{e} AS {m}" for m, e in measures.items())} FROM m),
+cells AS ({cells}),
+{level("a", "lang, source")}, {level("b", "lang")}, {level("c", "")},
+fences AS (SELECT a.lang, a.source, measure, hi + {FENCE} * greatest(hi - lo, {slack}) AS fence FROM (
+  SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= {SUPPORT} THEN a.hi WHEN b.total >= {SUPPORT} THEN b.hi ELSE c.hi END AS hi,
+    CASE WHEN a.total >= {SUPPORT} THEN a.lo WHEN b.total >= {SUPPORT} THEN b.lo ELSE c.lo END AS lo
+  FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN c ON c.measure = a.measure) a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {over} AS over FROM v)
+"""
