@@ -76,6 +76,21 @@ def _(c):
     return reports.read_reports(c.spark, folder)[0]
 
 
+@query("report_notes", "SELECT page_id, seq, level, tag, msg FROM ledger SEMI JOIN regions USING (page_id)", "regions ledger")
+def _(c):
+    folder = reports.write_documents(L.report_documents(c.regions, c.ledger))
+    return reports.read_reports(c.spark, folder)[1]
+
+
+# Every tenth page's document breaks off.
+@query("report_rejects", """
+SELECT left('{"page_id":' || page_id, 12) AS bad, count(*) AS n FROM (SELECT DISTINCT page_id FROM regions) WHERE page_id % 10 = 0 GROUP BY 1""", "regions")
+def _(c):
+    docs = L.report_documents(c.regions, c.ledger)
+    folder = reports.write_documents(docs.withColumn("doc", F.when(F.col("page_id") % 10 == 0, F.left("doc", F.lit(12))).otherwise(F.col("doc"))))
+    return reports.read_reports(c.spark, folder)[2].groupBy(F.col("_bad").alias("bad")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("write_reports", "SELECT page_id, count(*) AS regions FROM regions GROUP BY page_id", "regions")
 def _(c):
     folder = reports.write_tables(c.regions.withColumn("run_id", F.col("page_id") % 3))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.session import fresh_path
+from pagelens.session import fresh_path, materialize
 
 REGION = ("region_id bigint, x1 int, y1 int, x2 int, y2 int, det_conf double, label string, src_text string, translation string, "
           "overflowed boolean, route string, residue boolean")
@@ -22,8 +22,8 @@ def write_documents(docs: DataFrame, path: str | None = None) -> str:
 
 
 def read_reports(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Flat regions, flat notes, and files with unreadable documents."""
-    docs = _documents(spark, path, multi_line)
+    """Flat regions, flat notes, and files with unreadable documents; the files are parsed once for all three."""
+    docs = materialize(_documents(spark, path, multi_line).select("page_id", "regions", "notes", "_bad", "file"), "documents")
     good = docs.filter("_bad is null")
     regions = good.select("page_id", F.inline("regions"))
     notes = good.select("page_id", F.inline_outer("notes")).filter("seq is not null")
