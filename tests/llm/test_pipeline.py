@@ -2,12 +2,15 @@
 
 from collections import Counter, defaultdict
 
+import pytest
+
 import corpus_pipeline as pipeline
 import __spark_entry__ as entry
 from pagelens.llm import pii
 from pagelens.session import fresh_path, materialize
 from tests.llm import brute
 from tests.llm.test_documents import check_packing
+from tests.oracle_check import compare, connect
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -75,9 +78,8 @@ def test_registration():
     assert "op8_mixing" in entry.oracle_sql()
 
 
-def test_mixing_query_equals_its_oracle(spark):
-    from tests.oracle_check import compare, connect
-
+@pytest.mark.parametrize("name", ["op6_chat", "op8_mixing", "op9_rules"])
+def test_query_equals_its_oracle(spark, name):
     folder = "/root/testdata/sf0.001"
-    ok, detail = compare(spark, connect(folder), folder, entry.queries()["op8_mixing"], entry.oracle_sql()["op8_mixing"])
+    ok, detail = compare(spark, connect(folder), folder, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, detail
