@@ -12,7 +12,7 @@ from pagelens.session import materialize
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Detections to page reports: clip, suppress, merge, assign, order, label, count.
+    """Detections to page reports: clip, suppress, merge, assign, split, order, label, count.
 
     The order is contract: duplicates merge before parents are assigned, labels exist before
     anything is counted.
@@ -23,7 +23,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     kept = materialize(kept, "kept")
     merged = boxes.merge_nested(kept.filter("cls <> 0"))
     parents = kept.filter("cls = 0").withColumn("ord", F.struct(-F.col("score"), F.col("det_id")))
-    placed = ordering.reading_order(materialize(boxes.assign_parents(merged, parents), "placed"))
+    assigned = ordering.split_shared_parents(materialize(boxes.assign_parents(merged, parents), "assigned"))
+    placed = ordering.reading_order(materialize(assigned, "placed"))
     spoken = F.concat(F.lit("ドキ"), F.when(F.col("score") % 3 == 0, "っ").when(F.col("score") % 3 == 1, "ドキ").otherwise("は漢"))
     labelled = texts.label_regions(placed.select(
         "page_id", F.col("det_id").alias("region_id"), "idx", spoken.alias("src_text"), F.col("parent_x1").isNotNull().alias("in_parent"),
