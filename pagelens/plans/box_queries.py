@@ -248,7 +248,13 @@ def _(c):
     return O.overlap_groups(c.spark.sql(SMALL, det=c.det))
 
 
-@query("merge_boxes")
+@query("merge_boxes", "WITH sm AS (" + SMALL.replace("{det}", "det") + """),
+mb AS (SELECT 0 AS k, page_id, det_id, x1 - 4 AS x1, y1 - 4 AS y1, x2 + 4 AS x2, y2 + 4 AS y2 FROM sm
+  UNION ALL SELECT k + 1, page_id, t, min(x1), min(y1), max(x2), max(y2) FROM (
+    SELECT * FROM (SELECT a.k, a.page_id, a.det_id, a.x1, a.y1, a.x2, a.y2, min(b.det_id) AS t, count(*) > 1 AS hit
+      FROM mb a JOIN mb b ON a.page_id = b.page_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 GROUP BY ALL)
+    QUALIFY bool_or(hit) OVER (PARTITION BY page_id)) GROUP BY k, page_id, t)
+SELECT page_id, det_id, x1, y1, x2, y2 FROM mb QUALIFY k = max(k) OVER (PARTITION BY page_id)""", "det")
 def _(c):
     return O.merge_boxes(c.spark.sql(SMALL, det=c.det), pad=4)
 
