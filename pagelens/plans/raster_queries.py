@@ -310,13 +310,15 @@ def binarised(c):
     return P.masked(px_, F.when(F.col("inverted"), ~bright & (F.col("wall").isNull() | (F.col("grey") > F.col("wall")))).otherwise(bright))
 
 
-@query("seeded_region", with_(*[p.replace("threshold, grey", "ot.threshold, grey") for p in POLARITY], BINV.replace("grey >", "tg.grey >"), S.labels("bl", "bv", conn=4), """
+SEEDED = [*[p.replace("threshold, grey", "ot.threshold, grey") for p in POLARITY], BINV.replace("grey >", "tg.grey >"), S.labels("bl", "bv", conn=4), """
 sd AS (SELECT page_id, region_id, CAST(x1 + floor(avg(x) - x1) AS INT) AS sx, CAST(y1 + floor(avg(y) - y1) AS INT) AS sy FROM ink JOIN crops USING (page_id, region_id) GROUP BY page_id, region_id, x1, y1),
 pk AS (SELECT bl.page_id, bl.region_id, lab FROM bl JOIN sd USING (page_id, region_id)
   QUALIFY row_number() OVER (PARTITION BY bl.page_id, bl.region_id ORDER BY (x - sx) * (x - sx) + (y - sy) * (y - sy), y, x) = 1),
 sz AS (SELECT p.page_id, p.region_id, p.lab, count(*) >= 5e-2 * any_value((x2 - x1) * (y2 - y1)) AS enough FROM bl JOIN pk p USING (page_id, region_id, lab) JOIN crops c USING (page_id, region_id) GROUP BY ALL),
-kp AS (SELECT bl.page_id, bl.region_id, bl.y, bl.x FROM bl JOIN sz USING (page_id, region_id) WHERE bl.lab = sz.lab OR NOT enough)""", S.clip("ic", "ink"), S.join("res", "kp", "ic")) + ALL4 + "res",
-       "ink pix crops")
+kp AS (SELECT bl.page_id, bl.region_id, bl.y, bl.x FROM bl JOIN sz USING (page_id, region_id) WHERE bl.lab = sz.lab OR NOT enough)""", S.clip("ic", "ink"), S.join("res", "kp", "ic")]
+
+
+@query("seeded_region", with_(*SEEDED) + ALL4 + "res", "ink pix crops")
 def _(c):
     return px(P.seeded_region(binarised(c), P.ink_centre(ink(c), c.crops), ink(c), c.crops))
 
@@ -332,7 +334,12 @@ def _(c):
     return px(R.fill_holes(mask, c.crops))
 
 
-@query("interior_masks")
+# Seeded region, its holes filled, closed, kept to what was bright or inked, eroded; the crop's border does not erode.
+@query("interior_masks", with_(*SEEDED, S.join("ib", "bv", "ic"), S.box("hb"), S.minus("hk", "hb", "res"), S.labels("hl", "hk", conn=4), S.stats("hs", "hl"), """
+hf AS (SELECT hl.page_id, hl.region_id, hl.y, hl.x FROM hl JOIN hs USING (page_id, region_id, lab) JOIN crops c USING (page_id, region_id)
+  WHERE bx1 > c.x1 AND by1 > c.y1 AND bx2 < c.x2 AND by2 < c.y2)""", S.join("ff", "res", "hf"),
+    S.dilate("cd0", "ff", 7), S.clip("cd", "cd0"), S.minus("co", "hb", "cd"), S.dilate("c7", "co", 7), S.minus("cl", "cd", "c7"),
+    S.join("fb", "ff", "ib"), S.meet("im", "cl", "fb"), S.minus("io", "hb", "im"), S.dilate("i3", "io", 3), S.minus("er", "im", "i3")) + ALL4 + "er", "ink pix crops")
 def _(c):
     return px(P.interior_masks(c.lines("pix"), ink(c), c.crops))
 
