@@ -46,6 +46,8 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main content story post entry".split())
 RAW_ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 SPLIT = re.compile(r"[^a-z0-9]+")
+#: A host with more than 1 / HOT of the pages is dealt over SALTS partitions.
+HOT, SALTS = 1000, 64
 
 
 def number(*parts: str) -> int:
@@ -171,7 +173,7 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, template``: the tokens of each host's template.
+    """``host, pages, template``: the pages of each host that has a template, and its tokens.
 
     A vector is known by the pages that hold the token, its occurrences and two sums of hashes of (page,
     count). A class is valid when it is on more than half of the host's pages and holds two tokens or more, or is
@@ -212,9 +214,10 @@ def templates(pages: DataFrame) -> DataFrame:
         out = []
         for tokens in batch.column("t").to_pylist():
             out.append(valid_tokens([(t["token"], t["parent"], tuple(t["vector"].values())) for t in tokens]))
-        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, type=pa.list_(pa.int64()))], ["host", "template"])
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("all_pages"), pa.array(out, type=pa.list_(pa.int64()))], ["host", "pages", "template"])
 
-    return map_rows(kept, nested, "host string, template array<long>")
+    valid = map_rows(kept.join(of_host.withColumnRenamed("_host", "host"), "host"), nested, "host string, pages long, template array<long>")
+    return materialize(valid, "templates")
 
 
 
@@ -268,8 +271,16 @@ def extracted(pages: DataFrame) -> DataFrame:
     shares the template of the host with an empty name; repeated rows each get their row; other columns are
     not read; an empty table gives an empty result.
     """
-    of_host = templates(pages).withColumnRenamed("host", "_host")
-    j = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(of_host, F.col("host") == F.col("_host"), "left")
+    of_host = templates(pages)
+    # Spark broadcasts the templates where they are small enough. Where they are not, a host with more than 1 / HOT of
+    # all pages (there are fewer than HOT of these) is dealt over SALTS partitions.
+    total = of_host.agg(F.sum("pages").alias("total"))
+    hot = F.broadcast(of_host.join(F.broadcast(total)).filter(F.col("pages") * HOT > F.col("total")).select(F.col("host").alias("_hot")))
+    salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = of_host.join(hot, F.col("host") == F.col("_hot"), "left").select(F.col("host").alias("_host"), "template", F.explode(salts).alias("_salt"))
+    mine = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    read = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(hot, F.col("host") == F.col("_hot"), "left").withColumn("salt", mine)
+    j = read.join(dealt, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[str, frozenset[int]] = {}
