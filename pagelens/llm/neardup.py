@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.llm import jaccard
 from pagelens.llm.common import columns, map_rows, set_aside, shuffle_width
 from pagelens.operators.graph import min_labels
 from pagelens.session import materialize
@@ -250,17 +251,30 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, similarity: float | None = None, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
-    Fingerprints within three bits are linked, equal ones included, and ``component_id`` is the smallest
+    Fingerprints within three bits are linked, equal ones included. With a ``similarity``, texts are linked whose
+    sets of ``shingle`` words have at least that Jaccard similarity, and the fingerprint is a hash of the set; without
+    one, ``shingle`` must be the width of the SimHash. ``component_id`` is the smallest
     doc_id that links reach. Null and empty texts have fingerprint zero and are linked like any other;
     rows with equal doc_id each keep their own row; a null doc_id counts only where a component has no
     other, whose ``component_id`` is then null. An empty table gives an empty result.
     """
-    table = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fp")
-    label = components(materialize(links(distinct), "links"))
+    counted = [F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")]
+    if similarity is None:
+        if shingle != SHINGLE:
+            raise ValueError(f"fingerprints are of {SHINGLE} words")
+        table = materialize(fingerprints(docs), "fingerprints")
+        distinct = materialize(table.groupBy("fp").agg(*counted), "distinct-fp")
+        met = links(distinct)
+    else:
+        table = materialize(jaccard.prints(docs, shingle), "fingerprints")
+        one = F.min(F.struct("row", "keys", "sketch")).alias("one")
+        distinct = materialize(table.groupBy("fp").agg(*counted, one).select("fp", "least", "n", "one.*"), "distinct-fp")
+        met = jaccard.links(distinct, docs, shingle, similarity, components)
+        table, distinct = table.select("doc_id", "fp"), distinct.select("fp", "least", "n")
+    label = components(materialize(met, "links"))
     named = distinct.join(label, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
     shared = named.filter("node IS NOT NULL OR n > 1")
     partners = shared.select("label").union(label.select("label")).distinct()
@@ -273,13 +287,13 @@ def groups(docs: DataFrame) -> DataFrame:
                     F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float | None = None, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays, with all its columns.
 
     Rows that share that doc_id are repeats; the one that comes first by the hash of its text stays. A
-    group without any doc_id keeps one row in the same way.
+    group without any doc_id keeps one row in the same way. The parameters are those of :func:`groups`.
     """
-    kept = materialize(groups(docs).select(F.col("doc_id").alias("_d"), F.col("component_id").alias("_c"), "fingerprint"), "kept")
+    kept = materialize(groups(docs, similarity, shingle).select(F.col("doc_id").alias("_d"), F.col("component_id").alias("_c"), "fingerprint"), "kept")
     slim, back = set_aside(docs, ("doc_id", "text"))
     named = kept.filter("_d = _c").select("_d").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.hash(*columns(slim)))
@@ -288,16 +302,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     bare = kept.filter("_c IS NULL").select("fingerprint").distinct()
     if not bare.isEmpty():
         orphans = slim.filter("doc_id IS NULL").dropDuplicates(["text"])
-        marked = orphans.join(fingerprint_of(orphans), F.col("text").eqNullSafe(F.col("_text"))).join(bare, F.col("_fp") == F.col("fingerprint"))
+        marked = orphans.join(fingerprint_of(orphans, None if similarity is None else shingle), F.col("text").eqNullSafe(F.col("_text"))).join(bare, F.col("_fp") == F.col("fingerprint"))
         out = out.unionByName(marked.dropDuplicates(["_fp"]).select(*columns(slim)))
     return back(out)
 
 
-def fingerprint_of(docs: DataFrame) -> DataFrame:
-    """Each text with its fingerprint as 16 hexadecimal digits."""
+def fingerprint_of(docs: DataFrame, shingle: int | None = None) -> DataFrame:
+    """Each text with its fingerprint, that of its set of shingles if their width is given, as 16 hexadecimal digits."""
+    name = fingerprint if shingle is None else lambda t: jaccard.content(jaccard.shingles(t, shingle))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0)
-        return pa.RecordBatch.from_arrays([texts, pa.array([f"{fingerprint(t):016x}" for t in texts.to_pylist()])], ["_text", "_fp"])
+        return pa.RecordBatch.from_arrays([texts, pa.array([f"{name(t):016x}" for t in texts.to_pylist()])], ["_text", "_fp"])
 
     return map_rows(docs.select("text"), run, "_text string, _fp string")
