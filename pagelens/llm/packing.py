@@ -23,6 +23,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pagelens.llm.common import map_rows
 from pagelens.session import materialize
@@ -32,6 +33,8 @@ SEQUENCE = 1024
 END = 0
 #: The vocabulary of byte_bpe_50k.json in the form of the faster of the two libraries; tests compare their identifiers.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Has the tokens that were added to the vocabulary; a text that names one holds that token.
+TOKENIZER = "byte_bpe_50k.json"
 ROUNDS = 150
 #: Share of a window that may stay empty before the pieces in it are cut.
 GAP = 0.01
@@ -49,6 +52,22 @@ def token_ids(text: str | None, name: str = VOCABULARY) -> np.ndarray:
     return np.array([*encoding(name).encode_ordinary(text or ""), END], dtype="<u4")
 
 
+@cache
+def added_tokens(name: str = TOKENIZER) -> tuple[Tokenizer, tuple[str, ...]]:
+    """The other library's tokenizer, and the names of its added tokens."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    return tokenizer, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def document_ids(text: str | None, name: str = VOCABULARY) -> np.ndarray:
+    """Identifiers of a whole text, added tokens that it names as such, and the closing one."""
+    if text and name == VOCABULARY:
+        tokenizer, names = added_tokens()
+        if any(n in text for n in names):
+            return np.array([*tokenizer.encode(text, add_special_tokens=False).ids, END], dtype="<u4")
+    return token_ids(text, name)
+
+
 # plan
 
 def combinations(window: int, present: np.ndarray) -> np.ndarray:
@@ -201,7 +220,7 @@ def pieces(docs: DataFrame, window: int = SEQUENCE, vocabulary: str = VOCABULARY
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = token_ids(text, vocabulary)
+                ids = document_ids(text, vocabulary)
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window]
                     at = cut_at(len(piece), window)
