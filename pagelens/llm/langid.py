@@ -1,6 +1,7 @@
 """Language of every word, and so of every text, by a linear-chain conditional random field.
 
-A word's features are its affixes, its letter n-grams, its spelling and the lexicons that hold it; their
+A word's features are its affixes, its letter n-grams, its spelling and the lexicons that hold it; a long run
+without white space is cut and each piece is a word. Their
 weights and the transitions between languages are learned together by gradient steps on the likelihood.
 Forward-backward gives each word the probability of each language given the whole text, so that a switch
 inside a text costs a transition. A text's language is the one with most probability over its letters.
@@ -28,7 +29,7 @@ FOLDS = 3
 SEQUENCE, SPAN, SPANS = 60, 20, 4
 #: Hashed features; one more row holds nothing and fills gaps.
 SIZE = 1 << 16
-#: Letters of a word that features look at, from its start, and letters of an affix.
+#: Letters of the longest word that is one place of a chain, and letters of an affix.
 LETTERS, AFFIX = 16, 3
 #: Words of each language's lexicon.
 LEXICON = 300
@@ -129,9 +130,17 @@ def _moves(fore: np.ndarray, back: np.ndarray, e: np.ndarray, on: np.ndarray, m:
     return (pair * on[1:, :, :, None]).sum(axis=(0, 1))
 
 
+def pieces_of(text: str | None) -> list[str]:
+    """Lower-cased words; a longer run without white space is cut into pieces of ``LETTERS``, so that all of it is seen."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LETTERS:
+        return words
+    return [w[at:at + LETTERS] for w in words for at in range(0, len(w), LETTERS)]
+
+
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words that hold a letter."""
-    return [w for w in (text or "").lower().split() if any(c.isalpha() for c in w)]
+    """Words, or pieces of long ones, that hold a letter."""
+    return [w for w in pieces_of(text) if any(c.isalpha() for c in w)]
 
 
 def fit(spans: list[tuple[str, list[str]]], seed: int = 11) -> Model:
@@ -243,7 +252,7 @@ class Labeller:
         if not k:
             return [(UNKNOWN, 0.0)] * len(texts)
         out = [(UNKNOWN, 0.0)] * len(texts)
-        split = [(t or "").lower().split() for t in texts]
+        split = [pieces_of(t) for t in texts]
         flat = self.look_up([w for words in split for w in words])
         ends = np.cumsum([len(w) for w in split])
         flat_letters = self.letters[flat]
