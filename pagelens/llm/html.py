@@ -137,6 +137,8 @@ def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
             continue
         element = Element(tag, rest, stack[-1] if stack else None)
         yield "open", element, ""
+        if tag == "svg" and rest.endswith("/"):
+            continue
         if tag in RAW:
             ended = RAW_ENDS[tag].search(page, at)
             at = end if not ended else page.find(">", ended.end()) + 1 or end
@@ -172,11 +174,21 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def contents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``host, page, html``, every different content of a host once, and ``host, rows``; only contents that repeat are shuffled."""
+    read = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    counts = materialize(read.groupBy("host", "page").agg(F.count(F.lit(1)).alias("n")), "contents")
+    again = counts.filter("n > 1").select(F.col("host").alias("_host"), F.col("page").alias("_page"))
+    same = (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page"))
+    once = read.join(again, same, "left_anti").unionByName(read.join(again, same, "left_semi").dropDuplicates(["host", "page"]))
+    return once, counts.groupBy("host").agg(F.sum("n").alias("rows"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, pages, template``: the pages of each host that has a template, and its tokens.
+    """``host, pages, template``: the page rows of each host that has a template, and its tokens.
 
-    A vector is known by the pages that hold the token, its occurrences and two sums of hashes of (page,
-    count). A class is valid when it is on more than half of the host's pages and holds two tokens or more, or is
+    Copies prove no template: pages of a host with one content count as one. A vector is known by the pages
+    that hold the token, its occurrences and two sums of hashes of (page, count). A class is valid when it is on more than half of the host's pages and holds two tokens or more, or is
     a repeated element, and is nested when its tokens' parents are valid too or are the root. A page has finitely many tokens, so more
     than half of the pages bound a template by two pages' tokens.
     """
@@ -200,7 +212,7 @@ def templates(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(tokens, type=pa.int64()), pa.array(parents, type=pa.int64()), *made],
                                                  ["host", "token", "parent", "pages", "times", "low", "high"])
 
-    read = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
+    read, rows = contents(pages)
     schema = "host string, token long, parent long, pages long, times long, low long, high long"
     sums = read.mapInArrow(run, schema).groupBy("host", "token", "parent").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "low", "high")])
     # what a single page has is in no template; the token 0 is on every page and counts them
@@ -214,9 +226,9 @@ def templates(pages: DataFrame) -> DataFrame:
         out = []
         for tokens in batch.column("t").to_pylist():
             out.append(valid_tokens([(t["token"], t["parent"], tuple(t["vector"].values())) for t in tokens]))
-        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("all_pages"), pa.array(out, type=pa.list_(pa.int64()))], ["host", "pages", "template"])
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("rows"), pa.array(out, type=pa.list_(pa.int64()))], ["host", "pages", "template"])
 
-    valid = map_rows(kept.join(of_host.withColumnRenamed("_host", "host"), "host"), nested, "host string, pages long, template array<long>")
+    valid = map_rows(kept.join(rows, "host"), nested, "host string, pages long, template array<long>")
     return materialize(valid, "templates")
 
 
