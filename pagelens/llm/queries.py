@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.llm import ann, chat, html, langid, mixing, neardup, packing, pii, quality, rules
+from pagelens.llm import ann, binslack, bitplanes, chat, html, langid, merkle, mixing, neardup, packing, pii, quality, rules
 from pagelens.session import prepare
 
 
@@ -54,8 +54,24 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_report(table(spark, folder, "documents"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, folder, "documents"))
+
+
+def op12_binslack(spark: SparkSession, folder: str) -> DataFrame:
+    return binslack.best_fit(table(spark, folder, "documents"))
+
+
+def op13_bitplanes(spark: SparkSession, folder: str) -> DataFrame:
+    return bitplanes.cluster_report(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op3_pii, op4_simhash, op5_html, op6_chat, op7_ann, op8_mixing, op9_rules, op10_langid)
+    f.__name__: f for f in (
+        op1_packing, op2_quality, op3_pii, op4_simhash, op5_html, op6_chat, op7_ann, op8_mixing, op9_rules, op10_langid,
+        op11_merkle, op12_binslack, op13_bitplanes)
 }
 
-ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op9_rules": rules.oracle()}
+ORACLES: dict[str, str] = {
+    "op6_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op9_rules": rules.oracle(),
+    "op11_merkle": merkle.ORACLE, "op13_bitplanes": bitplanes.oracle()}

@@ -74,11 +74,11 @@ def test_stages_on_edge_rows_and_nothing(spark, edge, nothing):
 
 def test_registration():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert "op8_mixing" in entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["op6_chat", "op8_mixing", "op9_rules"])
+@pytest.mark.parametrize("name", ["op6_chat", "op8_mixing", "op9_rules", "op11_merkle", "op13_bitplanes"])
 def test_query_equals_its_oracle(spark, name):
     folder = "/root/testdata/sf0.001"
     ok, detail = compare(spark, connect(folder), folder, entry.queries()[name], entry.oracle_sql()[name])
