@@ -60,6 +60,27 @@ def linked(rows, most=3):
     return [(d, f"{f:016x}", least.get(g)) for (d, f), g in zip(fps, label)]
 
 
+def shingles(text, width):
+    w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x.encode()) for x in words(text)]
+    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def kept_ids(rows, width=5, least=0.8):
+    """Smallest doc_id of each component of the pairs that are alike; rows are (doc_id, text)."""
+    sets = [shingles(t, width) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both, total = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if (both / total if total else 1.0) >= least and label[i] != label[j]:
+            a, b = label[i], label[j]
+            label = [a if x == b else x for x in label]
+    named = {}
+    for (d, _), g in zip(rows, label):
+        if d is not None:
+            named[g] = min(d, named.get(g, d))
+    return sorted(named.values())
+
+
 def measures(text):
     text = text or ""
     w = words(text)

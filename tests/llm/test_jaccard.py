@@ -1,6 +1,5 @@
 """Near copies by exact Jaccard similarity: brute force over all pairs, and the pipeline's stage."""
 
-import itertools
 import random
 
 import numpy as np
@@ -12,27 +11,6 @@ from tests.llm import brute
 from tests.llm.test_pipeline import check_stage
 
 
-def shingles(text, width):
-    w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x.encode()) for x in brute.words(text)]
-    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-
-
-def kept_ids(rows, width=5, least=0.8):
-    """Smallest doc_id of each component of the pairs that are alike; rows are (doc_id, text)."""
-    sets = [shingles(t, width) for _, t in rows]
-    label = list(range(len(rows)))
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        both, total = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-        if (both / total if total else 1.0) >= least and label[i] != label[j]:
-            a, b = label[i], label[j]
-            label = [a if x == b else x for x in label]
-    named = {}
-    for (d, _), g in zip(rows, label):
-        if d is not None:
-            named[g] = min(d, named.get(g, d))
-    return sorted(named.values())
-
-
 def family(seed, n, edits, size=120):
     """Texts that differ from one text in up to ``edits`` words each."""
     r = random.Random(seed)
@@ -49,7 +27,7 @@ def test_groups_equal_brute_force(spark):
     texts = [t for seed in range(12) for t in family(seed, 12, 4)] + list(family(99, 150, 3)) + [None, "", "one", "ONE", "one two"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = neardup.one_of_each(docs, 0.8, 5).collect()
-    assert sorted(r.doc_id for r in rows) == kept_ids(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in rows) == brute.kept_ids(list(enumerate(texts)))
     assert neardup.one_of_each(docs.filter("false"), 0.8, 5).collect() == []
 
 
@@ -57,7 +35,7 @@ def test_borderline_members_are_compared_in_later_rounds(monkeypatch, spark):
     monkeypatch.setattr(jaccard, "PARTNERS", 1)
     texts = list(family(5, 60, 6))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r.doc_id for r in neardup.one_of_each(docs, 0.8, 5).collect()) == kept_ids(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in neardup.one_of_each(docs, 0.8, 5).collect()) == brute.kept_ids(list(enumerate(texts)))
 
 
 def test_bands_meet_nearly_all_pairs_at_the_bound():
@@ -86,7 +64,7 @@ def test_every_stage_with_near_copies_by_similarity(spark):
         docs = materialize(stage(spark, docs, folder), "stage")
         after = docs.collect()
         if name == "near_copies":
-            assert sorted(r.doc_id for r in after) == kept_ids([(r.doc_id, r.text) for r in before])
+            assert sorted(r.doc_id for r in after) == brute.kept_ids([(r.doc_id, r.text) for r in before])
             assert {(r.doc_id, r.text) for r in after} <= {(r.doc_id, r.text) for r in before}
         else:
             check_stage(name, before, after, docs)
