@@ -12,7 +12,12 @@ from pagelens.operators.grouping import down, split_hot, top_k
 from pagelens.session import materialize, written
 from pagelens.settings import SETTINGS
 
-CELL = 256
+#: Cells of a level of the grid are ``2 ** STEP_BITS`` times as wide as those of the level below.
+STEP_BITS = 2
+#: Boxes of one side in a cell that one task compares with one part of the other side.
+CELL_PART = 4000
+#: Pages with no more boxes than this on a side need no finer cells than their largest box does.
+FEW = 200
 FOLD_LIMIT = 1000
 
 
@@ -129,36 +134,93 @@ def search_windows(boxes: DataFrame, frames: DataFrame, share: float = 0.40) ->
 # ---------------------------------------------------------------- spatial join
 
 
-def _in_cells(df: DataFrame, prefix: str, keys, cell: int) -> DataFrame:
+def _level(c: dict[str, Column]) -> Column:
+    """Level of a box: its longer side fits a cell of that level, so it touches at most four of them."""
+    side = F.greatest(c["x2"] - c["x1"], c["y2"] - c["y1"]).cast("double")
+    return F.greatest(F.ceil(F.log2(side) / STEP_BITS), F.lit(0)).cast("int")
+
+
+def _listed(df: DataFrame, prefix: str, home: int, own: list[int], other: list[int]) -> DataFrame:
+    """A box in the cells it touches: at home on its own level, as a visitor on coarser levels that the other side lives on.
+
+    Boxes of unequal levels meet where the larger one is at home. ``home`` is the role of this side's homes, so that the
+    other side's visitors carry it as well; boxes of equal level meet once, in role 0.
+    """
     c = G.sides(prefix)
-    solid = df.filter((c["x2"] > c["x1"]) & (c["y2"] > c["y1"]))
-    span = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor((hi - 1) / cell))
-    return solid.withColumn("cell_x", F.explode(span(c["x1"], c["x2"]))).withColumn(
-        "cell_y", F.explode(span(c["y1"], c["y2"]))
-    )
+    solid = df.filter((c["x2"] > c["x1"]) & (c["y2"] > c["y1"])).withColumn("_own", F.lit(own[0]) if len(own) == 1 else _level(c))
+    at = lambda role, level: F.struct(F.lit(role).alias("role"), F.lit(1 << STEP_BITS * level).cast("bigint").alias("wide"))
+    roles = F.lit(None).cast("array<struct<role:int,wide:bigint>>")
+    for level in own:  # the second side's homes also meet visitors of their own level
+        visits = [at(1 - home, o) for o in other if o > level or (home and o == level)]
+        roles = F.when(F.col("_own") == level, F.array(at(home, level), *visits)).otherwise(roles)
+    w = F.col("_r.wide")
+    low = {a: F.floor(c[f"{a}1"] / w) for a in "xy"}
+    n = {a: F.ceil(c[f"{a}2"] / w) - low[a] for a in "xy"}
+    each = solid.withColumn("_r", F.explode(roles)).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), n["x"] * n["y"] - 1)))
+    return each.select(
+        *df.columns, "_r.role", "_r.wide", (low["x"] + F.col("_i") % n["x"]).alias("cell_x"), (low["y"] + F.floor(F.col("_i") / n["x"])).alias("cell_y"))
+
+
+def _census(df: DataFrame, keys: list[str]) -> tuple[list[int], int]:
+    """Levels that boxes live on, at most half as many as a coordinate has binary digits, and a bound on the boxes of one cell."""
+    c = G.sides()
+    solid = df.filter((c["x2"] > c["x1"]) & (c["y2"] > c["y1"])).select(*keys, _level(c).alias("level"))
+    n = solid.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("n"))
+    levels, most = n.agg(F.collect_set("level"), F.max("n")).first()
+    return sorted(levels), len(levels) * (most or 0)
+
+
+def _dealt(left: DataFrame, right: DataFrame, where: list[str], part: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``lp, rp``: a cell of more than ``part`` boxes on a side is cut into parts, every part meeting every other."""
+    count = lambda df, n: df.groupBy(*where).agg(F.count(F.lit(1)).alias(n))
+    both = count(left, "n").filter(F.col("n") > part).join(count(right, "m"), where, "full_outer")
+    both = both.filter((F.coalesce("n", F.lit(0)) > part) | (F.coalesce("m", F.lit(0)) > part))
+    full = materialize(both.select(*where, F.ceil(F.coalesce("n", F.lit(1)) / part).alias("ln"), F.ceil(F.coalesce("m", F.lit(1)) / part).alias("rn")), "full-cells")
+    ln, rn = F.coalesce("ln", F.lit(1)), F.coalesce("rn", F.lit(1))
+
+    def spread(df: DataFrame, own: Column, other: Column, mine: str, theirs: str) -> DataFrame:
+        nth = F.pmod(F.xxhash64(*df.columns), own).cast("int")
+        return df.join(full, where, "left").withColumn(mine, nth).withColumn(theirs, F.explode(F.sequence(F.lit(0), (other - 1).cast("int")))).drop("ln", "rn")
+
+    return spread(left, ln, rn, "lp", "rp"), spread(right, rn, ln, "rp", "lp")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys=("page_id",), cell: int = CELL) -> DataFrame:
-    """Pairs of boxes with positive-area overlap: equi join on page and grid cell.
+def overlap_join(a: DataFrame, b: DataFrame, keys=("page_id",), part: int = CELL_PART) -> DataFrame:
+    """Pairs of boxes with positive-area overlap: equi join on page, level and cell of a hierarchical grid.
 
-    A box is listed in every cell it touches, and a pair is kept only in the cell holding the
-    top-left corner of its intersection, so each pair appears once. Columns come back prefixed
-    ``a_`` / ``b_``, with ``inter``, ``iou`` and ``contain``.
+    A box lives on the level of its size and visits the coarser levels of the other side's boxes; small boxes never
+    share a cell with others far from them, and large ones are not listed in many small cells. A pair is kept only in the
+    cell that holds the top-left corner of its intersection, so each pair appears once. Cells with more than ``part`` boxes
+    are dealt over tasks, part against part. Columns come back prefixed ``a_`` / ``b_``, with ``inter``, ``iou`` and
+    ``contain``.
     """
     keys = list(keys)
     side = lambda df, p: df.select(*keys, *[F.col(c).alias(p + c) for c in df.columns if c not in keys])
-    left = _in_cells(side(a, "a_"), "a_", keys, cell)
-    right = _in_cells(side(b, "b_"), "b_", keys, cell)
+    same = b is a
+    a = written(a, "boxes")
+    b = a if same else written(b, "boxes")
+    of_a, most_a = _census(a, keys)
+    of_b, most_b = (of_a, most_a) if same else _census(b, keys)
+    crowded = max(most_a, most_b) > part
+    if of_a and of_b and max(most_a, most_b) <= FEW:
+        of_a = of_b = [max(*of_a, *of_b)]
+    left = _listed(side(a, "a_"), "a_", 0, of_a, of_b)
+    right = _listed(side(b, "b_"), "b_", 1, of_b, of_a)
+    where = [*keys, "role", "wide", "cell_x", "cell_y"]
+    at = where
+    if crowded:
+        left, right = _dealt(left, right, where, part)
+        at = [*where, "lp", "rp"]
     sa, sb = G.sides("a_"), G.sides("b_")
     x, y = F.greatest(sa["x1"], sb["x1"]), F.greatest(sa["y1"], sb["y1"])
-    own = (F.floor(x / cell) == F.col("cell_x")) & (F.floor(y / cell) == F.col("cell_y"))
+    own = (F.floor(x / F.col("wide")) == F.col("cell_x")) & (F.floor(y / F.col("wide")) == F.col("cell_y"))
     meets = (F.least(sa["x2"], sb["x2"]) > x) & (F.least(sa["y2"], sb["y2"]) > y)
     i = G.inter(sa, sb)
     area_a, area_b = G.box_area(sa), G.box_area(sb)
     return (
-        left.join(right, [*keys, "cell_x", "cell_y"])
+        left.join(right, at)
         .filter(meets & own)
-        .drop("cell_x", "cell_y")
+        .drop(*at[len(keys):])
         .withColumns({
             "inter": i,
             "iou": i / F.greatest(area_a + area_b - i, F.lit(1)),

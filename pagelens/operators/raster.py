@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.operators import runs as R
-from pagelens.operators.boxes import nearest, square_cost
+from pagelens.operators import tones as T
+from pagelens.operators.distance import squared_distance
 from pagelens.operators.grouping import down, ranked, top_k
 from pagelens.operators.runs import RK
 from pagelens.session import materialize
@@ -24,11 +25,17 @@ def scanlines(raster: DataFrame) -> DataFrame:
     form is read and shuffled by rows instead of pixels.
     """
     rest = [c for c in raster.columns if c not in PX]
-    w = Window.partitionBy("page_id", "y").orderBy("x")
-    isle = raster.withColumn("_isle", F.col("x") - F.row_number().over(w))
-    g = isle.groupBy("page_id", "y", "_isle").agg(
-        F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.array_sort(F.collect_list(F.struct("x", *rest))).alias("px"))
-    return g.select("page_id", "y", "x0", "x1", F.transform("px", lambda p: F.struct(*[p[c].alias(c) for c in rest])).alias("px"))
+    row = raster.groupBy("page_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", *rest))).alias("px"))
+    n = F.size("px")
+    x = lambda i: F.element_at("px", i)["x"]
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, True).otherwise(x(i) != x(i - 1) + 1))
+    ends = F.concat(F.slice("begins", 2, n), F.array(n + 1))
+    cut = F.transform(F.arrays_zip(F.col("begins").alias("a"), ends.alias("b")), lambda s: F.slice("px", s["a"], s["b"] - s["a"]))
+    whole = x(n) - x(F.lit(1)) + 1 == n
+    line = row.withColumn("begins", F.when(whole, F.array(F.lit(1))).otherwise(begins))
+    line = line.select("page_id", "y", F.explode(F.when(whole, F.array("px")).otherwise(cut)).alias("px"))
+    first, last = F.element_at("px", 1)["x"], F.element_at("px", -1)["x"]
+    return line.select("page_id", "y", first.alias("x0"), (last + 1).alias("x1"), F.transform("px", lambda p: F.struct(*[p[c].alias(c) for c in rest])).alias("px"))
 
 
 def values(runs: DataFrame, raster: DataFrame) -> DataFrame:
@@ -43,6 +50,11 @@ def values(runs: DataFrame, raster: DataFrame) -> DataFrame:
     return j.select(*rest, lo.alias("_lo"), at).select(*rest, (F.col("_lo") + F.col("_at")).cast("int").alias("x"), "_v.*")
 
 
+def middle(runs: DataFrame, raster: DataFrame, name: str = "bg") -> DataFrame:
+    """Median grey level of every region's pixels, from its histogram."""
+    return T.tones(values(runs, raster), RK).select(*RK, T.median(F.col("h_grey")).alias(name))
+
+
 def masked(pixels: DataFrame, cond: Column, keys=RK) -> DataFrame:
     return R.to_runs(pixels.filter(cond).select(*keys, "y", "x"), keys)
 
@@ -109,24 +121,21 @@ def polarity(pixels: DataFrame, ink: DataFrame, boxes: DataFrame) -> DataFrame:
 
     A ring of 9 px around the ink votes; without a ring the majority class decides by its median.
     """
-    around = materialize(R.clip(R.ring(ink, 9), boxes), "ring")
-    whole = R.subtract(R.box_runs(boxes), around).withColumn("in_ring", F.lit(None).cast("boolean"))
-    crop = values(whole.unionByName(around.select(*whole.columns[:-1]).withColumn("in_ring", F.lit(True))), pixels)
-    tagged = crop.join(otsu(crop, RK).select(*RK, "threshold"), list(RK))
-    bright = F.col("grey") > F.col("threshold")
-    g = tagged.groupBy(*RK).agg(
-        F.first("threshold").alias("threshold"), F.count("in_ring").alias("ring_px"), F.median(F.when(F.col("in_ring"), F.col("grey"))).alias("bg"),
-        F.avg(F.when(F.col("in_ring"), bright.cast("int"))).alias("ring_bright"),
-        F.count_if(bright).alias("nb"), F.count(F.lit(1)).alias("n"),
-        F.median(F.when(bright, F.col("grey"))).alias("mb"), F.median(F.when(~bright, F.col("grey"))).alias("md"),
-    )
-    dev = tagged.filter("in_ring").join(g.select(*RK, "bg"), list(RK)).groupBy(*RK).agg(F.median(F.abs(F.col("grey") - F.col("bg"))).alias("mad"))
-    flip = F.when(F.col("ring_px") > 0, F.col("ring_bright") < 0.5).otherwise(
+    around = R.clip(R.ring(ink, 9), boxes).withColumn("part", F.lit("near"))
+    crop = R.box_runs(boxes).withColumn("part", F.lit("all")).unionByName(around)
+    h = T.tones(values(crop, pixels), (*RK, "part"))
+    of = lambda part: F.first(F.when(F.col("part") == part, F.col("h_grey")), ignorenulls=True)
+    h = h.groupBy(*RK).agg(of("all").alias("all"), F.coalesce(of("near"), F.array().cast("array<struct<v:int,n:bigint>>")).alias("near"))
+    h = h.withColumn("cut", T.otsu(F.col("all"))["threshold"]).filter("cut IS NOT NULL").withColumn("bg", T.median(F.col("near")))
+    g = h.select(
+        *RK, F.col("cut").alias("threshold"), "bg", T.mad(F.col("near"), F.col("bg")).alias("mad"), T.total(F.col("near")).alias("ring_px"),
+        T.total(T.above(F.col("near"), F.col("cut"))).alias("ring_bright"), T.total(F.col("all")).alias("n"),
+        T.total(T.above(F.col("all"), F.col("cut"))).alias("nb"), T.median(T.above(F.col("all"), F.col("cut"))).alias("mb"), T.median(T.upto(F.col("all"), F.col("cut"))).alias("md"))
+    flip = F.when(F.col("ring_px") > 0, F.col("ring_bright") / F.col("ring_px") < 0.5).otherwise(
         F.when(F.col("nb") < F.col("n") - F.col("nb"), F.col("md")).otherwise(F.col("mb")) < 128
     )
     wall = F.when(flip & (F.col("ring_px") > 0), F.col("bg") - F.greatest(3.0 * F.col("mad"), F.lit(20.0)))
-    return g.join(dev, list(RK), "left").select(*RK, "threshold", flip.alias("inverted"), F.col("bg").cast("double").alias("bg"),
-                                                F.col("mad").cast("double").alias("mad"), wall.alias("wall"))
+    return g.select(*RK, "threshold", flip.alias("inverted"), "bg", "mad", wall.alias("wall"))
 
 
 # ---------------------------------------------------------------- ink
@@ -140,7 +149,7 @@ def seed_grow(prob: DataFrame, pixels: DataFrame, boxes: DataFrame) -> DataFrame
     ink = R.keep_components(labelled, R.touching(labelled, strong))
     crop = values(R.box_runs(boxes), pixels)
     few = R.to_runs(minority_mask(crop, RK))
-    band = R.dilate(ink, 9)
+    band = R.grow(ink, 9)
     return R.combine({"i": ink, "o": few, "b": band}, lambda c: (c["i"] > 0) | ((c["o"] > 0) & (c["b"] > 0)))
 
 
@@ -174,7 +183,7 @@ def glyph_size(mask: DataFrame, boxes: DataFrame, min_area: int = SETTINGS.min_c
 
 def halo(ink: DataFrame, pixels: DataFrame, boxes: DataFrame, deviation: int = SETTINGS.halo_deviation) -> DataFrame:
     """Pixels of the 5 px ring that stand out from the crop background join the ink."""
-    paper = values(R.subtract(R.box_runs(boxes), ink), pixels).groupBy(*RK).agg(F.median("grey").alias("bg"))
+    paper = middle(R.subtract(R.box_runs(boxes), ink), pixels)
     near = values(R.clip(R.ring(ink, 5), boxes), pixels).join(paper, list(RK), "left")
     odd = masked(near, F.abs(F.col("grey") - F.coalesce("bg", F.lit(255.0))) > deviation)
     return R.union(ink, odd)
@@ -193,7 +202,7 @@ def compose_masks(ink: DataFrame, boxes: DataFrame, outline: DataFrame) -> tuple
     tagged = ink.join(shut, list(RK))
     page = on_page(tagged.filter("not shut"))
     protected = on_page(tagged.filter("shut"))
-    guard = R.dilate(protected, 9, ["page_id"])
+    guard = R.grow(protected, 9, ["page_id"])
     erase = R.combine({"p": page, "g": guard, "o": outline}, lambda c: (c["p"] > 0) & (c["g"] == 0) & (c["o"] == 0), ["page_id"])
     return erase, protected
 
@@ -233,22 +242,25 @@ def background_stats(ink: DataFrame, rgb: DataFrame, boxes: DataFrame) -> DataFr
     Uses the 9 px ring, or the whole box off the ink when the ring is under 30 values; white with
     spread 0 when even that is under 10 values. A spread past its limit is reported as 999.
     """
-    rest = materialize(R.subtract(R.box_runs(boxes), ink), "paper")
-    near = materialize(R.clip(R.ring(ink, 9), boxes), "ring")
-    counts = size(rest, RK, "n_all").join(size(near, RK, "n_ring"), list(RK), "left").na.fill({"n_ring": 0})
-    thin = counts.filter(F.col("n_ring") * 3 < 30).select(*RK)
-    # Only regions with a thin ring read their whole box.
-    use = near.join(thin, list(RK), "left_anti").unionByName(rest.join(thin, list(RK), "left_semi"))
-    use = values(use, rgb)
-    mid = use.groupBy(*RK).agg(*[F.floor(F.median(c)).cast("int").alias("m" + c) for c in "rgb"])
-    dev = use.join(mid, list(RK)).groupBy(*RK).agg(*[(F.median(F.abs(F.col(c) - F.col("m" + c))) * 1.4826).alias("s" + c) for c in "rgb"])
+    frame = R.box_runs(boxes)
+    near = R.combine({"b": frame, "d": R.grow(ink, 9), "i": ink}, lambda c: (c["b"] > 0) & (c["d"] > 0) & (c["i"] == 0))
+    both = R.subtract(frame, ink).withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
+    h = T.tones(values(both, rgb), (*RK, "near"), "rgb")
+    of = lambda name, near: F.first(F.when(F.col("near") == near, F.col(name)), ignorenulls=True)
+    h = h.groupBy(*RK).agg(
+        F.coalesce(of("n", True), F.lit(0)).alias("n_ring"), F.coalesce(of("n", False), F.lit(0)).alias("n_all"),
+        *[of(f"h_{c}", near).alias(f"{c}{int(near)}") for c in "rgb" for near in (True, False)])
+    thin = F.col("n_ring") * 3 < 30
+    h = h.select(*RK, "n_ring", "n_all", *[F.when(thin, F.col(c + "0")).otherwise(F.col(c + "1")).alias("h" + c) for c in "rgb"])
+    mid = h.withColumns({"m" + c: F.floor(T.median(F.col("h" + c))).cast("int") for c in "rgb"})
+    dev = mid.select(*RK, "n_ring", "n_all", *["m" + c for c in "rgb"], *[(T.mad(F.col("h" + c), F.col("m" + c)) * 1.4826).alias("s" + c) for c in "rgb"])
     avg = (F.col("sr") + F.col("sg") + F.col("sb")) / 3
     sq = lambda c: (F.col(c) - avg) * (F.col(c) - avg)
     noise = F.sqrt((sq("sr") + sq("sg") + sq("sb")) / 3)
     top = F.greatest("sr", "sg", "sb")
     limit = F.when(noise > 1, SETTINGS.flat_spread_noisy).otherwise(SETTINGS.flat_spread)
     enough = F.when(F.col("n_ring") * 3 >= 30, F.col("n_ring")).otherwise(F.col("n_all")) * 3 >= 10
-    full = boxes.select(*RK).join(counts, list(RK), "left").join(mid, list(RK), "left").join(dev, list(RK), "left")
+    full = boxes.select(*RK).join(dev, list(RK), "left")
     ok = F.coalesce(enough, F.lit(False))
     return full.select(
         *RK, *[F.when(ok, F.col("m" + c)).otherwise(255).alias("bg_" + c) for c in "rgb"],
@@ -258,15 +270,15 @@ def background_stats(ink: DataFrame, rgb: DataFrame, boxes: DataFrame) -> DataFr
 
 def fill_colour(fill: DataFrame, ink: DataFrame, rgb: DataFrame) -> DataFrame:
     """Median colour of the fill area off the grown ink; of the whole area if that leaves under 30 values."""
-    grown = R.dilate(ink, 5)
+    grown = R.grow(ink, 5)
     off = R.subtract(fill, grown).withColumn("free", F.lit(True))
-    px = values(off.unionByName(R.intersect(fill, grown).withColumn("free", F.lit(False))), rgb)
-    free = F.col("free")
-    g = px.groupBy(*RK).agg(
-        (F.count_if(free) * 3 < 30).alias("short"),
-        *[F.median(F.when(free, F.col(c))).alias("f" + c) for c in "rgb"], *[F.median(c).alias("a" + c) for c in "rgb"],
-    )
-    return g.select(*RK, *[F.when(F.col("short"), F.col("a" + c)).otherwise(F.col("f" + c)).cast("int").alias("fill_" + c) for c in "rgb"])
+    h = T.tones(values(off.unionByName(R.intersect(fill, grown).withColumn("free", F.lit(False))), rgb), (*RK, "free"), "rgb")
+    none = F.array().cast("array<struct<v:int,n:bigint>>")
+    of = lambda c, free: F.coalesce(F.first(F.when(F.col("free") == free, F.col("h_" + c)), ignorenulls=True), none)
+    parts = h.groupBy(*RK).agg(*[of(c, free).alias(f"{c}{int(free)}") for c in "rgb" for free in (True, False)])
+    short = T.total(F.col("r1")) * 3 < 30
+    whole = lambda c: F.sort_array(F.concat(f"{c}0", f"{c}1"))
+    return parts.select(*RK, *[T.median(F.when(short, whole(c)).otherwise(F.col(c + "1"))).cast("int").alias("fill_" + c) for c in "rgb"])
 
 
 def route(boxes: DataFrame, ink: DataFrame, colours: DataFrame, background: DataFrame) -> DataFrame:
@@ -369,27 +381,63 @@ def discovered_parents(interior: DataFrame, windows: DataFrame, texts: DataFrame
     return j.filter((share >= 0.15) & (share <= 0.85) & holds).select(*RK, "bx1", "by1", "bx2", "by2")
 
 
+def nearest_owner(claims: DataFrame, seeds: DataFrame, keys=("page_id",)) -> DataFrame:
+    """Pixels that regions claim, with ``owner``: the claimant whose seeds are nearest (ties: the lowest region).
+
+    ``claims`` and ``seeds`` are runs of regions; a region without seeds owns a pixel only if no other claimant has any.
+    """
+    d = squared_distance(claims, seeds, [*keys, "region_id"])
+    return d.withColumn("owner", F.min(F.struct("d", "region_id")).over(Window.partitionBy(*keys, "y", "x"))["region_id"])
+
+
 def disjoin(interior: DataFrame, ink: DataFrame) -> DataFrame:
     """Interiors without shared pixels: a contested pixel goes to the claimant with the nearest ink.
 
     Ties go to the lowest region. A region that would lose every pixel keeps its mask. Only
-    contested pixels are looked up, and only against ink in nearby grid cells.
+    contested pixels are measured.
     """
     over = R.combine({"m": interior}, lambda c: c["m"] > 1, ["page_id"])
-    claim = within_page(interior, over)
-    pid = F.col("y").cast("bigint") * (1 << 20) + F.col("x")
-    want = materialize(R.to_pixels(claim).select(*RK, "y", "x", pid.alias("target_id")), "contested")
-    spots = R.to_pixels(ink).select(*RK, "y", "x", pid.alias("cand_id"))
-    near = nearest(want, spots, RK, square_cost, lambda cell: cell * cell, cell=16)
-    best = want.join(near, [*RK, "target_id"], "left").groupBy("page_id", "y", "x").agg(
-        F.min(F.struct(F.coalesce("cost", F.lit(1 << 40)).alias("d"), F.col("region_id").alias("owner"))).alias("m")
-    )
-    lost = want.join(best, ["page_id", "y", "x"]).filter(F.col("region_id") != F.col("m.owner")).select(*RK, "y", "x")
+    claim = materialize(within_page(interior, over), "contested")
+    lost = nearest_owner(claim, ink).filter("region_id <> owner").select(*RK, "y", "x")
     left = materialize(R.subtract(interior, R.to_runs(lost)), "kept")
     gone = interior.select(*RK).distinct().join(left.select(*RK).distinct(), list(RK), "left_anti")
     return left.unionByName(interior.join(gone, list(RK), "left_semi").select(*RK, "y", "x0", "x1"))
 
 
+def share_interior(interior: DataFrame, ink: DataFrame, boxes: DataFrame, members: DataFrame) -> DataFrame:
+    """One lobe for each region of a shared parent: the interiors of its regions together, dealt out by nearest ink.
+
+    ``members`` has ``page_id, region_id, parent_id`` and the parent's box ``px1 .. py2``. Ink counts inside that box; a region
+    without any there is measured from its middle (:func:`ink_centre` of ``ink`` and ``boxes``), moved into the box. Ties go
+    to the lowest region. A region that gets no pixel has no lobe, and keeps what it had.
+    """
+    who = materialize(members.select(*RK, "parent_id", "px1", "py1", "px2", "py2"), "members")
+    of = ["page_id", "parent_id"]
+    whole = R.merge_runs(interior.join(who.select(*RK, "parent_id"), list(RK)).select(*of, "y", "x0", "x1"), of)
+    claims = whole.join(who.select(*RK, "parent_id"), of).select(*of, "region_id", "y", "x0", "x1")
+    frame = who.select(*RK, F.col("px1").alias("x1"), F.col("py1").alias("y1"), F.col("px2").alias("x2"), F.col("py2").alias("y2"))
+    seen = materialize(R.clip(ink, frame), "seeds")
+    blind = who.join(seen.select(*RK).distinct(), list(RK), "left_anti").join(ink_centre(ink, boxes), list(RK))
+    at = lambda c, lo, hi: F.greatest(F.least(F.col(c), F.col(hi) - 1), F.col(lo)).cast("int")
+    middle_ = blind.select(*RK, at("sy", "py1", "py2").alias("y"), at("sx", "px1", "px2").alias("x0")).withColumn("x1", F.col("x0") + 1)
+    seeds = seen.unionByName(middle_).join(who.select(*RK, "parent_id"), list(RK))
+    own = nearest_owner(claims, seeds, of).filter("region_id = owner")
+    return R.to_runs(own.select(*RK, "y", "x"))
+
+
+def mask_boxes(mask: DataFrame) -> DataFrame:
+    """Bounding boxes of masks."""
+    return mask.groupBy(*RK).agg(F.min("x0").alias("x1"), F.min("y").alias("y1"), F.max("x1").alias("x2"), (F.max("y") + 1).alias("y2"))
+
+
+def separate_interiors(interior: DataFrame, ink: DataFrame, boxes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Interiors of a page after shared parents are dealt out and overlaps between others settled, and their new boxes."""
+    lobes = materialize(share_interior(interior, ink, boxes, members), "lobes")
+    rest = interior.join(lobes.select(*RK).distinct(), list(RK), "left_anti").select(*RK, "y", "x0", "x1")
+    out = materialize(disjoin(materialize(lobes.unionByName(rest), "interior"), ink), "separate")
+    return out, mask_boxes(out)
+
+
 # ---------------------------------------------------------------- verification
 
 
@@ -400,9 +448,9 @@ def residue_hits(clean: DataFrame, ink: DataFrame, interior: DataFrame, boxes: D
     is the box median off the ink. A region without an interior is judged on its ink alone.
     """
     own = materialize(R.clip(ink, boxes), "ink")
-    bg = values(R.subtract(R.box_runs(boxes), own), clean).groupBy(*RK).agg(F.median("grey").alias("bg"))
-    near = R.clip(R.dilate(own, 3), boxes)
-    wide = R.dilate(interior, 7)
+    bg = middle(R.subtract(R.box_runs(boxes), own), clean)
+    near = R.clip(R.grow(own, 3), boxes)
+    wide = R.grow(interior, 7)
     has = interior.select(*RK).distinct()
     free = own.join(has, list(RK), "left_anti")
     scope = R.combine(
@@ -447,7 +495,7 @@ def clean_audit(clean, ink, interior, boxes, deviation: int = 16) -> tuple[DataF
     plenty = size(ref).filter("px >= 50")
     spare = R.subtract(R.box_runs(todo.join(plenty, list(RK), "left_anti")), grown)
     base = ref.join(plenty, list(RK), "left_semi").unionByName(spare)
-    bg = values(base, clean).groupBy(*RK).agg(F.median("grey").alias("bg"))
+    bg = middle(base, clean)
     has = inner.select(*RK).distinct()
     scope = R.intersect(grown.join(has, list(RK), "left_semi"), inner).unionByName(grown.join(has, list(RK), "left_anti").select(*RK, "y", "x0", "x1"))
     px = values(scope, clean).join(bg, list(RK), "left")
@@ -468,7 +516,7 @@ def lasting_ink(before: DataFrame, after: DataFrame, interior: DataFrame, deviat
     The background is the median of the result inside the interior. What stands out only afterwards is a
     fault of the fill and no part of this. Lines are ``long`` pixels or three times as long as wide.
     """
-    bg = values(interior, after).groupBy(*RK).agg(F.median("grey").alias("bg"))
+    bg = middle(interior, after)
     odd = lambda raster: masked(values(interior, raster).join(bg, list(RK)), F.abs(F.col("grey") - F.col("bg")) > deviation)
     s = R.component_stats(R.label_runs(R.intersect(odd(before), odd(after)))).filter(F.col("area") >= least)
     kind = F.when((F.col("long_side") >= long) | (F.col("long_side") / F.col("short_side") >= 3.0), "line").otherwise("dot")
@@ -560,7 +608,7 @@ def mask_moments(mask: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def ink_colour(interior: DataFrame, pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """white on dark interiors (median under 128), black otherwise."""
-    lum = values(interior, pixels).groupBy(*RK).agg(F.median("grey").alias("lum"))
+    lum = middle(interior, pixels, "lum")
     level = F.coalesce("lum", F.lit(255.0))
     return boxes.select(*RK).join(lum, list(RK), "left").select(*RK, level.alias("luminance"), F.when(level < 128, "white").otherwise("black").alias("ink_colour"))
 
@@ -630,15 +678,13 @@ def fill_leak(fill, ink, pixels, boxes, reach: int = 13, dark: int = 110) -> Dat
     crop = boxes.select(*RK, ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("crop"))
     tone = values(fill, pixels).groupBy(*RK).agg(F.count(F.lit(1)).alias("px"), F.avg((F.col("grey") < dark).cast("int")).alias("dark_share"))
     held = size(R.intersect(fill, ink), RK, "held").join(size(ink, RK, "ink_px"), list(RK))
-    wide, tight = R.dilate(ink, reach), R.dilate(ink, 5)
+    wide, tight = R.grow(ink, reach), R.grow(ink, 5)
     near = R.combine({"f": fill, "n": wide, "i": tight}, lambda c: (c["f"] > 0) & (c["n"] > 0) & (c["i"] == 0))
     far = R.subtract(fill, wide)
 
     def spread(runs, tag):
-        px = values(runs, pixels)
-        m = px.groupBy(*RK).agg(F.median("grey").alias("m"), F.count(F.lit(1)).alias("n"))
-        return px.join(m, list(RK)).groupBy(*RK).agg(
-            F.first("m").cast("double").alias(f"{tag}_median"), (F.median(F.abs(F.col("grey") - F.col("m"))) * 1.4826).alias(f"{tag}_spread"), F.first("n").alias(f"{tag}_px"))
+        h = T.tones(values(runs, pixels), RK).withColumn("m", T.median(F.col("h_grey")))
+        return h.select(*RK, F.col("m").alias(f"{tag}_median"), (T.mad(F.col("h_grey"), F.col("m")) * 1.4826).alias(f"{tag}_spread"), F.col("n").alias(f"{tag}_px"))
 
     j = crop.join(tone, list(RK)).join(held, list(RK), "left").join(spread(near, "near"), list(RK), "left").join(spread(far, "far"), list(RK), "left")
     return j.select(
@@ -687,10 +733,7 @@ def clearance(ink: DataFrame, interior: DataFrame) -> DataFrame:
     The nearest outside pixel is always a direct neighbour of the interior, so only that rim is searched.
     """
     out = size(R.subtract(ink, interior), RK, "outside_px")
-    pid = F.col("y").cast("bigint") * (1 << 20) + F.col("x") + (1 << 24)
-    rim = R.to_pixels(R.ring(interior, 3)).select(*RK, "y", "x", pid.alias("cand_id"))
-    inside = R.to_pixels(R.intersect(ink, interior)).select(*RK, "y", "x", pid.alias("target_id"))
-    near = nearest(inside, rim, RK, square_cost, lambda cell: cell * cell, cell=16)
-    least = near.groupBy(*RK).agg(F.sqrt(F.min("cost").cast("double")).alias("least_gap"))
+    near = squared_distance(R.intersect(ink, interior), R.ring(interior, 3))
+    least = near.groupBy(*RK).agg(F.sqrt(F.min("d").cast("double")).alias("least_gap"))
     ids = ink.select(*RK).distinct()
     return ids.join(out, list(RK), "left").join(least, list(RK), "left").select(*RK, F.coalesce("outside_px", F.lit(0)).cast("bigint").alias("outside_px"), "least_gap")

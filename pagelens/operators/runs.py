@@ -25,6 +25,12 @@ LABEL_LIMIT = 200_000
 _SHIFT, _WIDTH, _CODE_BITS = 4096, 1 << 20, 40
 
 
+def checked(name: str) -> Column:
+    """A coordinate, or an error where one number could not hold it together with another one."""
+    c = F.col(name)
+    return F.when((c >= -_SHIFT) & (c < _WIDTH - _SHIFT), c).otherwise(F.raise_error(F.lit("a mask lies outside of the coordinates that labels and distances can hold")))
+
+
 def to_runs(pixels: DataFrame, keys: Sequence[str] = RK) -> DataFrame:
     w = Window.partitionBy(*keys, "y").orderBy("x")
     isle = pixels.select(*keys, "y", "x", (F.col("x") - F.row_number().over(w)).alias("isle"))
@@ -92,12 +98,15 @@ def clip(runs: DataFrame, boxes: DataFrame, keys: Sequence[str] = RK) -> DataFra
     return cut.filter("x1 > x0")
 
 
-def dilate(runs: DataFrame, k: int, keys: Sequence[str] = RK) -> DataFrame:
-    """Each run turns into one widened run per kernel row; overlaps merge afterwards."""
-    grown = runs.select(*keys, "y", "x0", "x1", F.explode(spans(k)).alias("s")).select(
+def grow(runs: DataFrame, k: int, keys: Sequence[str] = RK) -> DataFrame:
+    """Each run turned into one widened run per kernel row; they may overlap, which :func:`combine` doesn't mind."""
+    return runs.select(*keys, "y", "x0", "x1", F.explode(spans(k)).alias("s")).select(
         *keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x0") - F.col("s.hw")).alias("x0"), (F.col("x1") + F.col("s.hw")).alias("x1")
     )
-    return merge_runs(grown, keys)
+
+
+def dilate(runs: DataFrame, k: int, keys: Sequence[str] = RK) -> DataFrame:
+    return merge_runs(grow(runs, k, keys), keys)
 
 
 def dilate_times(runs: DataFrame, times: int, keys: Sequence[str] = RK) -> DataFrame:
@@ -133,7 +142,7 @@ def close(runs: DataFrame, k: int, boxes: DataFrame, keys: Sequence[str] = RK) -
 
 
 def ring(runs: DataFrame, k: int, keys: Sequence[str] = RK) -> DataFrame:
-    return subtract(dilate(runs, k, keys), runs, keys)
+    return subtract(grow(runs, k, keys), runs, keys)
 
 
 # ---------------------------------------------------------------- connected components
@@ -146,10 +155,7 @@ def label_runs(runs: DataFrame, keys: Sequence[str] = RK, conn: int = 8, limit:
     become an edge table between neighbouring rows and go through the distributed components.
     """
     keys = list(keys)
-    inside = lambda c: (F.col(c) >= -_SHIFT) & (F.col(c) < _WIDTH - _SHIFT)
-    far = F.raise_error(F.lit("a mask lies outside of the coordinates that labels can hold"))
-    y = F.when(inside("y") & inside("x0"), F.col("y")).otherwise(far)
-    base = runs.select(*keys, y.cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    base = runs.select(*keys, checked("y").cast("int").alias("y"), checked("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
     base = materialize(base, "mask")
     cold, hot = split_hot(base, keys, limit)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields) + ", label long"

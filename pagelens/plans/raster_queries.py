@@ -364,18 +364,58 @@ def _(c):
     return P.discovered_parents(inner(c), windows, texts)
 
 
-DISJOIN = """ct AS (SELECT page_id, y, x FROM interior GROUP BY ALL HAVING count(*) > 1),
-cl AS (SELECT i.* FROM interior i JOIN ct USING (page_id, y, x)),
+def disjoin_sql(src: str) -> str:
+    return f"""ct AS (SELECT page_id, y, x FROM {src} GROUP BY ALL HAVING count(*) > 1),
+cl AS (SELECT i.* FROM {src} i JOIN ct USING (page_id, y, x)),
 nd AS (SELECT cl.page_id, cl.region_id, cl.y, cl.x, min((cl.y - k.y) * (cl.y - k.y) + (cl.x - k.x) * (cl.x - k.x)) AS d FROM cl LEFT JOIN ink k ON k.page_id = cl.page_id AND k.region_id = cl.region_id GROUP BY ALL),
 ow AS (SELECT *, row_number() OVER (PARTITION BY page_id, y, x ORDER BY d, region_id) AS k FROM nd),
 lo AS (SELECT page_id, region_id, y, x FROM ow WHERE k > 1)"""
 
 
+DISJOIN = disjoin_sql("interior")
+
+
 @query("disjoin", with_(DISJOIN, S.minus("res", "interior", "lo")) + ALL4 + "res", "interior ink")
 def _(c):
     return px(P.disjoin(inner(c), ink(c)))
 
 
+# On every other page regions 0 and 1 share a parent; on some its box holds no ink of region 1.
+MEMBERS = """SELECT page_id, region_id, 7 AS parent_id, 0 AS px1, 0 AS py1, CASE WHEN page_id % 6 = 0 THEN 20 ELSE 46 END AS px2, 46 AS py2
+FROM {crops} WHERE page_id % 2 = 0 AND region_id < 2"""
+SHARE = f"""mem AS ({MEMBERS.format(crops="crops")}),
+mg AS (SELECT DISTINCT page_id, parent_id, y, x FROM interior JOIN mem USING (page_id, region_id)),
+si AS (SELECT page_id, region_id, y, x FROM ink JOIN mem USING (page_id, region_id) WHERE x >= px1 AND x < px2 AND y >= py1 AND y < py2),
+cn AS (SELECT c.page_id, c.region_id, c.y1 + CAST(floor(avg(y) - any_value(c.y1)) AS INT) AS y, c.x1 + CAST(floor(avg(x) - any_value(c.x1)) AS INT) AS x
+  FROM crops c JOIN ink USING (page_id, region_id) GROUP BY c.page_id, c.region_id, c.y1, c.x1),
+sd AS (SELECT * FROM si UNION ALL SELECT page_id, region_id, greatest(least(y, py2 - 1), py1), greatest(least(x, px2 - 1), px1)
+  FROM cn JOIN mem USING (page_id, region_id) ANTI JOIN si USING (page_id, region_id)),
+sq AS (SELECT mg.page_id, mem.region_id, mg.y, mg.x, min((mg.y - sd.y) * (mg.y - sd.y) + (mg.x - sd.x) * (mg.x - sd.x)) AS d
+  FROM mg JOIN mem USING (page_id, parent_id) JOIN sd ON sd.page_id = mem.page_id AND sd.region_id = mem.region_id GROUP BY ALL),
+lobe AS (SELECT page_id, region_id, y, x FROM sq QUALIFY row_number() OVER (PARTITION BY page_id, y, x ORDER BY d, region_id) = 1)"""
+SEPARATE = (SHARE, "dealt AS (SELECT * FROM lobe UNION ALL SELECT i.page_id, i.region_id, i.y, i.x FROM interior i ANTI JOIN lobe USING (page_id, region_id))",
+            disjoin_sql("dealt"), S.minus("sep", "dealt", "lo"))
+
+
+def members(c):
+    return c.spark.sql(MEMBERS, crops=c.crops)
+
+
+@query("share_interior", with_(SHARE) + ALL4 + "lobe", "interior ink crops")
+def _(c):
+    return px(P.share_interior(inner(c), ink(c), c.crops, members(c)))
+
+
+@query("separate_interiors", with_(*SEPARATE) + ALL4 + "sep", "interior ink crops")
+def _(c):
+    return px(P.separate_interiors(inner(c), ink(c), c.crops, members(c))[0])
+
+
+@query("separate_boxes", with_(*SEPARATE) + "SELECT page_id, region_id, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM sep GROUP BY ALL", "interior ink crops")
+def _(c):
+    return P.separate_interiors(inner(c), ink(c), c.crops, members(c))[1]
+
+
 def residue_sql(dev: int) -> list[str]:
     return [
         S.box("rb"), S.clip("ro", "ink"), S.minus("rp", "rb", "ro"),
