@@ -240,12 +240,12 @@ SMALL = "SELECT page_id, det_id, x1, y1, x1 + 20 + score % 60 AS x2, y1 + 20 + s
 MEETS = "least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)"
 
 
-@query("overlap_groups", "WITH sm AS (" + SMALL.replace("{det}", "det") + f"""),
-e AS (SELECT a.page_id, a.det_id AS a, b.det_id AS b FROM sm a JOIN sm b ON a.page_id = b.page_id AND a.det_id <> b.det_id AND {MEETS}),
+@query("overlap_groups", f"""
+WITH e AS (SELECT a.page_id, a.det_id AS a, b.det_id AS b FROM det a JOIN det b ON a.page_id = b.page_id AND a.det_id <> b.det_id AND {MEETS}),
 r AS (SELECT page_id, a AS node, a AS lab FROM e UNION SELECT r.page_id, e.b, r.lab FROM r JOIN e ON r.page_id = e.page_id AND r.node = e.a)
 SELECT page_id, node AS det_id, min(lab) AS grp FROM r GROUP BY page_id, node""", "det")
 def _(c):
-    return O.overlap_groups(c.spark.sql(SMALL, det=c.det))
+    return O.overlap_groups(c.det.select("page_id", "det_id", "x1", "y1", "x2", "y2"))
 
 
 @query("merge_boxes", "WITH sm AS (" + SMALL.replace("{det}", "det") + """),

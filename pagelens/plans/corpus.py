@@ -121,7 +121,12 @@ SELECT page_id, 1, y, x FROM {canvas} WHERE db < 144 OR (x > 44 AND y < 6)""",
 SELECT page_id, 0 AS region_id, y, x,
        (CASE WHEN da < 64 AND x % 6 < 2 AND y % 8 < 5 THEN 380 + noise * 8
              WHEN x % 6 < 3 AND y % 8 < 6 THEN 60 + noise * 3 ELSE 20 END) / 1000e0 AS p
-FROM {canvas} WHERE da < 200""",
+FROM {canvas} WHERE da < 200
+UNION ALL
+SELECT page_id, 1, y, x,
+       (CASE WHEN db < 49 AND x % 6 < 2 AND y % 8 < 5 THEN 380 + noise * 8
+             WHEN x % 6 < 3 AND y % 8 < 6 THEN 60 + noise * 3 ELSE 20 END) / 1000e0 AS p
+FROM {canvas} WHERE db < 180""",
 }
 
 VIEWS |= {

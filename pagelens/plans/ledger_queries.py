@@ -91,10 +91,10 @@ def _(c):
     return reports.read_reports(c.spark, folder)[2].groupBy(F.col("_bad").alias("bad")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_reports", "SELECT page_id, count(*) AS regions FROM regions GROUP BY page_id", "regions")
+@query("write_reports", "SELECT *, CAST(page_id % 3 AS INT) AS run_id FROM regions", "regions")
 def _(c):
     folder = reports.write_tables(c.regions.withColumn("run_id", F.col("page_id") % 3))
-    return c.spark.read.parquet(folder).groupBy("page_id").agg(F.count(F.lit(1)).alias("regions"))
+    return c.spark.read.parquet(folder).select(*c.regions.columns, F.col("run_id").cast("int").alias("run_id"))
 
 
 # ---------------------------------------------------------------- reports

@@ -94,16 +94,16 @@ def _(c):
     return R.component_stats(R.label_runs(runs, ["page_id"]), ["page_id"]).drop("label")
 
 
-BOX0 = "SELECT * FROM crops WHERE region_id = 0"
+TEXTS = "SELECT * FROM crops WHERE region_id < 2"  # regions that the text detector has probabilities for
 
 
 @query("seed_grow", with_(
     "weak AS (SELECT * FROM prob WHERE p >= 118e-3)", S.labels("wl", "weak"),
-    "ik AS (SELECT wl.* FROM wl WHERE (page_id, lab) IN (SELECT wl.page_id, lab FROM wl JOIN prob USING (page_id, region_id, y, x) WHERE p >= 5e-1))",
-    f"c0 AS ({BOX0})", CROP.replace("FROM crops", "FROM c0"), S.minority("mi", "crop", S.K), S.dilate("band", "ik", 9), S.meet("near", "mi", "band"),
+    "ik AS (SELECT wl.* FROM wl WHERE (page_id, region_id, lab) IN (SELECT wl.page_id, wl.region_id, lab FROM wl JOIN prob USING (page_id, region_id, y, x) WHERE p >= 5e-1))",
+    f"c0 AS ({TEXTS})", CROP.replace("FROM crops", "FROM c0"), S.minority("mi", "crop", S.K), S.dilate("band", "ik", 9), S.meet("near", "mi", "band"),
     S.join("res", "ik", "near")) + ALL4 + "res", "prob pix crops")
 def _(c):
-    return px(P.seed_grow(c.prob, c.lines("pix"), c.crops.filter("region_id = 0")))
+    return px(P.seed_grow(c.prob, c.lines("pix"), c.crops.filter("region_id < 2")))
 
 
 NOISY = "SELECT page_id, region_id, y, x FROM {crop} WHERE grey < 110 OR grey BETWEEN 176 AND 182"

@@ -66,6 +66,43 @@ def _(c):
     return drain(L.dedup_notes(stream_view(c, "ledger"))).select("level", "tag", "msg")
 
 
+# Notes arrive in six slices of time; every seventh is held back by a slice, every thirty-fifth by two.
+ARRIVAL = "CAST(FLOOR((us - lo) * 6e0 / (hi - lo + 1)) AS INT) + CASE WHEN seq % 35 = 0 THEN 2 WHEN seq % 7 = 0 THEN 1 ELSE 0 END"
+BATCHES = 8
+
+# The stream's rule replayed batch by batch: the watermark lies two hours behind the latest note of earlier batches. What is not later than
+# the watermark of the batch before is dropped; a message is known until two hours after the note that told it, as far as the watermark goes.
+LATE = f"""
+WITH n AS (SELECT *, epoch_us(ts) AS us FROM ledger),
+a AS (SELECT n.*, {ARRIVAL} AS b FROM n, (SELECT min(us) AS lo, max(us) AS hi FROM n)),
+mark AS (SELECT k, coalesce((SELECT max(us) // 1000 * 1000 FROM a WHERE b < k) - 7200000000, 0) AS w FROM (SELECT unnest(range(-1, {BATCHES + 1})) AS k)),
+intime AS (SELECT a.* FROM a JOIN mark ON mark.k = a.b - 1 WHERE us > greatest(w, 0)),
+f AS (SELECT b, level, tag, msg, min(seq) AS seq, arg_min(us, seq) AS us FROM intime GROUP BY ALL),
+st(k, level, tag, msg, told, until) AS (
+  SELECT -1, level, tag, msg, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT level, tag, msg FROM ledger)
+  UNION ALL
+  SELECT k, level, tag, msg, CASE WHEN until IS NULL THEN seq END, CASE WHEN coalesce(until, us + 7200000000) > w THEN coalesce(until, us + 7200000000) END
+  FROM (SELECT st.k + 1 AS k, st.level, st.tag, st.msg, st.until, f.seq, f.us, mark.w FROM st JOIN mark ON mark.k = st.k + 1
+    LEFT JOIN f ON f.b = st.k + 1 AND f.level = st.level AND f.tag = st.tag AND f.msg = st.msg WHERE st.k < {BATCHES - 1}))
+SELECT told AS seq, level, tag, msg FROM st WHERE told IS NOT NULL"""
+
+
+def in_batches(c):
+    """The ledger as files that come one after the other."""
+    n = c.ledger.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts"))
+    ends = n.agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    folder = fresh_path(c.spark, "notes")
+    dealt = n.join(F.broadcast(ends)).withColumn("b", F.expr(ARRIVAL)).select("seq", "ts", "level", "tag", "msg", "b")
+    for b in range(BATCHES):
+        dealt.filter(F.col("b") == b).drop("b").coalesce(1).sortWithinPartitions("seq").write.parquet(f"{folder}/{b:02d}")
+    return read_stream(c.spark, folder + "/*", dealt.drop("b").schema, files_per_batch=1)
+
+
+@query("dedup_late_notes", LATE, "ledger")
+def _(c):
+    return drain(L.dedup_notes(in_batches(c))).select("seq", "level", "tag", "msg")
+
+
 @query("page_completion", """
 WITH e AS (SELECT event_id // 20 AS page_id, event_id % 10 AS region_id, event_id % 20 < 10 AS told, ts,
     trim(CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN '' ELSE coalesce(props, '') END) <> '' AS said FROM events),
