@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagelens.operators import alike
 from pagelens.operators import raster as P
 from pagelens.operators import runs as R
 from pagelens.plans import raster_sql as S
@@ -649,3 +650,15 @@ gp AS (SELECT a.page_id, a.region_id, sqrt(CAST(min((a.y - b.y) * (a.y - b.y) +
 SELECT DISTINCT page_id, region_id, coalesce(n, 0) AS outside_px, g AS least_gap FROM ink LEFT JOIN oc USING (page_id, region_id) LEFT JOIN gp USING (page_id, region_id)""", "interior ink")
 def _(c):
     return P.clearance(R.dilate(ink(c), 7), inner(c))
+
+
+# Which page each cleaned one comes from. The oracle compares all pairs of different images.
+@query("nearest_image", """
+WITH t AS (SELECT page_id, list(grey ORDER BY y, x) AS v FROM after GROUP BY page_id),
+c AS (SELECT page_id, list(grey ORDER BY y, x) AS v FROM pix GROUP BY page_id),
+tu AS (SELECT v, list(page_id) AS ids FROM t GROUP BY v), cu AS (SELECT v, min(page_id) AS id FROM c GROUP BY v),
+p AS (SELECT ids, id, list_sum(list_transform(list_zip(tu.v, cu.v), lambda z: abs(z[1] - z[2]))) AS sad FROM tu, cu),
+m AS (SELECT ids, min(sad) AS sad, arg_min(id, (sad, id)) AS id FROM p GROUP BY ids)
+SELECT unnest(ids) AS target_id, id AS cand_id, sad / 2304e0 AS mae FROM m""", "after pix")
+def _(c):
+    return alike.nearest_image(c.after, c.pix)[0]
