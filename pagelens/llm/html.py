@@ -48,6 +48,8 @@ RAW_ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: A host with more than 1 / HOT of the pages is dealt over SALTS partitions.
 HOT, SALTS = 1000, 64
+#: Slots that hashes of contents fall into.
+SLOTS = 1 << 19
 
 
 def number(*parts: str) -> int:
@@ -175,13 +177,17 @@ def host(url: Column) -> Column:
 
 
 def contents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``host, page, html``, every different content of a host once, and ``host, rows``; only contents that repeat are shuffled."""
-    read = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
-    counts = materialize(read.groupBy("host", "page").agg(F.count(F.lit(1)).alias("n")), "contents")
-    again = counts.filter("n > 1").select(F.col("host").alias("_host"), F.col("page").alias("_page"))
-    same = (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page"))
-    once = read.join(again, same, "left_anti").unionByName(read.join(again, same, "left_semi").dropDuplicates(["host", "page"]))
-    return once, counts.groupBy("host").agg(F.sum("n").alias("rows"))
+    """``host, page, html``, every different content of a host once, and ``host, rows``.
+
+    Contents are spread over SLOTS slots by their hash. The slots of contents that repeat, at most SLOTS numbers, are broadcast;
+    only pages in such slots are shuffled to find copies, and copies read by one task are merged before.
+    """
+    read = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").withColumn("slot", F.pmod("page", F.lit(SLOTS)))
+    counts = materialize(read.groupBy("host", "page", "slot").agg(F.count(F.lit(1)).alias("n")), "contents")
+    again = F.broadcast(counts.filter("n > 1").select("slot").distinct())
+    alone = read.join(again, "slot", "left_anti").select("host", "page", "html")
+    copies = read.join(again, "slot", "left_semi").groupBy("host", "page").agg(F.first("html").alias("html"))
+    return alone.unionByName(copies), counts.groupBy("host").agg(F.sum("n").alias("rows"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
