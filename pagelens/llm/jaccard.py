@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import map_rows, shuffle_width
+from pagelens.llm.common import lean, map_rows, shuffle_width
 from pagelens.session import materialize
 
 BANDS, ROWS = 24, 5
@@ -183,7 +183,7 @@ def links(distinct: DataFrame, docs: DataFrame, width: int, similarity: float, c
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["hi", "lo", "more"])
 
-        found = rows.mapInArrow(meet, "hi long, lo long, more boolean").groupBy("hi", "lo").agg(F.max("more").alias("more"))
+        found = rows.mapInArrow(lean(meet), "hi long, lo long, more boolean").groupBy("hi", "lo").agg(F.max("more").alias("more"))
         found = materialize(found, "found")
         more = not found.filter("more").isEmpty()
         new = found.select("hi", "lo")

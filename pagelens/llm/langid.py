@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.common import remainder, set_aside
+from pagelens.llm.common import lean, remainder, set_aside
 
 #: Labelled documents the model is fitted on, about, dealt evenly over the languages; prediction covers every row.
 SAMPLE = 3_000
@@ -323,7 +323,7 @@ def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     slim = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([*slim.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagelens.llm.common import map_rows
+from pagelens.llm.common import lean, map_rows
 from pagelens.session import materialize
 
 SEQUENCE = 1024
@@ -233,7 +233,7 @@ def pieces(docs: DataFrame, window: int = SEQUENCE, vocabulary: str = VOCABULARY
                 yield pa.RecordBatch.from_arrays([*made, pa.array(np.full(len(rows), part, dtype=np.int64))], names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, head_crc32 long, tail_crc32 long, doc_tokens long, nth long, part long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def packed(docs: DataFrame, window: int = SEQUENCE, vocabulary: str = VOCABULARY) -> DataFrame:
