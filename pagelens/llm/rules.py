@@ -4,7 +4,8 @@ Every text is measured once. The measures of a group go into mergeable quantile
 buckets that grow by a constant factor, so that any quantile is right to a fixed relative error, two
 sketches merge by adding counts, and the result does not depend on the order of merging. A source with
 few documents borrows the sketch of its language, that of the whole table at last. Thresholds are
-fences above the upper quartile, and the documents are judged after a join with the thresholds.
+fences above the median, with the spread of the lower half, so that junk in under half of a group can't raise
+them, and the documents are judged after a join with the thresholds.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pagelens.session import materialize
 ERROR = 0.01
 #: Documents a group needs for thresholds of its own.
 SUPPORT = 200
-#: Fences lie this many spreads above the upper quartile.
+#: Fences lie this many spreads (median less first decile) above the median.
 FENCE = 3.0
 #: Measure, expression, and the least spread that its fence assumes (it keeps a constant measure from rejecting at the first difference).
 MEASURES = (
@@ -83,11 +84,11 @@ def thresholds(values: DataFrame, support: int = SUPPORT) -> DataFrame:
     names = [m for m, _, _ in MEASURES]
     slack = F.element_at(F.create_map(*[F.lit(x) for m, _, s in MEASURES for x in (m, s)]), F.col("measure"))
     own = materialize(sketches(values, ["lang", "source"], names), "sketches")
-    shares = {"q25": 0.25, "q75": 0.75}
+    shares = {"low": 0.1, "mid": 0.5}
     levels = []
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
         merged = own.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-        q = quantiles(merged, keys, shares).withColumn("fence", F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), slack))
+        q = quantiles(merged, keys, shares).withColumn("fence", F.col("mid") + FENCE * F.greatest(F.col("mid") - F.col("low"), slack))
         wide = q.groupBy(*keys).pivot("measure", names).agg(F.first(F.struct("total", "fence")))
         levels.append(wide.select(*[F.col(k).alias(f"{k}{level}") for k in keys], *[F.col(m).alias(f"{m}{level}") for m in names]))
     pairs = own.select("lang", "source").distinct()
@@ -130,7 +131,7 @@ def oracle() -> str:
         part = f"{keys}, measure" if keys else "measure"
         return f"""{name}_u AS (SELECT {part}, bucket, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {part}) AS total
   FROM (SELECT {part}, bucket, count(*) AS n FROM cells GROUP BY ALL)),
-{name} AS (SELECT {part}, max(total) AS total, {value(0.75)} AS hi, {value(0.25)} AS lo FROM {name}_u GROUP BY {part})"""
+{name} AS (SELECT {part}, max(total) AS total, {value(0.5)} AS mid, {value(0.1)} AS lo FROM {name}_u GROUP BY {part})"""
 
     over = " OR ".join(f"coalesce({m} > (SELECT fence FROM fences f WHERE f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND measure = '{m}'), false)" for m in measures)
     blank = r"[\x20\x09-\x0D]"
@@ -147,8 +148,8 @@ m AS (SELECT rid, doc_id, lang, source, len(words) AS n_words, length(regexp_rep
 v AS (SELECT *, {", ".join(f"{e} AS {m}" for m, e in measures.items())} FROM m),
 cells AS ({cells}),
 {level("a", "lang, source")}, {level("b", "lang")}, {level("c", "")},
-fences AS (SELECT a.lang, a.source, measure, hi + {FENCE} * greatest(hi - lo, {slack}) AS fence FROM (
-  SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= {SUPPORT} THEN a.hi WHEN b.total >= {SUPPORT} THEN b.hi ELSE c.hi END AS hi,
+fences AS (SELECT a.lang, a.source, measure, mid + {FENCE} * greatest(mid - lo, {slack}) AS fence FROM (
+  SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= {SUPPORT} THEN a.mid WHEN b.total >= {SUPPORT} THEN b.mid ELSE c.mid END AS mid,
     CASE WHEN a.total >= {SUPPORT} THEN a.lo WHEN b.total >= {SUPPORT} THEN b.lo ELSE c.lo END AS lo
   FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN c ON c.measure = a.measure) a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM (
