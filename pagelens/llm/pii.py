@@ -1,9 +1,10 @@
-"""Personal data: fixed patterns, and the terms around them that give an entity away.
+"""Personal data: fixed patterns, and the terms that give an entity away.
 
 Base spans come from four patterns. Every base span is an occurrence of a protected entity. The words near
-it are candidates: the corpus tells how much a term reveals an entity by their pointwise mutual information
-against what there is to know, the entity's information content. A term that met the entity in several
-different contexts and reveals at least a given share of it is generalised too.
+it are candidates: the corpus tells how much a term reveals an entity by their pointwise mutual information,
+counted over whole documents, against what there is to know, the entity's information content. A term that
+met the entity in several different contexts and reveals at least a given share of it is generalised wherever
+it stands, far from the entity and in documents without it too.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import map_rows, set_aside
@@ -88,17 +90,38 @@ def listing(found: list[list[Span]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, spans in zip(KINDS, found) for a, b in spans)
 
 
+def covered(found: list[list[Span]]) -> Callable[[int, int], bool]:
+    """Whether a stretch of text meets a base span."""
+    taken = sorted(s for spans in found for s in spans)
+    upto: list[int] = []  # the furthest end among the spans so far
+    for _, b in taken:
+        upto.append(max(b, upto[-1] if upto else 0))
+
+    def meets(x: int, y: int) -> bool:
+        i = bisect_left(taken, (y, 0))
+        return bool(i) and upto[i - 1] > x
+
+    return meets
+
+
+def places(text: str, terms: set[str]) -> list[Span]:
+    """Where words that are one of ``terms`` stand outside of base spans."""
+    meets, out = covered(base_spans(text)), []
+    for m in WORDS.finditer(text):
+        term = STRIP.sub("", m.group())
+        if term in terms and not meets(*m.span()):
+            at = m.start() + m.group().index(term)
+            out.append((at, at + len(term)))
+    return out
+
+
 def context(text: str, found: list[list[Span]]) -> list[dict]:
-    """The terms near each base span: entity, term, place, and a hash of the whole context."""
+    """The terms near each base span: entity, term, and a hash of the whole context."""
     if not any(found):
         return []
     words = [m.span() for m in WORDS.finditer(text)]
     starts, ends = [a for a, _ in words], [b for _, b in words]
-    taken = sorted(s for spans in found for s in spans)
-    upto: list[int] = []  # the furthest end among the spans so far
-    for _, b in taken:
-        upto.append(max(b, upto[-1] if upto else 0))
-    out = []
+    meets, out = covered(found), []
     for kind, spans in zip(KINDS, found):
         for a, b in spans:
             value = text[a:b].lower() if kind == "email" else "".join(DIGITS.findall(text[a:b])) if kind != "ip" else text[a:b]
@@ -107,18 +130,15 @@ def context(text: str, found: list[list[Span]]) -> list[dict]:
             near = words[max(0, lo - CONTEXT):lo] + words[hi:hi + CONTEXT]
             seen = xxhash.xxh64_intdigest(" ".join(text[x:y] for x, y in near).encode("utf-8", "surrogatepass")) - (1 << 63)
             for x, y in near:
-                i = bisect_left(taken, (y, 0))
-                if i and upto[i - 1] > x:
-                    continue
                 term = STRIP.sub("", text[x:y])
-                if len(term) >= 3 and not term.isdigit():
-                    at = x + text[x:y].index(term)
-                    out.append({"entity": entity, "term": term, "start": at, "end": at + len(term), "context": seen})
+                if len(term) >= 3 and not term.isdigit() and not meets(x, y):
+                    out.append({"entity": entity, "term": term, "context": seen})
     return out
 
 
-NEAR = "near array<struct<entity: long, term: string, start: long, end: long, context: long>>"
-NEAR_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64())]))
+NEAR = "near array<struct<entity: long, term: string, context: long>>"
+PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+NEAR_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64())]))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -140,36 +160,53 @@ def scanned(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), run, schema)
 
 
-def disclosing(near: DataFrame, docs: DataFrame, contexts: int = CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``entity, term`` pairs where the term reveals at least ``disclosure`` of the entity.
+def row_of(doc_id: str = "doc_id", text_hash: str = "text_hash") -> Column:
+    return F.xxhash64(doc_id, text_hash)
 
-    With document counts n: log(n(e,t) N / (n(e) n(t))) / log(N / n(e)). The share is 1 when the term occurs
-    only near the entity. A pair needs ``contexts`` different contexts, so that copies of one passage prove
-    nothing; only terms of such pairs that can still reach the share are counted in the whole corpus.
+
+def disclosing(near: DataFrame, docs: DataFrame, contexts: int = CONTEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """``entity, term`` pairs where the term reveals at least ``disclosure`` of the entity, and ``row, term``: which documents hold candidate terms.
+
+    With document counts n: log(n(e,t) N / (n(e) n(t))) / log(N / n(e)); a document counts in n(e,t) when it holds both,
+    however far apart. The share is 1 when the term occurs only in documents of the entity. A pair needs ``contexts`` different
+    contexts, so that copies of one passage prove nothing. n(e,t) is at most the smaller of n(e) and n(t), which bounds the share
+    from above: only pairs that can still reach it are counted, and a term of such a pair is little more frequent than its entity.
     """
-    occ = near.select("entity", "term", "context", F.struct("doc_id", "text_hash").alias("doc"))
-    met = occ.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("n_et"))
-    met = met.filter(F.col("contexts") >= contexts)
-    entities = occ.select("entity", "doc").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    # a term is in all documents where it stands near any entity, so this many bound n(t) from below and the share from above
-    at_least = occ.select("term", "doc").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    occ = near.select("entity", "term", "context", row_of().alias("row"))
+    met = occ.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= contexts)
+    of_entity = occ.select("entity", "row").distinct()
+    entities = of_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # a term is in all documents where it stands near any entity, so this many bound n(t) from below
+    at_least = occ.select("term", "row").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    share = lambda n_t: F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col(n_t))) / F.log(F.col("n") / F.col("n_e"))
+    share = lambda n_et, n_t: F.log(n_et * F.col("n") / (F.col("n_e") * F.col(n_t))) / F.log(F.col("n") / F.col("n_e"))
+    can = lambda n_t: share(F.least("n_e", n_t), n_t) >= disclosure
     met = met.join(entities, "entity").join(at_least, "term").join(F.broadcast(total))  # one row
-    met = materialize(met.filter((F.col("n") > F.col("n_e")) & (share("least") >= disclosure)), "met")
+    met = materialize(met.filter((F.col("n") > F.col("n_e")) & can("least")), "met")
     bare = F.regexp_replace(F.col("word"), f"^[{PUNCTUATION}]+|[{PUNCTUATION}]+$", "").alias("term")
     word = F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("word")
-    mine = docs.select(F.xxhash64("doc_id", "text").alias("row"), word).select("row", bare)
-    terms = mine.join(met.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return met.join(terms, "term").filter(share("n_t") >= disclosure).select("entity", "term")
+    mine = docs.select(row_of(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row"), word).select("row", bare)
+    held = materialize(mine.join(met.select("term").distinct(), "term", "left_semi").distinct(), "held")
+    pairs = met.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "term").filter(can("n_t"))
+    both = held.join(pairs.select("entity", "term"), "term").join(of_entity, ["entity", "row"], "left_semi")
+    pairs = pairs.join(both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")), ["entity", "term"])
+    return pairs.filter(share(F.col("n_et"), "n_t") >= disclosure).select("entity", "term"), held
 
 
 def term_spans(scan: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, terms``: the places of disclosing terms, sorted, one row for each different document that has any."""
+    """``_d, _h, terms``: the places of disclosing terms, in order, one row for each different document that has any."""
     near = scan.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
-    pairs = materialize(disclosing(near, docs), "disclosing")
-    hit = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return hit.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "terms")
+    pairs, held = disclosing(near, docs)
+    terms = held.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), "text")
+    texts = texts.join(materialize(terms, "wanted"), row_of("_d", "_h") == F.col("row"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [[{"start": a, "end": b} for a, b in places(text or "", set(wanted))] for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist())]
+        return pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(found, type=PLACES)], ["_d", "_h", "terms"])
+
+    out = map_rows(texts.select("_d", "_h", "text", "wanted"), run, "_d long, _h long, terms array<struct<start: long, end: long>>")
+    return out.filter(F.size("terms") > 0).dropDuplicates(["_d", "_h"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

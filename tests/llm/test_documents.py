@@ -1,6 +1,7 @@
 """Operators on documents: edge rows against plain versions, and empty tables."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -195,6 +196,23 @@ def test_terms_that_give_an_entity_away(spark):
     assert all("term" not in r.spans for r in pii.personal_data(copies).collect())
 
 
+def test_a_disclosing_term_goes_wherever_it_stands(spark):
+    far = " and then nothing much was said for quite a while until (Zorbax) came"
+    rows = [(i, f"the report {i} of {w} Zorbax {w} ann@x.org {w} number{far}") for i, w in enumerate(("one", "two", "three", "four", "five"))]
+    rows += [(5, "nobody wrote but Zorbax, was there"), (5, "nobody wrote but Zorbax, was there"), (6, "Zorbaxes are no Zorba"), (7, None)]
+    rows += [(100 + i, f"the plain text number {i} of today and the report and then nothing much was said for quite a while until it came") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.personal_data(docs).collect()
+    assert len(got) == len(rows)
+    spans = {r.doc_id: r.spans.split(",") for r in got}
+    for doc_id, text in rows[:5]:
+        at = [m.start() for m in re.finditer("Zorbax", text)]
+        assert spans[doc_id][1:] == [f"term:{a}:{a + 6}" for a in at] and len(at) == 2
+    assert spans[5] == ["term:17:23"] and spans[6] == spans[7] == spans[100] == [""]
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert clean[5] == "nobody wrote but [TERM], was there" and "Zorbax" not in clean[0] and clean[6] == rows[7][1] and clean[7] is None
+
+
 def test_redaction_keeps_rows_and_columns(edge):
     out = pii.sanitised(edge)
     assert out.columns == edge.columns
@@ -258,11 +276,20 @@ def test_thresholds_follow_the_group(spark):
     values = [("en", "code", 0.2 + i / 1000) for i in range(300)] + [("en", "news", i / 10000) for i in range(300)] + [("fr", "tiny", 0.0)] * 3
     df = spark.createDataFrame([(a, b, *([v] * len(rules.MEASURES))) for a, b, v in values], "lang string, source string, " + ", ".join(f"{m} double" for m, _, _ in rules.MEASURES))
     got = {(r._lang, r._source): r["_symbol_share"] for r in rules.thresholds(df).collect()}
-    assert got["en", "code"] == pytest.approx(0.425 + 3 * 0.15, rel=0.05)
-    assert got["en", "news"] == pytest.approx(0.0225 + 3 * 0.015, rel=0.05)
+    assert got["en", "code"] == pytest.approx(0.35 + 3 * 0.12, rel=0.05)
+    assert got["en", "news"] == pytest.approx(0.015 + 3 * 0.015, rel=0.05)
     assert got["fr", "tiny"] == pytest.approx(got["fr", "tiny"]) and got["fr", "tiny"] > got["en", "news"]
 
 
+@pytest.mark.parametrize("junk", [40, 200, 350])
+def test_junk_in_a_large_part_of_a_source_falls(spark, junk):
+    from tests.llm.conftest import prose
+
+    rows = [(i, prose(i), "en", "hot") for i in range(400)] + [(1000 + i, "# " + " ".join(f"{w} *" for w in prose(7).split()), "en", "hot") for i in range(junk)]
+    got = rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "kept").collect()
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id < 1000) for r in got)
+
+
 def test_quality(edge, nothing, labels):
     rows = quality.scored(edge, labels).collect()
     assert Counter(r.doc_id for r in rows) == IDS
