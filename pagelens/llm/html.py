@@ -5,7 +5,8 @@ occurrence vector, the count on every page of the host; vectors are compared by
 no page is ever gathered with its neighbours. Tokens with one vector form a class. A class on more than half
 of a host's pages whose tokens nest in tokens of other such classes belongs to the host's template. What the
 template leaves open are its slots; those of navigation, adverts and the like are told by the elements they
-hang in, and the article is the rest.
+hang in, and the article is the rest. Within the article blocks that nearly all pages of a host repeat are
+template too.
 """
 
 from __future__ import annotations
@@ -44,6 +45,17 @@ skip form""".split())
 HEADS = frozenset(("header",))
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main content story post entry".split())
+#: A mark of main words may have these beside them.
+BODY_WORDS = frozenset("body text".split())
+#: Marks with one of these say what an element is filed under or has, not what it is.
+FILED_WORDS = frozenset("category cat tag tagged status type format with without has no".split())
+#: Whole marks that put an article inside of another one, and a paragraph, aside.
+COMMENT_MARKS = frozenset("comment comments reply replies ad ads advert adverts advertisement".split())
+NOTICE_MARKS = COMMENT_MARKS | frozenset("sponsored promo promotion banner cookie cookies consent notice newsletter subscribe related share".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_TAGS = HEADINGS | frozenset("p blockquote pre li td th dt dd figcaption".split())
+#: In an article a repeated block is template on a host with so many different pages, on this share of them.
+FIXED_PAGES, FIXED_SHARE = 5, 0.9
 RAW_ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: A host with more than 1 / HOT of the pages is dealt over SALTS partitions.
@@ -60,25 +72,38 @@ ROOT = number("")
 
 
 class Element:
-    """An open element: the number of its path and of its parent's, and whether it is left out, or main."""
+    """An open element: the number of its path and of its parent's, and whether it is left out, main, or in a heading.
 
-    __slots__ = ("tag", "path", "parent", "out", "main")
+    Marks (classes, id, role) are asked as wholes or by their parts, as in ``site-footer``. What the mark of an article or
+    main element says counts only where it is inside of another one, and only whole marks put a paragraph of an article aside.
+    """
+
+    __slots__ = ("tag", "path", "parent", "out", "main", "heading")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag = tag
-        words: set[str] = set()
+        marks: set[str] = set()
         mark = ""
         if attributes and not attributes.isspace():
             for name, *values in ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
-                words.update(SPLIT.split(value))
+                marks.update(value.split())
                 mark += f".{value}" if name.lower() == "class" else ""
         self.parent = parent.path if parent else ROOT
         self.path = number(f"{self.parent}/{tag}{mark}")
         inside = bool(parent and parent.main)
-        self.main = inside or tag in MAIN_TAGS or bool(words & MAIN_WORDS and tag in BLOCKS and not words & ASIDE_WORDS)
-        told = words & ASIDE_WORDS - (HEADS if inside else frozenset())  # an article's own header belongs to it
-        own = tag in ASIDE_TAGS or (tag == "header" and not inside) or (bool(told) and tag not in ("html", "body"))
+        parts = [set(SPLIT.split(m)) for m in marks]
+        if tag in MAIN_TAGS:
+            told = inside and bool(marks & COMMENT_MARKS)
+        elif inside and tag in TEXT_TAGS:
+            told = bool(marks & NOTICE_MARKS)
+        else:
+            words = ASIDE_WORDS - HEADS if inside else ASIDE_WORDS  # an article's own header belongs to it
+            told = tag not in ("html", "body") and any(p & words and not p & FILED_WORDS for p in parts)
+        main = any(p & MAIN_WORDS and p <= MAIN_WORDS | BODY_WORDS for p in parts)
+        self.main = inside or tag in MAIN_TAGS or (main and tag in BLOCKS and not told)
+        self.heading = tag in HEADINGS or bool(parent and parent.heading)
+        own = tag in ASIDE_TAGS or (tag == "header" and not inside) or told
         self.out = bool(parent and parent.out) or own
 
 
@@ -191,7 +216,8 @@ def contents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, pages, template``: the page rows of each host that has a template, and its tokens.
+    """``host, pages, template, fixed``: the page rows of each host that has a template, its tokens, and the runs of text
+    among them that are on a share FIXED_SHARE of FIXED_PAGES different pages or more.
 
     Copies prove no template: pages of a host with one content count as one. A vector is known by the pages
     that hold the token, its occurrences and two sums of hashes of (page, count). A class is valid when it is on more than half of the host's pages and holds two tokens or more, or is
@@ -226,15 +252,18 @@ def templates(pages: DataFrame) -> DataFrame:
     of_host = sums.filter("token = 0").select(F.col("host").alias("_host"), F.col("pages").alias("all_pages"))
     common = sums.join(of_host, F.col("host") == F.col("_host")).filter("token <> 0 AND pages > 1 AND 2 * pages > all_pages")
     vector = F.struct("pages", "times", "low", "high")
-    kept = common.groupBy("host").agg(F.collect_list(F.struct("token", "parent", vector.alias("vector"))).alias("t"))
+    kept = common.groupBy("host").agg(F.collect_list(F.struct("token", "parent", vector.alias("vector"))).alias("t"), F.max("all_pages").alias("all_pages"))
 
     def nested(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for tokens in batch.column("t").to_pylist():
+        out, fixed = [], []
+        for tokens, total in zip(batch.column("t").to_pylist(), batch.column("all_pages").to_pylist()):
             out.append(valid_tokens([(t["token"], t["parent"], tuple(t["vector"].values())) for t in tokens]))
-        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("rows"), pa.array(out, type=pa.list_(pa.int64()))], ["host", "pages", "template"])
+            often = {t["token"] for t in tokens if t["token"] & 1 and t["vector"]["pages"] >= FIXED_SHARE * total}
+            fixed.append([t for t in out[-1] if t in often] if total >= FIXED_PAGES else [])
+        lists = [pa.array(x, type=pa.list_(pa.int64())) for x in (out, fixed)]
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("rows"), *lists], ["host", "pages", "template", "fixed"])
 
-    valid = map_rows(kept.join(rows, "host"), nested, "host string, pages long, template array<long>")
+    valid = map_rows(kept.join(rows, "host"), nested, "host string, pages long, template array<long>, fixed array<long>")
     return materialize(valid, "templates")
 
 
@@ -254,14 +283,16 @@ def valid_tokens(tokens: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
         kept |= more
 
 
-def main_text(page: str | None, template: frozenset[int]) -> str:
+def main_text(page: str | None, template: frozenset[int], fixed: frozenset[int] = frozenset()) -> str:
     """The article's blocks.
 
-    Inside a main element of the page every run is content, template or not: an article that many pages repeat
-    is still one. Without a main element, content is what fills slots of the template outside of the elements
-    that are left out, and runs that are part of the template themselves are not.
+    Inside a main element of the page a block is template where all its runs are ``fixed`` and none is a heading; runs that
+    fewer pages repeat are content, and an article of nothing but fixed blocks keeps them. Without a main element, content is
+    what fills slots of the template outside of the elements that are left out, and runs that are part of the template
+    themselves are not.
     """
     blocks: list[tuple[bool, list[str]]] = [(False, [])]
+    open_slots: set[int] = set()  # blocks of the article with a run of their own
     any_main = False
     for kind, element, text in walk(page or ""):
         if kind == "break":
@@ -278,7 +309,9 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
                     blocks[-1] = (inside, [])
             any_main |= inside
             blocks[-1][1].append(text)
-    lines = (squeeze("".join(parts)) for inside, parts in blocks if inside or not any_main)
+            if inside and fixed and (run := squeeze(text)) and (element.heading or run_token(element, run) not in fixed):
+                open_slots.add(len(blocks) - 1)
+    lines = (squeeze("".join(parts)) for i, (inside, parts) in enumerate(blocks) if (inside and (i in open_slots or not open_slots)) or not any_main)
     return "\n".join(line for line in lines if line)
 
 
@@ -295,20 +328,20 @@ def extracted(pages: DataFrame) -> DataFrame:
     total = of_host.agg(F.sum("pages").alias("total"))
     hot = F.broadcast(of_host.join(F.broadcast(total)).filter(F.col("pages") * HOT > F.col("total")).select(F.col("host").alias("_hot")))
     salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    dealt = of_host.join(hot, F.col("host") == F.col("_hot"), "left").select(F.col("host").alias("_host"), "template", F.explode(salts).alias("_salt"))
+    dealt = of_host.join(hot, F.col("host") == F.col("_hot"), "left").select(F.col("host").alias("_host"), "template", "fixed", F.explode(salts).alias("_salt"))
     mine = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     read = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(hot, F.col("host") == F.col("_hot"), "left").withColumn("salt", mine)
     j = read.join(dealt, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[str, frozenset[int]] = {}
+        seen: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
         texts = []
-        hosts, template = batch.column("host").to_pylist(), batch.column("template")
+        hosts, template, fixed = batch.column("host").to_pylist(), batch.column("template"), batch.column("fixed")
         for i, html in enumerate(batch.column("html").to_pylist()):
             if hosts[i] not in seen:
-                seen[hosts[i]] = frozenset(template[i].as_py() or ())
-            texts.append(main_text(html, seen[hosts[i]]))
+                seen[hosts[i]] = frozenset(template[i].as_py() or ()), frozenset(fixed[i].as_py() or ())
+            texts.append(main_text(html, *seen[hosts[i]]))
         n = pa.array(np.array([len(t) for t in texts], dtype=np.int64))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, type=pa.string()), n], ["page_id", "url", "text", "n_chars"])
 
-    return map_rows(j.select("page_id", "url", "html", "host", "template"), run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return map_rows(j.select("page_id", "url", "html", "host", "template", "fixed"), run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

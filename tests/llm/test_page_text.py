@@ -25,3 +25,29 @@ def test_copies_of_a_page_are_no_template(spark):
     text = {r.page_id: r.text for r in got}
     assert all(text[i] == "Title\nThe only text\nand its end" for i in (0, 1, 2, 3, 4, 6)) and text[7] == text[8] == ""
     assert all(text[10 + i] == f"words {i // 2}" for i in range(8))
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article class="post status-publish category-ads"><p>Body text</p></article>', "Body text"),
+    ('<article><p>One</p><p class="skip-intro">Two</p><p class="alert">Three</p></article>', "One\nTwo\nThree"),
+    ('<div class="entry-meta">12 May</div><div><p>The whole article is here.</p></div>', "12 May\nThe whole article is here."),
+    ('<div class="entry-content"><p>a</p></div><div>b</div>', "a"), ('<div id="main-nav">a</div><div class="post body">b</div>', "b"),
+    ('<main><article class="post">a</article><article class="comment">b</article></main>', "a"), ('<article class="comment">a</article>', "a"),
+    ('<article><div class="share-buttons">a</div><p class="ad">b</p><p>c</p><div class="cookie notice">d</div></article>', "c"),
+])
+def test_marks_are_asked_as_wholes(page, text):
+    assert html.main_text(page, frozenset()) == text
+
+
+def test_a_notice_that_a_host_repeats_in_its_articles_is_template(spark):
+    page = "<body><article><div>Subscribe to our <b>letter</b></div><h2>Method</h2><p>One {0}</p><p>Shared by some</p></article><p>foot</p></body>"
+    rows = [(i, f"http://letters.example/{i}", page.format(i)) for i in range(12)]
+    rows += [(20 + i, f"http://few.example/{i}", page.format(i)) for i in range(4)]  # too few pages to tell
+    rows += [(30 + i, f"http://half.example/{i}", page.format(i) if i % 3 else f"<body><article><p>Other {i}</p></article></body>") for i in range(12)]
+    rows += [(50 + i, f"http://same.example/{i}", f"<body><nav>{i}</nav><article><p>All there is</p></article></body>") for i in range(8)]
+    text = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(text) == len(rows)
+    assert all(text[i] == f"Method\nOne {i}" for i in range(12))
+    assert all(text[20 + i] == f"Subscribe to our letter\nMethod\nOne {i}\nShared by some" for i in range(4))
+    assert all(text[30 + i] == f"Subscribe to our letter\nMethod\nOne {i}\nShared by some" for i in range(12) if i % 3)
+    assert all(text[50 + i] == "All there is" for i in range(8))
