@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import alike
+from pagelens.operators import alike, capacity
 from pagelens.operators import raster as P
 from pagelens.operators import runs as R
+from pagelens.functions import fixed as X
+from pagelens.operators.texts import sum_width
 from pagelens.plans import raster_sql as S
 from pagelens.plans.corpus import SIDE
 from pagelens.plans.registry import query
@@ -212,8 +214,8 @@ def _(c):
     return P.protect_outline(R.dilate(ink(c), 15), guard(c))
 
 
-COMPOSE = [*GUARD, WIDE, "pr AS (SELECT DISTINCT page_id, y, x FROM wide WHERE region_id = 2)", "pg AS (SELECT DISTINCT page_id, y, x FROM wide WHERE region_id <> 2)",
-           S.dilate("pd", "pr", 9, "page_id"), S.minus("e1", "pg", "pd", "page_id"), S.minus("er", "e1", "guard", "page_id")]
+COMPOSE = [*GUARD, S.spread("wide", "ink", 15), "pr AS (SELECT DISTINCT page_id, y, x FROM wide WHERE region_id = 2)", "pg AS (SELECT DISTINCT page_id, y, x FROM wide WHERE region_id <> 2)",
+           S.spread("pd", "pr", 9, "page_id"), S.minus("e1", "pg", "pd", "page_id"), S.minus("er", "e1", "guard", "page_id")]
 
 
 @query("compose_masks", with_(*COMPOSE) + "SELECT 'erase' AS mask, page_id, y, x FROM er UNION ALL SELECT 'protected', page_id, y, x FROM pr", "interior pix ink")
@@ -525,6 +527,51 @@ def _(c):
     return P.free_runs(inner(c), bands)
 
 
+def rooms_sql(name: str, sizes: str) -> str:
+    """``page_id, region_id, z, lims``: widths of the lines in a shape for ``sizes`` (page_id, region_id, z)."""
+    return f"""{name}_t AS (SELECT page_id, region_id, min(y) AS y0 FROM interior GROUP BY ALL),
+{name}_p AS (SELECT page_id, region_id, z, (y - y0) // z AS y, x FROM interior JOIN {name}_t USING (page_id, region_id) JOIN {sizes} USING (page_id, region_id) GROUP BY ALL HAVING count(*) = any_value(z)),
+{S.runs(name + "_r", name + "_p", "page_id, region_id, z")},
+{name} AS (SELECT page_id, region_id, z, list(CAST(room AS BIGINT) * 1000 // z ORDER BY y) AS lims FROM (SELECT page_id, region_id, z, y, max(x1 - x0) AS room FROM {name}_r GROUP BY ALL) GROUP BY ALL)"""
+
+
+def held_sql(widths: str, lims: str) -> str:
+    """Words of ``widths`` that lines hold, one word at a time: line, room used, words so far."""
+    line = f"coalesce(list_position(list_transform({lims}, lambda l, i: i >= s.line AND l >= w + CASE WHEN i = s.line AND s.used > 0 THEN s.used + 255 ELSE 0 END), true), 0)"
+    return f"""list_reduce({widths}, lambda s, w: CASE WHEN NOT s.go OR {line} = 0 THEN {{'line': s.line, 'used': s.used, 'n': s.n, 'go': false}}
+  WHEN {line} = s.line AND s.used > 0 THEN {{'line': s.line, 'used': CAST(s.used + 255 + w AS BIGINT), 'n': s.n + 1, 'go': true}}
+  ELSE {{'line': CAST({line} AS BIGINT), 'used': CAST(w AS BIGINT), 'n': s.n + 1, 'go': true}} END, {{'line': CAST(1 AS BIGINT), 'used': CAST(0 AS BIGINT), 'n': 0, 'go': true}}).n"""
+
+
+def _figures() -> str:
+    words = X.FILLER.split()
+    letters = [sum_width(X.LONG_WORD[:n]) for n in range(2, 25)]
+    return f"""fd AS (SELECT DISTINCT lims FROM ro),
+fg AS (SELECT lims, {held_sql(str([sum_width(w) for w in words]), "lims")} AS n, len(list_filter({letters}, lambda w: w <= list_max(lims))) AS l FROM fd),
+fi AS (SELECT page_id, region_id, z, CASE WHEN n > 0 THEN list_sum({[len(w) for w in words]}[1:n]) + n - 1 ELSE 0 END AS ch, CASE WHEN l > 0 THEN l + 1 ELSE 0 END AS wo FROM ro JOIN fg USING (lims)),
+fz AS (SELECT s.page_id, s.region_id, cap, CAST(coalesce(a.ch, 0) AS INT) AS soft, CAST(coalesce(b.ch, 0) AS INT) AS lo, CAST(coalesce(a.wo, 0) AS INT) AS word_soft, CAST(coalesce(b.wo, 0) AS INT) AS wlo FROM si s
+  LEFT JOIN fi a ON a.page_id = s.page_id AND a.region_id = s.region_id AND a.z = s.cap LEFT JOIN fi b ON b.page_id = s.page_id AND b.region_id = s.region_id AND b.z = s.low)"""
+
+
+@query("shape_budgets", with_("si AS (SELECT page_id, region_id, CAST(3 + (page_id + region_id) % 4 AS INT) AS cap, 2 AS low FROM crops)",
+                              "sz AS (SELECT page_id, region_id, cap AS z FROM si UNION SELECT page_id, region_id, low FROM si)", rooms_sql("ro", "sz"), _figures()) + """
+SELECT page_id, region_id, cap, soft, greatest(soft, lo) AS hard, word_soft, greatest(word_soft, wlo) AS word_hard FROM fz""", "interior crops")
+def _(c):
+    return capacity.shape_budgets(inner(c), c.crops, 3 + (F.col("page_id") + F.col("region_id")) % 4, F.lit(2))
+
+
+SAID = "SELECT page_id, region_id, rtrim(substr('SO THE PREZ HAS ALL THE NOTES ', 1, CAST(3 + (page_id * 7 + region_id * 5) % 26 AS INT))) AS text FROM {crops}"
+
+
+@query("shape_sizes", with_("sa AS (" + SAID.replace("{crops}", "crops") + ")", "sz AS (SELECT page_id, region_id, CAST(unnest(range(1, 9)) AS INT) AS z FROM crops)", rooms_sql("ro", "sz"),
+                            "sw AS (SELECT page_id, region_id, list_transform(string_split(text, ' '), lambda w: CAST(85 * list_sum(list_transform(string_split(w, ''), lambda h: CASE WHEN h = 'I' THEN 3 WHEN h IN ('M', 'W') THEN 9 ELSE 6 END)) AS BIGINT)) AS wl FROM sa)") + f"""
+SELECT page_id, region_id, CAST(coalesce(max(z) FILTER (n = len(wl)), 0) AS INT) AS best_size FROM (SELECT c.page_id, c.region_id, z, wl, {held_sql("wl", "lims")} AS n
+  FROM sa c JOIN sw USING (page_id, region_id) LEFT JOIN ro USING (page_id, region_id)) GROUP BY ALL""", "interior crops")
+def _(c):
+    said = c.spark.sql(SAID, crops=c.crops)
+    return capacity.shape_sizes(said, inner(c), 1, 8).select("page_id", "region_id", "best_size")
+
+
 @query("block_slack", """
 WITH bl AS (SELECT page_id, region_id, x1 + 5 AS bx0, x2 - 5 AS bx1, y1 + 10 AS a, y1 + 13 AS b, y1 AS top, y2 AS bottom FROM crops),
 rw AS (SELECT page_id, region_id, i.y, a, b, top, bottom FROM interior i JOIN bl USING (page_id, region_id)

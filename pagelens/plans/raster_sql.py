@@ -47,6 +47,14 @@ def dilate(name: str, src: str, k: int, keys: str = K, cells: str | None = None)
             f"FROM {src}, (VALUES {cells or offsets(k)}) o(dy, dx))")
 
 
+def spread(name: str, src: str, k: int, keys: str = K) -> str:
+    """:func:`dilate` by runs: every run is widened once a kernel row, and each pixel is listed by the first run that holds it."""
+    rows = ", ".join(f"({dy}, {hw})" for dy, hw in ellipse(k))
+    return f"""{runs(name + "_r", src, keys)},
+{name} AS (SELECT {keys}, y, CAST(unnest(range(greatest(x0, coalesce(seen, x0)), x1)) AS INT) AS x FROM (SELECT *, max(x1) OVER (PARTITION BY {keys}, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM (SELECT {keys}, CAST(y + dy AS INT) AS y, x0 - hw AS x0, x1 + hw AS x1 FROM {name}_r, (VALUES {rows}) o(dy, hw))))"""
+
+
 def minus(name: str, a: str, b: str, keys: str = K) -> str:
     cols = f"{keys}, y, x"
     return f"{name} AS (SELECT {cols} FROM {a} EXCEPT SELECT {cols} FROM {b})"
