@@ -139,3 +139,20 @@ def test_read_pages_and_rejects(spark, tmp_path):
     assert sorted(r.path.rsplit("/", 1)[-1] for r in images.read_rejects(spark, str(tmp_path)).collect()) == ["b.png", "c.webp"]
     for r in images.explode_pixels(pages.withColumn("page_id", F.lit(1)), "page_id").collect():
         assert (r.r, r.g, r.b) == tuple(int(v) for v in rgb[r.y, r.x])
+
+
+def test_colour_marks_from_scanlines_and_from_pixels(spark):
+    """Both forms give the same boxes; over scanlines the condition is not moved into what makes the channels."""
+    import __spark_entry__ as entry
+    from pagelens.plans.corpus import Corpus
+
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    lines = P.scanlines(c.rgb)
+    found = P.pixels_of(lines).filter("r > 110 AND r - g > 50 AND r - b > 50")
+    cols = ["page_id", "y", "x", "r", "g", "b"]
+    plain = [tuple(r) for r in c.rgb.select(*cols).collect() if r.r > 110 and r.r - r.g > 50 and r.r - r.b > 50]
+    assert sorted(map(tuple, found.select(*cols).collect())) == sorted(plain)
+    assert "%" not in found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+    few = c.rgb.filter("page_id < 4")
+    one = sorted(map(tuple, P.colour_marks(few).collect()))
+    assert one == sorted(map(tuple, entry.queries()["colour_marks"](spark, c.folder).filter("page_id < 4").collect())) and one
