@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from pagelens.operators import raster as P
+from pagelens.operators import runs as R
+from pagelens.operators import tones as T
 from pagelens.plans import corpus
 from pagelens.plans.corpus import Corpus
 
@@ -37,3 +40,28 @@ def test_more_turns_make_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(corpus, "TURNS_A_TASK", 10)
     c = Corpus(spark, DATA)
     assert c.conversations.rdd.getNumPartitions() == -(-c.conversations.count() // 10)
+
+
+def test_runs_are_shuffled_before_they_grow(spark):
+    runs = spark.createDataFrame([(1, 0, 5, 3, 9), (1, 0, 6, 20, 21)], "page_id long, region_id int, y int, x0 int, x1 int")
+    for made in (R.ring(runs, 9), R.dilate(runs, 9), R.dilate_times(runs, 5), R.subtract(runs, R.grow(runs, 5))):
+        text = plan(made)
+        assert text.count("Exchange") == 1 and "Generate" not in text[text.index("Exchange"):]
+
+
+def test_regions_meet_pixels_in_the_tasks_that_hold_them(spark):
+    c = Corpus(spark, DATA)
+    grid = plan(c.lines("rgb"))
+    assert grid.count("Exchange") == grid.count("REPARTITION_BY_NUM") == 1
+    boxes = R.box_runs(c.crops.filter("region_id = 2"))
+    tones = plan(T.tones(P.values(boxes, c.lines("rgb")), R.RK, "rgb"))
+    assert tones.count("Exchange") == 2  # the grid, and the runs that come to it
+
+
+def test_masks_become_runs_branch_by_branch(spark):
+    c = Corpus(spark, DATA)
+    for name in ("ink", "interior", "fill"):
+        runs = R.to_runs(getattr(c, name))
+        want = sorted(map(tuple, runs.collect()))
+        assert sorted(map(tuple, c.runs(name).select(*runs.columns).collect())) == want
+        assert sorted(map(tuple, c.runs(name, 0).select(*runs.columns).collect())) == [r for r in want if r[1] == 0]
