@@ -261,6 +261,11 @@ def groups(docs: DataFrame, similarity: float | None = None, shingle: int = SHIN
     rows with equal doc_id each keep their own row; a null doc_id counts only where a component has no
     other, whose ``component_id`` is then null. An empty table gives an empty result.
     """
+    return labelled(docs, similarity, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def labelled(docs: DataFrame, similarity: float | None, shingle: int) -> DataFrame:
+    """``doc_id, fp, component_id, label`` of every row, and with a ``similarity`` also ``row``, a hash of identifier and text; a group is known by its ``label``."""
     counted = [F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")]
     if similarity is None:
         if shingle != SHINGLE:
@@ -273,26 +278,28 @@ def groups(docs: DataFrame, similarity: float | None = None, shingle: int = SHIN
         one = F.min(F.struct("row", "keys", "sketch")).alias("one")
         distinct = materialize(table.groupBy("fp").agg(*counted, one).select("fp", "least", "n", "one.*"), "distinct-fp")
         met = jaccard.links(distinct, docs, shingle, similarity, components)
-        table, distinct = table.select("doc_id", "fp"), distinct.select("fp", "least", "n")
+        table, distinct = table.select("doc_id", "fp", "row"), distinct.select("fp", "least", "n")
     label = components(materialize(met, "links"))
     named = distinct.join(label, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
     shared = named.filter("node IS NOT NULL OR n > 1")
     partners = shared.select("label").union(label.select("label")).distinct()
     of_label = distinct.join(label, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("label"), "least")
     of_label = of_label.join(partners, "label", "left_semi").groupBy("label").agg(F.min("least").alias("component_id"))
-    reach = named.join(of_label, "label").select(F.col("fp").alias("_fp"), "component_id")
+    reach = named.join(of_label, "label").select(F.col("fp").alias("_fp"), "component_id", "label")
     j = table.join(reach, F.col("fp") == F.col("_fp"), "left")
     alone = F.col("_fp").isNull()
-    return j.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return j.select(*table.columns, F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("label", "fp").alias("label"))
 
 
 def one_of_each(docs: DataFrame, similarity: float | None = None, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Rows that share that doc_id are repeats; the one that comes first by the hash of its text stays. A
+    Without a ``similarity`` rows that share that doc_id are repeats; the one that comes first by the hash of its text
+    stays. With one, every group keeps a row of its own, groups that share their smallest doc_id too. A
     group without any doc_id keeps one row in the same way. The parameters are those of :func:`groups`.
     """
+    if similarity is not None:
+        return one_of_each_label(docs, labelled(docs, similarity, shingle))
     kept = materialize(groups(docs, similarity, shingle).select(F.col("doc_id").alias("_d"), F.col("component_id").alias("_c"), "fingerprint"), "kept")
     slim, back = set_aside(docs, ("doc_id", "text"))
     named = kept.filter("_d = _c").select("_d").distinct()
@@ -302,17 +309,26 @@ def one_of_each(docs: DataFrame, similarity: float | None = None, shingle: int =
     bare = kept.filter("_c IS NULL").select("fingerprint").distinct()
     if not bare.isEmpty():
         orphans = slim.filter("doc_id IS NULL").dropDuplicates(["text"])
-        marked = orphans.join(fingerprint_of(orphans, None if similarity is None else shingle), F.col("text").eqNullSafe(F.col("_text"))).join(bare, F.col("_fp") == F.col("fingerprint"))
+        marked = orphans.join(fingerprint_of(orphans), F.col("text").eqNullSafe(F.col("_text"))).join(bare, F.col("_fp") == F.col("fingerprint"))
         out = out.unionByName(marked.dropDuplicates(["_fp"]).select(*columns(slim)))
     return back(out)
 
 
-def fingerprint_of(docs: DataFrame, shingle: int | None = None) -> DataFrame:
-    """Each text with its fingerprint, that of its set of shingles if their width is given, as 16 hexadecimal digits."""
-    name = fingerprint if shingle is None else lambda t: jaccard.content(jaccard.shingles(t, shingle))
+def one_of_each_label(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each label; of several such the first by the hash of identifier and text."""
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("row").alias("_row"))
+    first = materialize(first.select("_row").distinct(), "kept")
+    slim, back = set_aside(docs, ("doc_id", "text"))
+    mine = slim.withColumn("_hash", F.xxhash64("doc_id", "text")).join(first, F.col("_hash") == F.col("_row"), "left_semi")
+    order = Window.partitionBy("_hash").orderBy(F.hash(*columns(slim)))
+    return back(mine.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*columns(slim)))
+
+
+def fingerprint_of(docs: DataFrame) -> DataFrame:
+    """Each text with its fingerprint as 16 hexadecimal digits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0)
-        return pa.RecordBatch.from_arrays([texts, pa.array([f"{name(t):016x}" for t in texts.to_pylist()])], ["_text", "_fp"])
+        return pa.RecordBatch.from_arrays([texts, pa.array([f"{fingerprint(t):016x}" for t in texts.to_pylist()])], ["_text", "_fp"])
 
     return map_rows(docs.select("text"), run, "_text string, _fp string")

@@ -31,6 +31,15 @@ def test_groups_equal_brute_force(spark):
     assert neardup.one_of_each(docs.filter("false"), 0.8, 5).collect() == []
 
 
+def test_groups_that_share_an_identifier_keep_a_row_each(spark):
+    one, two, none = (list(family(seed, 1, 0))[0] for seed in (1, 2, 3))
+    rows = [(6, one), (6, two), (7, one), (None, none), (None, none + " more"), (None, two), (6, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in neardup.one_of_each(docs, 0.8, 5).collect()), key=repr)
+    assert [r[0] for r in kept if r[0] is not None] == brute.kept_ids(rows) == [6, 6]
+    assert {r for r in kept if r[0] is not None} == {(6, one), (6, two)} and len(kept) == 3
+
+
 def test_borderline_members_are_compared_in_later_rounds(monkeypatch, spark):
     monkeypatch.setattr(jaccard, "PARTNERS", 1)
     texts = list(family(5, 60, 6))
