@@ -7,6 +7,7 @@ from pagelens.operators import runs as R
 from pagelens.operators import tones as T
 from pagelens.plans import corpus
 from pagelens.plans.corpus import Corpus
+from pagelens.session import measured_joins, size_in_bytes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -21,6 +22,22 @@ def test_pixels_are_never_broadcast_by_the_size_of_their_file(spark):
     assert "Broadcast" not in plan(pixels)
 
 
+def test_sides_of_a_few_megabytes_are_not_sent_to_the_driver(spark):
+    known = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        measured_joins(spark)
+        for rows, sent in ((100_000, False), (1_000, True)):  # 2.4 MB and 24 kB of rows
+            side = spark.range(rows).selectExpr("id * 3 AS k").groupBy("k").agg(F.count("*").alias("n"))
+            joined = spark.range(1_000_000).withColumnRenamed("id", "k").join(side, "k")
+            assert len(joined.collect()) == -(-min(3 * rows, 1_000_000) // 3)
+            assert ("BroadcastHashJoin" in plan(joined).split("== Initial Plan ==")[0]) == sent
+        assert [size_in_bytes(t) for t in ("10485760b", "256k", "10MB", "7", "-1")] == [10 << 20, 256 << 10, 10 << 20, 7, -1]
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_more_pages_make_more_tasks_and_not_larger_ones(spark, monkeypatch):
     monkeypatch.setattr(corpus, "PAGES_A_TASK", 2)
     c = Corpus(spark, DATA)
