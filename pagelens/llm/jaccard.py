@@ -2,10 +2,12 @@
 
 A text is known by its set of shingle hashes; texts with one set are one content. Every content has minima under
 many hash functions. Those of a band make a key, and contents that share a key meet. Which of those that meet are
-compared is told by one bit of each minimum, with room for five standard errors; whether they are linked is told by
-their whole sets. Contents that links join already are not compared again, so a group of any number of near copies
-costs about as many comparisons as it has members; the others are compared in rounds, each with more partners for
-every member, until no pair is left.
+compared is told by one bit of each minimum, with room for five standard errors, and by counts of their hashes in bins,
+which bound from above what two sets share; whether they are linked is told by their whole sets. A pair beyond the bound
+is no link, so pairs that are nearly alike leave no task. Contents that links join already are not compared again, and
+one content is compared with few others in a round, whatever the keys it has: a group of any number of near copies
+costs about as many comparisons as it has members. The others are compared in rounds, each with more partners for
+every member, under the keys that have pairs left, until no pair is left.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import lean, map_rows, shuffle_width
@@ -26,8 +28,10 @@ BANDS, ROWS = 24, 5
 #: Minima, of which each gives a bit to the sketch.
 MINIMA = 256
 #: Partners of a member in the first round, and their growth from round to round.
-PARTNERS, MORE = 4, 4
+PARTNERS, MORE = 2, 4
 BLOCK = 1024
+#: Bins of a content's hashes, and the most that one may count.
+BINS, BYTE_COUNTS = 512, 255
 _RNG = np.random.default_rng(7)
 _XOR, _ODD = _RNG.integers(0, 2**64, (MINIMA, 1), dtype=np.uint64), _RNG.integers(0, 2**64, (MINIMA, 1), dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +83,19 @@ def sketches(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
+def bin_counts(found: np.ndarray) -> bytes:
+    """How many hashes fall in each bin. A content with a bin beyond a byte has none and is never told apart by them."""
+    counts = np.bincount((found >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() <= BYTE_COUNTS else b""
+
+
+def may_be_alike(x: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these bin counts can have the similarity: two sets share at most the smaller count of each bin. Counts of nothing can."""
+    both = np.minimum(x, others).sum(axis=1, dtype=np.int64)
+    a, b = int(x.sum(dtype=np.int64)), others.sum(axis=1, dtype=np.int64)
+    return (both >= similarity * (a + b - both) - 1e-6) | (a == 0) | (b == 0)
+
+
 def most_differing(similarity: float) -> int:
     """Differing bits of two sketches up to which a pair is compared: five standard errors over those expected."""
     p = (1 - similarity) / 2
@@ -101,10 +118,12 @@ def prints(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(read, run, "doc_id long, fp long, row long, keys array<long>, sketch array<long>")
 
 
-def candidates(label: np.ndarray, sketch: np.ndarray, most: int, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def candidates(label: np.ndarray, sketch: np.ndarray, most: int, partners: int, bins: np.ndarray | None = None,
+               similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray, bool]:
     """Places of members to compare: for each up to ``partners`` that it may be linked to and is not yet; and whether any has more.
 
-    Members of the most frequent label are joined already, so only the others look for partners.
+    Members of the most frequent label are joined already, so only the others look for partners. With ``bins`` a partner's
+    bin counts allow the similarity.
     """
     n = len(label)
     _, at, count = np.unique(label, return_inverse=True, return_counts=True)
@@ -124,7 +143,10 @@ def candidates(label: np.ndarray, sketch: np.ndarray, most: int, partners: int)
             behind = (x[:, None] - other) % n
             for r in np.nonzero(hit.any(axis=1))[0]:
                 to = np.nonzero(hit[r])[0]
-                to = to[np.argsort(behind[r, to], kind="stable")][: wanted[some[r]]]
+                to = to[np.argsort(behind[r, to], kind="stable")]
+                if bins is not None:
+                    to = _first_allowed(bins[x[r]], bins, other[to], to, similarity, int(wanted[some[r]]))
+                to = to[: wanted[some[r]]]
                 pairs.append((np.full(len(to), x[r]), other[to]))
                 wanted[some[r]] -= len(to)
         full |= bool((wanted == 0).any())
@@ -134,6 +156,16 @@ def candidates(label: np.ndarray, sketch: np.ndarray, most: int, partners: int)
     return a, b, full
 
 
+def _first_allowed(x: np.ndarray, bins: np.ndarray, place: np.ndarray, to: np.ndarray, similarity: float, wanted: int) -> np.ndarray:
+    """The first ``wanted`` of ``to`` that bin counts allow, looked for in growing steps: most members find theirs at once."""
+    kept, at, step = [], 0, 4 * wanted
+    while at < len(to) and wanted > 0:
+        got = to[at:at + step][may_be_alike(x, bins[place[at:at + step]], similarity)][:wanted]
+        kept.append(got)
+        wanted, at, step = wanted - len(got), at + step, step * 4
+    return np.concatenate(kept) if kept else to[:0]
+
+
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables that hold whole keys of a stream sorted by key."""
     rest: list[pa.RecordBatch] = []
@@ -156,40 +188,48 @@ def links(distinct: DataFrame, docs: DataFrame, width: int, similarity: float, c
 
     ``distinct`` has ``fp, row, keys, sketch`` of each content, ``row`` one of its rows in ``docs``.
     """
-    most = most_differing(similarity)
-    keyed = distinct.select("fp", F.explode("keys").alias("key"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(MINIMA // 64)])
+    most, parts = most_differing(similarity), [f"s{i}" for i in range(MINIMA // 64)]
+    keyed = distinct.select("fp", F.explode("keys").alias("key"))
     again = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     met = materialize(keyed.join(again, "key", "left_semi"), "met")
+    need = met.select("fp").distinct().join(distinct.select("fp", "row", "sketch"), "fp")
+    sets = materialize(shingle_sets(docs, materialize(need, "need"), width), "sets")
+    known = sets.select("fp", "bins", *[F.col("sketch")[i].alias(p) for i, p in enumerate(parts)])
+    met = materialize(met.join(known, "fp"), "met")
     label = linked = compared = None
     partners = PARTNERS
     while True:
         now = met.withColumn("label", F.col("fp"))
         if label is not None:
             now = met.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        rows = now.select("key", "fp", "label", *[f"s{i}" for i in range(MINIMA // 64)])
+        rows = now.select("key", "fp", "label", *parts, "bins")
         rows = rows.repartition(shuffle_width(distinct), "key").sortWithinPartitions("key", "fp")
 
         def meet(batches: Iterator[pa.RecordBatch], partners: int = partners) -> Iterator[pa.RecordBatch]:
             for t in whole_keys(batches):
-                key, fp, label, *parts = (c.to_numpy() for c in t.columns)
-                sketch = np.stack(parts, axis=1).view(np.uint64)
+                key, fp, label, *bits = (t.column(i).to_numpy() for i in range(3 + len(parts)))
+                sketch = np.stack(bits, axis=1).view(np.uint64)
                 first = np.r_[0, np.nonzero(np.diff(key))[0] + 1, len(key)]
                 out = []
                 for lo, hi in zip(first[:-1], first[1:]):
                     if (label[lo:hi] != label[lo]).any():
-                        a, b, full = candidates(label[lo:hi], sketch[lo:hi], most, partners)
-                        a, b = fp[lo:hi][a], fp[lo:hi][b]
-                        out.append((np.maximum(a, b), np.minimum(a, b), np.full(len(a), full)))
+                        bins = np.stack([np.frombuffer(x or bytes(BINS), dtype=np.uint8) for x in t.column("bins")[lo:hi].to_pylist()])
+                        a, b, full = candidates(label[lo:hi], sketch[lo:hi], most, partners, bins, similarity)
+                        out.append((fp[lo:hi][a], fp[lo:hi][b], key[lo:hi][a], np.full(len(a), full)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["hi", "lo", "more"])
-
-        found = rows.mapInArrow(lean(meet), "hi long, lo long, more boolean").groupBy("hi", "lo").agg(F.max("more").alias("more"))
-        found = materialize(found, "found")
-        more = not found.filter("more").isEmpty()
-        new = found.select("hi", "lo")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["one", "other", "key", "more"])
+
+        found = materialize(rows.mapInArrow(lean(meet), "one long, other long, key long, more boolean"), "found")
+        # of what a content's keys propose it takes a few, by hashes; a key of which anything is left stays open
+        nth = F.row_number().over(Window.partitionBy("one").orderBy(F.xxhash64("one", "other"), "other"))
+        once = found.select("one", "other").distinct().withColumn("taken", nth <= partners)
+        left = found.filter("more").select("key").union(found.join(once.filter("not taken"), ["one", "other"], "left_semi").select("key"))
+        open_keys = materialize(left.distinct(), "open")
+        more = not open_keys.isEmpty()
+        new = once.filter("taken").select(F.greatest("one", "other").alias("hi"), F.least("one", "other").alias("lo")).distinct()
         if compared is not None:
             new = new.join(compared, ["hi", "lo"], "left_anti")
-        done = materialize(similarities(new, distinct, docs, width), "compared")
+        done = materialize(similarities(new, sets), "compared")
         tried = not done.isEmpty()
         if not tried and not more:
             return linked if linked is not None else done.select("hi", "lo")
@@ -198,21 +238,27 @@ def links(distinct: DataFrame, docs: DataFrame, width: int, similarity: float, c
             passed = done.filter(F.col("similarity") >= similarity).select("hi", "lo")
             linked = passed if linked is None else linked.union(passed)
             label = components(linked)
+        if not more:
+            return linked
+        met = materialize(met.join(open_keys, "key", "left_semi"), "met")
         partners *= MORE
 
 
-def similarities(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``hi, lo, similarity`` of pairs of contents, from the whole texts of one row each."""
-    pairs = materialize(pairs, "pairs")
-    need = pairs.select(F.explode(F.array("hi", "lo")).alias("fp")).distinct()
-    need = materialize(distinct.join(need, "fp", "left_semi").select(F.col("fp"), F.col("row").alias("_row")), "need")
+def shingle_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """``fp, sketch, set, bins`` of the contents ``fp, row, sketch``, from the whole text of one row each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width).view(np.int64) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, type=pa.list_(pa.int64()))], ["fp", "set"])
+        sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+        made = [pa.array([s.view(np.int64) for s in sets], type=pa.list_(pa.int64())), pa.array([bin_counts(s) for s in sets], type=pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("sketch"), *made], ["fp", "sketch", "set", "bins"])
+
+    need = need.withColumnRenamed("row", "_row")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(need, F.col("row") == F.col("_row"))
+    return map_rows(texts.dropDuplicates(["row"]).select("fp", "sketch", "text"), run, "fp long, sketch array<long>, set array<long>, bins binary")
+
 
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(need, F.col("row") == F.col("_row")).select("fp", "text")
-    sets = materialize(map_rows(texts.dropDuplicates(["fp"]), run, "fp long, set array<long>"), "sets")
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hi, lo, similarity`` of pairs of contents, from their whole ``fp, set``."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = batch.column("a"), batch.column("b")

@@ -78,3 +78,32 @@ def test_every_stage_with_near_copies_by_similarity(spark):
         else:
             check_stage(name, before, after, docs)
         before = after
+
+
+def test_bin_counts_never_tell_a_link_apart():
+    r = np.random.default_rng(4)
+    for size, apart in ((40, 4), (200, 20), (3000, 320), (30_000, 3300)):
+        both, a, b = (r.integers(0, 2**64, n, dtype=np.uint64) for n in (size, apart, apart))
+        x, y = np.unique(np.r_[both, a]), np.unique(np.r_[both, b])
+        one, other = (np.frombuffer(jaccard.bin_counts(s), dtype=np.uint8) for s in (x, y))
+        assert jaccard.alike(x, y) >= 0.8 and jaccard.may_be_alike(one, other[None], jaccard.alike(x, y)).all()
+    far = np.frombuffer(jaccard.bin_counts(np.unique(np.r_[both[:200], a[:40]])), dtype=np.uint8)
+    near = np.frombuffer(jaccard.bin_counts(np.unique(np.r_[both[:200], b[:40]])), dtype=np.uint8)
+    assert not jaccard.may_be_alike(far, near[None], 0.8).any()  # similarity 0.71
+    assert jaccard.bin_counts(r.integers(0, 2**64, 300_000, dtype=np.uint64)) == b""
+    assert jaccard.may_be_alike(np.zeros(jaccard.BINS, dtype=np.uint8), near[None], 0.8).all()
+
+
+def test_pairs_compared_follow_the_members_of_a_group(monkeypatch, spark):
+    compared = []
+    plain = jaccard.similarities
+    monkeypatch.setattr(jaccard, "similarities", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    counts = {}
+    for n in (100, 400):  # up to 6 edits of 5 shingles: half of the pairs are links, nearly all others look like links to the sketches
+        texts = list(family(8, n, 6))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        compared.clear()
+        rows = neardup.one_of_each(docs, 0.8, 5).collect()
+        assert sorted(r.doc_id for r in rows) == brute.kept_ids(list(enumerate(texts)))
+        counts[n] = sum(compared)
+    assert counts[400] <= 4 * 400 and counts[400] <= 6 * counts[100]
