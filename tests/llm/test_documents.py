@@ -261,6 +261,26 @@ def test_mixed_texts_take_the_words_they_are_told(edge):
     assert +got == +taken
 
 
+def test_only_texts_at_a_cut_are_shuffled(spark):
+    rows = [(i % 900, f"w{i % 900} " * (1 + i % 900 % 13), "abc"[i % 900 % 3]) for i in range(1200)] + [(None, "x y", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed_texts(docs)
+    want = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        want[r.doc_id] += r.taken
+    got, texts = Counter(), {d: t for d, t, _ in rows}
+    for r in out.collect():
+        got[r.doc_id] += len(brute.words(r.text))
+        assert texts[r.doc_id].startswith(r.text)
+    assert got == +want and sum(want.values()) > sum(len(brute.words(t)) for _, t, _ in rows)
+    lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    top = next(i for i, line in enumerate(lines) if "Union" in line)
+    depth = lines[top].index("Union")
+    second = next(i for i in range(top + 2, len(lines)) if lines[i][depth:depth + 3] == "+- ")
+    first = lines[top + 1:second]
+    assert any("Scan" in line for line in first) and not any("Exchange" in line and "Broadcast" not in line for line in first)
+
+
 def test_rules(edge, nothing):
     rows = rules.rule_report(edge).collect()
     want = Counter((r[0], *brute.measures(r[1])) for r in ROWS)
