@@ -331,7 +331,7 @@ n AS (SELECT *, lead(text) OVER w AS nt, lead(first_id) OVER w AS nf FROM u WIND
 b AS (SELECT *, (SELECT count(*) FROM u v WHERE v.page_id = n.page_id AND v.text <> n.text AND starts_with(v.text, n.text)) AS longer FROM n)
 SELECT page_id, region_id, first_id, copies, CASE WHEN longer > 0 THEN nf END AS begins FROM t JOIN b USING (page_id, text) WHERE copies > 1 OR longer > 0""")
 def _(c):
-    return J.text_duplicates(c.documents.select(F.floor(F.col("doc_id") / 100).alias("page_id"), F.col("doc_id").alias("region_id"), "text"))
+    return J.text_duplicates(c.documents.select(F.expr("doc_id DIV 100").alias("page_id"), F.col("doc_id").alias("region_id"), "text"))
 
 
 DIM_SQL = "(VALUES {rows}) {name}(k, v)"

@@ -1,9 +1,12 @@
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pagelens.functions import text as T
 from pagelens.operators import ledger as L
 from pagelens.operators import texts as J
 from pagelens.sources import codecs
+from tests.oracle_check import rows_of
 
 OUT_SFX = "フー．．． ピクッ ーー ドキドキドキ ぴくぴくっ ガッタンゴットン ヒ．．．ッ！？".split()
 OUT_TALK = "それは．．． ちょっと".split()
@@ -147,3 +150,18 @@ def test_fit_sizes_halving_equals_every_size(spark):
             for r in df.collect():
                 best[r.k] = max(best.get(r.k, 0), r.best_size)
         assert got == best
+
+
+def test_text_duplicates_with_empty_texts_and_ids_beyond_doubles(spark, tmp_path):
+    top = 2**63 - 8  # ...800, the first identifier of a page that doubles cannot tell from the one before
+    rows = [(0, ""), (1, "a"), (2, "ab"), (3, ""), (4, None), (100, ""), (200, ""), (201, "b"), (-1, "a"), (-99, "ab"), (-100, "a"), (-101, "ab"),
+            (top - 1, "a"), (top, "ab"), (top + 1, "abc"), (top - 2, "abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = con.execute(entry.oracle_sql()["text_duplicates"])
+    want = rows_of([d[0] for d in found.description], found.fetchall())
+    df = entry.queries()["text_duplicates"](spark, str(tmp_path))
+    assert rows_of(df.columns, df.collect()) == want
+    large = J.text_duplicates(spark.createDataFrame(rows, "region_id long, text string").withColumn("page_id", F.expr("region_id DIV 100")), limit=1)
+    assert rows_of(large.columns, large.collect()) == want
