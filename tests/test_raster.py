@@ -6,10 +6,13 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pagelens.functions.kernels import ellipse
 from pagelens.operators import raster as P
 from pagelens.operators import runs as R
+from pagelens.plans import corpus
 from pagelens.sources import images
+from tests.oracle_check import compare, connect
 
 MASK = "page_id bigint, region_id int, y int, x int"
 
@@ -156,3 +159,19 @@ def test_colour_marks_from_scanlines_and_from_pixels(spark):
     few = c.rgb.filter("page_id < 4")
     one = sorted(map(tuple, P.colour_marks(few).collect()))
     assert one == sorted(map(tuple, entry.queries()["colour_marks"](spark, c.folder).filter("page_id < 4").collect())) and one
+
+
+def test_flat_fill_leaves_protected_ink_and_its_margin(spark, monkeypatch):
+    folder, at, to = "/root/testdata/sf0.001", "x BETWEEN 3 AND 9 AND y BETWEEN 39 AND 44", "x BETWEEN 15 AND 20 AND y BETWEEN 16 AND 21"
+    monkeypatch.setitem(corpus.VIEWS, "ink", corpus.VIEWS["ink"].replace(at, to))  # protected ink inside of a fill
+    shut = corpus.Corpus(spark, folder).ink.filter("region_id = 2 and page_id = 0").collect()
+    mask = np.zeros((48, 48), bool)
+    mask[[r.y for r in shut], [r.x for r in shut]] = True
+    fill = entry.queries()["apply_flat_fill"]
+    painted = np.zeros((48, 48), bool)
+    for r in fill(spark, folder).filter("page_id = 0 and painted").collect():
+        painted[r.y, r.x] = True
+    assert mask.sum() == 12 and not painted[grow(mask, 5)].any() and painted[grow(mask, 9) & ~grow(mask, 5)].all()
+    sql = entry.oracle_sql()["apply_flat_fill"].replace("2, y, x FROM canvas WHERE " + at, "2, y, x FROM canvas WHERE " + to)
+    ok, detail = compare(spark, connect(folder), folder, fill, sql)
+    assert ok, detail
