@@ -1,4 +1,4 @@
-"""Links between texts whose sets of word shingles are alike, by MinHash bands and an exact comparison.
+"""Links between texts whose sets of word shingles are alike, by MinHash bands, rare shingles and an exact comparison.
 
 A text is known by its set of shingle hashes; texts with one set are one content. Every content has minima under
 many hash functions. Those of a band make a key, and contents that share a key meet. Which of those that meet are
@@ -8,6 +8,13 @@ is no link, so pairs that are nearly alike leave no task. Contents that links jo
 one content is compared with few others in a round, whatever the keys it has: a group of any number of near copies
 costs about as many comparisons as it has members. The others are compared in rounds, each with more partners for
 every member, under the keys that have pairs left, until no pair is left.
+
+Bands and bits join most contents at little cost but are chances: a pair may share no band, or differ in more bits. So
+contents that they leave apart meet again under their rarest shingles. In one order of all shingles two sets that are
+alike share one of their first, as many as either can have without the other and one more. Only contents that can be
+alike by this are looked at, under the bands too, and of those that are left apart exact bounds alone tell which are
+compared, so no link is left out. The order goes by how often shingles occur, counted over all texts in slots: it
+decides how many meet, not which are linked.
 """
 
 from __future__ import annotations
@@ -29,9 +36,15 @@ BANDS, ROWS = 24, 5
 MINIMA = 256
 #: Partners of a member in the first round, and their growth from round to round.
 PARTNERS, MORE = 2, 4
+#: Partners of a member in the first round over what the bands have left apart, where few have any.
+REST = 128
 BLOCK = 1024
 #: Bins of a content's hashes, and the most that one may count.
 BINS, BYTE_COUNTS = 512, 255
+#: Slots in which shingles are counted, and the parts that their counts are added in.
+SLOTS, PARTS = 1 << 18, 16
+#: Members of a shingle up to which those without a possible partner are left out before they are looked at by labels.
+SIFTED = 256
 _RNG = np.random.default_rng(7)
 _XOR, _ODD = _RNG.integers(0, 2**64, (MINIMA, 1), dtype=np.uint64), _RNG.integers(0, 2**64, (MINIMA, 1), dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -103,19 +116,51 @@ def most_differing(similarity: float) -> int:
 
 
 def prints(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, fp, row, keys, sketch`` of every row: its content, a hash of identifier and text, band keys and sketch."""
+    """``doc_id, fp, row, keys, sketch`` of every row: its content, a hash of identifier and text, band keys and sketch.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
-        if not sets:
-            return None
-        least = np.stack([minima(s) for s in sets])
-        fp = np.array([content(s) for s in sets], dtype=np.uint64)
-        lists = [pa.array(list(x.view(np.int64)), type=pa.list_(pa.int64())) for x in (band_keys(least), sketches(least))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), batch.column("row"), *lists], ["doc_id", "fp", "row", "keys", "sketch"])
+    Each task adds :data:`PARTS` rows with ``counts``, its shingles by slots, which :func:`levels` reads; in others they are null.
+    """
+    names, size = ["doc_id", "fp", "row", "keys", "sketch", "counts"], SLOTS // PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+            if not sets:
+                continue
+            for s in sets:
+                np.add.at(total, slots(s), 1)
+            least = np.stack([minima(s) for s in sets])
+            fp = np.array([content(s) for s in sets], dtype=np.uint64)
+            lists = [pa.array(list(x.view(np.int64)), type=pa.list_(pa.int64())) for x in (band_keys(least), sketches(least))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), batch.column("row"), *lists, pa.nulls(len(sets), pa.binary())], names)
+        counts = np.minimum(total, 2**16 - 1).astype("<u2")
+        none = [pa.nulls(PARTS, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+        rows = [counts[at:at + size].tobytes() for at in range(0, SLOTS, size)]
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(range(PARTS), type=pa.int64()), *none[1:], pa.array(rows, type=pa.binary())], names)
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    return map_rows(read, run, "doc_id long, fp long, row long, keys array<long>, sketch array<long>")
+    return read.mapInArrow(lean(run), "doc_id long, fp long, row long, keys array<long>, sketch array<long>, counts binary")
+
+
+def slots(found: np.ndarray) -> np.ndarray:
+    return (found % np.uint64(SLOTS)).astype(np.int64)
+
+
+def levels(printed: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot occur in all texts, in eighths of a doubling, from the counts of :func:`prints`; they are added part by part."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[part] = total.get(part, 0) + np.frombuffer(counts, dtype="<u2").astype(np.int64)
+        steps = [np.minimum(8 * np.log2(1 + n), 255).astype(np.uint8).tobytes() for n in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int64()), pa.array(steps, type=pa.binary())], ["part", "steps"])
+
+    rows = printed.filter("counts IS NOT NULL").select("fp", "counts").repartition(PARTS, "fp")
+    found = {r.part: bytes(r.steps) for r in rows.mapInArrow(lean(add), "part long, steps binary").collect()}
+    return np.frombuffer(b"".join(found.get(p, bytes(SLOTS // PARTS)) for p in range(PARTS)), dtype=np.uint8)
 
 
 def candidates(label: np.ndarray, sketch: np.ndarray, most: int, partners: int, bins: np.ndarray | None = None,
@@ -183,27 +228,98 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def links(distinct: DataFrame, docs: DataFrame, width: int, similarity: float, components) -> DataFrame:
-    """``hi, lo``: enough exactly compared links to join all contents that meet and are at least so similar.
+def rarest(found: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles by level and hash, of which any set with the similarity holds one among its own first."""
+    n = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    return found[np.argsort(level[slots(found)], kind="stable")[:n]] if len(found) else found
 
-    ``distinct`` has ``fp, row, keys, sketch`` of each content, ``row`` one of its rows in ``docs``.
+
+def has_partner(label: np.ndarray, size: np.ndarray, left: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a member of its row can have the similarity to one of another label: two sets share at most what either has ``left`` from their first common shingle on."""
+    least = similarity / (1 + similarity) * (size[:, :, None] + size[:, None, :]) - 1e-6
+    can = (np.minimum(left[:, :, None], left[:, None, :]) >= least) & (label[:, :, None] != label[:, None, :])
+    return can.any(axis=2)
+
+
+def sharing(docs: DataFrame, level: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """``key, fp, size, left``: contents under each of their rarest shingles that another one which can be alike has too,
+    with the size of their set and what is left of it from the shingle on."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in a task are one content; those of other tasks merge below
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                out = []
+                for t in batch.column(0).slice(at, BLOCK).to_pylist():
+                    s = shingles(t, width)
+                    fp, n = content(s), len(s)
+                    if n and fp not in seen:
+                        seen.add(fp)
+                        key = rarest(s, level, similarity).view(np.int64)
+                        out.append((key, np.full(len(key), fp, dtype=np.uint64).view(np.int64), np.full(len(key), n, dtype=np.int32), np.arange(n, n - len(key), -1, dtype=np.int32)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "fp", "size", "left"])
+
+    rows = docs.select("text").mapInArrow(lean(expand), "key long, fp long, size int, left int")
+    return sifted(rows, None, similarity, shuffle_width(docs))
+
+
+def sifted(rows: DataFrame, label: DataFrame | None, similarity: float, width: int) -> DataFrame:
+    """The ``key, fp, size, left`` that have under their key another one, not joined to them by ``label``, to which they can be alike."""
+    rows = rows.withColumn("label", F.col("fp")) if label is None else (
+        rows.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_keys(batches):
+            key, fp, size, left, label = (t.column(i).to_numpy() for i in range(5))
+            one = np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]
+            key, fp, size, left, label = key[one], fp[one], size[one], left[one], label[one]
+            first = np.r_[0, np.nonzero(np.diff(key))[0] + 1]
+            count = np.diff(np.r_[first, len(key)])
+            large = (count > SIFTED) & (np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first))
+            keep = np.repeat(large, count)
+            for n in np.unique(count[(count > 1) & (count <= SIFTED)]):
+                at, step = first[count == n], max(1, 2_000_000 // (n * n))
+                for lo in range(0, len(at), step):
+                    member = at[lo:lo + step, None] + np.arange(n)
+                    keep[member] = has_partner(label[member], size[member], left[member], similarity)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, fp, size, left)], ["key", "fp", "size", "left"])
+
+    rows = rows.select("key", "fp", "size", "left", "label").repartition(width, "key").sortWithinPartitions("key", "fp")
+    return rows.mapInArrow(lean(sift), "key long, fp long, size int, left int")
+
+
+def links(distinct: DataFrame, docs: DataFrame, level: np.ndarray, width: int, similarity: float, components) -> DataFrame:
+    """``hi, lo``: enough exactly compared links to join all contents that are at least so similar.
+
+    ``distinct`` has ``fp, row, keys, sketch`` of each content, ``row`` one of its rows in ``docs``; ``level`` is that of :func:`levels`.
     """
-    most, parts = most_differing(similarity), [f"s{i}" for i in range(MINIMA // 64)]
-    keyed = distinct.select("fp", F.explode("keys").alias("key"))
+    tasks = shuffle_width(distinct)
+    rare = materialize(sharing(docs, level, width, similarity), "rare")
+    able = materialize(distinct.join(rare.select("fp").distinct(), "fp", "left_semi").select("fp", "row", "keys", "sketch"), "able")
+    keyed = able.select("fp", F.explode("keys").alias("key"))
     again = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = materialize(keyed.join(again, "key", "left_semi"), "met")
-    need = met.select("fp").distinct().join(distinct.select("fp", "row", "sketch"), "fp")
-    sets = materialize(shingle_sets(docs, materialize(need, "need"), width), "sets")
+    sets = materialize(shingle_sets(docs, able.select("fp", "row", "sketch"), width), "sets")
+    linked, compared, label = settled(keyed.join(again, "key", "left_semi"), sets, most_differing(similarity), similarity, components, tasks)
+    left = sifted(rare, label, similarity, tasks)
+    return settled(left.select("key", "fp"), sets, MINIMA, similarity, components, tasks, REST, linked, compared, label)[0]
+
+
+def settled(met: DataFrame, sets: DataFrame, most: int, similarity: float, components, width: int, partners: int | None = None,
+            linked: DataFrame | None = None, compared: DataFrame | None = None, label: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``linked``, ``compared`` and ``label`` after rounds over the ``key, fp`` of ``met``, until contents that meet, differ in at
+    most ``most`` bits and can have the similarity are joined or compared."""
+    parts = [f"s{i}" for i in range(MINIMA // 64)]
     known = sets.select("fp", "bins", *[F.col("sketch")[i].alias(p) for i, p in enumerate(parts)])
     met = materialize(met.join(known, "fp"), "met")
-    label = linked = compared = None
-    partners = PARTNERS
+    partners = partners or PARTNERS
     while True:
         now = met.withColumn("label", F.col("fp"))
         if label is not None:
             now = met.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         rows = now.select("key", "fp", "label", *parts, "bins")
-        rows = rows.repartition(shuffle_width(distinct), "key").sortWithinPartitions("key", "fp")
+        rows = rows.repartition(width, "key").sortWithinPartitions("key", "fp")
 
         def meet(batches: Iterator[pa.RecordBatch], partners: int = partners) -> Iterator[pa.RecordBatch]:
             for t in whole_keys(batches):
@@ -232,14 +348,15 @@ def links(distinct: DataFrame, docs: DataFrame, width: int, similarity: float, c
         done = materialize(similarities(new, sets), "compared")
         tried = not done.isEmpty()
         if not tried and not more:
-            return linked if linked is not None else done.select("hi", "lo")
+            none = done.select("hi", "lo")
+            return linked if linked is not None else none, compared if compared is not None else none, label
         if tried:
             compared = done.select("hi", "lo") if compared is None else compared.union(done.select("hi", "lo"))
             passed = done.filter(F.col("similarity") >= similarity).select("hi", "lo")
             linked = passed if linked is None else linked.union(passed)
             label = components(linked)
         if not more:
-            return linked
+            return linked, compared, label
         met = materialize(met.join(open_keys, "key", "left_semi"), "met")
         partners *= MORE
 

@@ -274,10 +274,11 @@ def labelled(docs: DataFrame, similarity: float | None, shingle: int) -> DataFra
         distinct = materialize(table.groupBy("fp").agg(*counted), "distinct-fp")
         met = links(distinct)
     else:
-        table = materialize(jaccard.prints(docs, shingle), "fingerprints")
+        printed = materialize(jaccard.prints(docs, shingle), "fingerprints")
+        table = printed.filter("counts IS NULL").drop("counts")
         one = F.min(F.struct("row", "keys", "sketch")).alias("one")
         distinct = materialize(table.groupBy("fp").agg(*counted, one).select("fp", "least", "n", "one.*"), "distinct-fp")
-        met = jaccard.links(distinct, docs, shingle, similarity, components)
+        met = jaccard.links(distinct, docs, jaccard.levels(printed), shingle, similarity, components)
         table, distinct = table.select("doc_id", "fp", "row"), distinct.select("fp", "least", "n")
     label = components(materialize(met, "links"))
     named = distinct.join(label, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))

@@ -107,3 +107,42 @@ def test_pairs_compared_follow_the_members_of_a_group(monkeypatch, spark):
         assert sorted(r.doc_id for r in rows) == brute.kept_ids(list(enumerate(texts)))
         counts[n] = sum(compared)
     assert counts[400] <= 4 * 400 and counts[400] <= 6 * counts[100]
+
+
+def test_pairs_that_share_no_band_are_found(spark):
+    r = random.Random(2420)
+    words = [f"w{r.randrange(10**6)}" for _ in range(104)]
+    one, other = " ".join(words[:84]), " ".join(words)  # 80 of 100 shingles
+    least = np.stack([jaccard.minima(jaccard.shingles(t, 5)) for t in (one, other)])
+    assert not (jaccard.band_keys(least)[0] == jaccard.band_keys(least)[1]).any()
+    rows = [(3, other), (1, one), (2, one), (4, " ".join(words[:83])), (5, " ".join(words + ["x"]))]
+    for given in (rows[:2], rows):
+        docs = spark.createDataFrame(given, "doc_id long, text string")
+        assert sorted(x.doc_id for x in neardup.one_of_each(docs, 0.8, 5).collect()) == brute.kept_ids(given) == [1]
+
+
+def test_links_do_not_hang_on_bands_or_bits(monkeypatch, spark):
+    monkeypatch.setattr(jaccard, "band_keys", lambda least: least.sum(axis=1)[:, None] * np.arange(1, 25, dtype=np.uint64))  # none is shared
+    for sifted in (jaccard.SIFTED, 1):
+        monkeypatch.setattr(jaccard, "SIFTED", sifted)
+        texts = [t for seed in range(6) for t in family(seed, 12, 4)] + list(family(98, 40, 3)) + [None, "", "one", "ONE", "one two", "one two three four five six"]
+        rows = list(enumerate(texts))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(r.doc_id for r in neardup.one_of_each(docs, 0.8, 5).collect()) == brute.kept_ids(rows)
+
+
+def test_alike_sets_share_one_of_their_rarest():
+    r = np.random.default_rng(6)
+    level = r.integers(0, 255, jaccard.SLOTS).astype(np.uint8)
+    for size, apart in ((4, 1), (40, 10), (8, 1), (400, 50), (80, 20), (900, 220)):
+        for _ in range(200):
+            both, a, b = (r.integers(0, 2**64, n, dtype=np.uint64) for n in (size, r.integers(apart + 1), apart))
+            x, y = np.unique(np.r_[both, a]), np.unique(np.r_[both, b])
+            if jaccard.alike(x, y) < 0.8:
+                continue
+            p, q = (jaccard.rarest(s, level, 0.8) for s in (x, y))
+            i, j = next((i, int(np.nonzero(q == k)[0][0])) for i, k in enumerate(p) if k in q)
+            size_of, left = np.array([[len(x), len(y)]]), np.array([[len(x) - i, len(y) - j]])
+            assert jaccard.has_partner(np.array([[1, 2]]), size_of, left, 0.8).all()
+    far = jaccard.has_partner(np.array([[1, 2, 2]]), np.array([[80, 101, 101]]), np.array([[80, 101, 101]]), 0.8)
+    assert not far.any()
